@@ -116,8 +116,10 @@ titles as (
 """
 
 
-def page_sql(body: str, more: str = "") -> str:
-    return "with " + PAGES.strip() + (("," + more) if more else "") + "\n" + body
+def page_sql(body: str, more: str = "", before: str = "", source: str = "pages") -> str:
+    """The page fragment over a table of (page_id, url, html), then the query."""
+    fragment = PAGES.strip().replace("from pages)", f"from {source})")
+    return "with " + before + fragment + (("," + more) if more else "") + "\n" + body
 
 
 HREF = "regexp_extract(raw, 'href=\"([^\"]*)\"', 1)"

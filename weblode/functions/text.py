@@ -68,75 +68,46 @@ def _entity_tables() -> tuple[dict[str, str], list[str]]:
 _COMMON = ("amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "middot")
 
 
-def _codepoint(n: Column) -> Column:
-    legacy = {}
-    for byte in range(0x80, 0xA0):
-        try:
-            legacy[byte] = bytes([byte]).decode("cp1252")
-        except UnicodeDecodeError:
-            continue
-    table = F.create_map(*[F.lit(x) for kv in legacy.items() for x in kv])
-    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    bad = n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
-    return F.when(bad, F.lit("\ufffd")).otherwise(F.coalesce(table[n.cast("int")], plain))
-
-
-def _named() -> Column:
-    """Name -> character, as one folded literal."""
-    named, _ = _entity_tables()
-    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in named.items())), F.lit("\x02"), F.lit("\x01"))
-
-
-def _number(text: Column) -> Column:
-    """``#233`` or ``#xe9`` to its character; over-long digits are out of range in any case."""
-    hexa = F.lower(F.substring(text, 2, 1)) == "x"
-    value = F.when(hexa, F.conv(F.substr(text, F.lit(3)), 16, 10)).otherwise(F.substr(text, F.lit(2)))
-    return _codepoint(F.when(F.length(text) > 12, F.lit(0x110000)).otherwise(value.try_cast("long")))
-
-
-def _decode_piece(piece: Column) -> Column:
-    """One text piece that followed an ampersand."""
-    _, loose = _entity_tables()
-    pattern = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)(;?)"
-
-    def by_table(name: Column) -> Column:
-        return let(_named()[name], lambda char: F.when(char.isNotNull(), F.concat(char, F.substr(piece, F.length(name) + 2))))
-
-    def by_prefix() -> Column:
-        prefix = F.regexp_extract(piece, "^(" + "|".join(loose) + ")", 1)
-        return let(
-            prefix,
-            lambda name: F.when(
-                name != "", F.concat(_named()[name], F.substr(piece, F.length(name) + 1))
-            ).otherwise(F.concat(F.lit("&"), piece)),
-        )
+def apply(value: Column, sql_lambda: str) -> Column:
+    """Apply a SQL lambda (``x -> ...``) to a column, computing the argument once."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(sql_lambda)), F.lit(0))
 
-    def decode(name: Column) -> Column:
-        closed = F.substr(piece, F.length(name) + 1, F.lit(1)) == ";"
-        after = F.when(closed, F.substr(piece, F.length(name) + 2)).otherwise(F.substr(piece, F.length(name) + 1))
-        named, _ = _entity_tables()
-        common = F.when(closed & (name == "amp"), F.concat(F.lit("&"), after))
-        for other in _COMMON[1:]:
-            common = common.when(closed & (name == other), F.concat(F.lit(named[other]), after))
-        return (
-            common.when(name == "", F.concat(F.lit("&"), piece))
-            .when(name.startswith("#"), F.concat(_number(name), after))
-            .when(closed, F.coalesce(by_table(name), by_prefix()))
-            .otherwise(by_prefix())
-        )
 
-    return let(F.regexp_extract(piece, pattern, 1), decode)
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def unescape(c) -> Column:
-    """Decode HTML entities in one pass, so ``&amp;lt;`` stays ``&lt;``."""
-    text = _col(c)
+@lru_cache(maxsize=1)
+def _unescape_sql() -> str:
+    named, loose = _entity_tables()
+    table = f"str_to_map({_quoted(chr(2).join(k + chr(1) + v for k, v in named.items()))}, '\\u0002', '\\u0001')"
+    # Numbers 128 to 159 mean what Windows-1252 has there.
+    legacy = "".join(bytes([i]).decode("cp1252", "replace") for i in range(0x80, 0xA0))
+    bad = "v is null or v = 0 or v between 55296 and 57343 or v > 1114111"
+    number = f"""get(transform(array(case when length(n) > 12 then 1114112
+        when lower(substr(n, 2, 1)) = 'x' then try_cast(conv(substr(n, 3), 16, 10) as bigint)
+        else try_cast(substr(n, 2) as bigint) end), v ->
+        case when {bad} then '\\uFFFD'
+             when v between 128 and 159 and substr('{legacy}', cast(v - 127 as int), 1) <> '\\uFFFD'
+             then substr('{legacy}', cast(v - 127 as int), 1)
+             else decode(unhex(lpad(hex(v), 8, '0')), 'UTF-32') end), 0)"""
+    common = " ".join(f"when n = '{k}' then {_quoted(named[k])}" for k in _COMMON)
+    # Older names also count without a semicolon, the longest that fits.
+    prefix = f"""get(transform(array(regexp_extract(s, '^({"|".join(loose)})', 1)), o ->
+        case when o = '' then concat('&', s) else concat({table}[o], substr(s, length(o) + 1)) end), 0)"""
+    piece = f"""get(transform(array(regexp_extract(s, '^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)', 1)), n ->
+        case when n = '' then concat('&', s)
+             when startswith(n, '#') then concat({number}, substr(s, length(n) + case when substr(s, length(n) + 1, 1) = ';' then 2 else 1 end))
+             when substr(s, length(n) + 1, 1) = ';'
+             then coalesce(concat(case {common} else {table}[n] end, substr(s, length(n) + 2)), {prefix})
+             else {prefix} end), 0)"""
+    return f"""x -> case when instr(x, '&') > 0 then get(transform(array(split(x, '&')), p ->
+        concat(p[0], array_join(transform(slice(p, 2, size(p) - 1), s -> {piece}), ''))), 0) else x end"""
 
-    def join(pieces: Column) -> Column:
-        later = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-        return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(later, _decode_piece), ""))
 
-    return F.when(F.instr(text, "&") > 0, let(F.split(text, "&"), join)).otherwise(text)
+def unescape(c) -> Column:
+    """Decode HTML entities in one pass, so ``&amp;lt;`` stays ``&lt;``."""
+    return apply(_col(c), _unescape_sql())
 
 
 def strip_html(c) -> Column:

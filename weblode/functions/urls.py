@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from weblode.functions.text import let, strip
+from weblode.functions.text import apply, strip
 
 _SCHEME = r"[a-zA-Z][a-zA-Z0-9+.-]*"
 
@@ -129,52 +129,42 @@ def page_template(u, slot: str = "page") -> Column:
     return F.regexp_replace(_col(u), rf"({slot}=)\d+", "$1{}")
 
 
-def _dotless(p: Column, rooted: Column) -> Column:
-    """Remove dot segments; of a path joined to a folder, empty middle segments too."""
-    parts = F.split(p, "/")
-    last = F.element_at(parts, -1)
-    middle = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda s: s != "")
-    parts = F.when(
-        ~rooted & (F.size(parts) > 1), F.concat(F.slice(parts, 1, 1), middle, F.array(last))
-    ).otherwise(parts)
-    walked = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.array_append(acc, s)),
-    )
-    ended = F.when(last.isin(".", ".."), F.array_append(walked, F.lit(""))).otherwise(walked)
-    return F.array_join(ended, "/")
+def _resolve_sql() -> str:
+    """RFC 3986, 5.2 over ``x.base`` and ``x.ref``, as one SQL lambda."""
+    part = {
+        "scheme": lambda u: f"lower(regexp_extract({u}, r'^({_SCHEME}):', 1))",
+        "netloc": lambda u: f"regexp_extract({u}, r'^(?:{_SCHEME}:)?//([^/?#]*)', 1)",
+        "path": lambda u: f"regexp_extract({u}, r'^(?:{_SCHEME}:)?(?://[^/?#]*)?([^?#]*)', 1)",
+        "query": lambda u: f"regexp_extract({u}, r'^[^?#]*\\?([^#]*)', 1)",
+        "fragment": lambda u: f"regexp_extract({u}, r'(?s)^[^#]*#(.*)$', 1)",
+    }
+    split = lambda u: ", ".join(f"{cut(u)} as {name}" for name, cut in part.items())
+    # Dot segments fall away; in a path joined to a folder, empty middle segments too.
+    walk = """aggregate(
+        case when startswith(r.path, '/') or size(p) < 2 then p
+             else concat(slice(p, 1, 1), filter(slice(p, 2, size(p) - 2), s -> s <> ''), array(element_at(p, -1))) end,
+        cast(array() as array<string>),
+        (acc, s) -> case when s = '..' then slice(acc, 1, greatest(size(acc) - 1, 0)) when s = '.' then acc
+                         else array_append(acc, s) end,
+        acc -> array_join(case when element_at(p, -1) in ('.', '..') then array_append(acc, '') else acc end, '/'))"""
+    joined = f"""get(transform(array(
+        case when startswith(r.path, '/') then r.path
+             else concat(coalesce(nullif(regexp_extract(b.path, r'^(.*/)[^/]*$', 1), ''), '/'), r.path) end), j ->
+        case when j rlike r'(^|/)\\.{{1,2}}(/|$)|//' then get(transform(array(split(j, '/')), p -> {walk}), 0) else j end), 0)"""
+    tail = """concat(case when q <> '' then concat('?', q) else '' end,
+                     case when r.fragment <> '' then concat('#', r.fragment) else '' end)"""
+    place = f"""get(transform(array({joined}), w -> concat(case when startswith(w, '/') then '' else '/' end, w)), 0)"""
+    body = f"""get(transform(array(case when r.path = '' and r.query = '' and not r.placed then b.query else r.query end), q ->
+        case when r.text = '' then b.text
+             when r.scheme <> '' and r.scheme <> b.scheme then r.text
+             when r.placed then concat(b.scheme, '://', r.netloc, r.path, {tail})
+             else concat(b.scheme, '://', b.netloc, case when r.path = '' then b.path else {place} end, {tail}) end), 0)"""
+    return f"""x -> case when x.base is not null and x.ref is not null then
+        get(transform(array(struct(struct(x.base as text, {split('x.base')}) as b,
+            struct(x.ref as text, x.ref rlike r'^(?:{_SCHEME}:)?//' as placed, {split('x.ref')}) as r)), y ->
+            get(transform(array(y.b), b -> get(transform(array(y.r), r -> {body}), 0)), 0)), 0) end"""
 
 
 def resolve(base, ref) -> Column:
     """Absolute form of a reference found on the page at ``base`` (RFC 3986, 5.2)."""
-    return let(F.struct(_col(base).alias("base"), _col(ref).alias("ref")), lambda x: _resolve(x["base"], x["ref"]))
-
-
-def _resolve(b: Column, r: Column) -> Column:
-    has_place = r.rlike(rf"^(?:{_SCHEME}:)?//")
-    foreign = (scheme(r) != "") & (scheme(r) != scheme(b))
-
-    def full_path(own: Column) -> Column:
-        folder = F.coalesce(F.nullif(F.regexp_extract(path(b), r"^(.*/)[^/]*$", 1), F.lit("")), F.lit("/"))
-        joined = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
-        walked = let(
-            joined,
-            lambda j: F.when(j.rlike(r"(^|/)\.{1,2}(/|$)|//"), _dotless(j, own.startswith("/"))).otherwise(j),
-        )
-        rooted = let(walked, lambda w: F.when(w.startswith("/"), w).otherwise(F.concat(F.lit("/"), w)))
-        return F.when(own == "", path(b)).otherwise(rooted)
-
-    used_query = F.when((path(r) == "") & (query(r) == "") & ~has_place, query(b)).otherwise(query(r))
-    tail = F.concat(
-        let(used_query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit(""))),
-        let(fragment(r), lambda f: F.when(f != "", F.concat(F.lit("#"), f)).otherwise(F.lit(""))),
-    )
-    return (
-        F.when(r == "", b)
-        .when(foreign, r)
-        .when(has_place, F.concat(scheme(b), F.lit("://"), netloc(r), path(r), tail))
-        .otherwise(F.concat(scheme(b), F.lit("://"), netloc(b), let(path(r), full_path), tail))
-    )
+    return apply(F.struct(_col(base).alias("base"), _col(ref).alias("ref")), _resolve_sql())

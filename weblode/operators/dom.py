@@ -23,50 +23,46 @@ TOKEN = (
     r"|</?[a-z][^>]*>|<[!?][^>]*>|[^<]+|<"
 )
 HIDDEN = (
-    r"(?is)^<[a-z][^>]*\s(?:hidden(?:[\s=/>])|aria-hidden\s*=\s*[\"']?true"
-    r"|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))"
+    r"(?is)^<[a-z][^>]*\s(?:hidden(?:[\s=/>])|aria-hidden\s*=\s*\S?true"
+    r"|style\s*=\s*[^>]*(?:display\s*:\s*none|visibility\s*:\s*hidden))"
 )
-ATTRIBUTE = r"""(?s)([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
+ATTRIBUTE = r"""(?s)[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
 
 
-def tokens(html) -> Column:
-    """Array of (kind, tag, raw, text) in page order."""
-    raw = F.regexp_extract_all(F.col(html) if isinstance(html, str) else html, F.lit(TOKEN), F.lit(0))
+def _names(tags) -> str:
+    return ", ".join(f"'{t}'" for t in tags)
 
-    def describe(t: Column) -> Column:
-        tag = F.when(t.startswith("<"), F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1))).otherwise(F.lit(""))
-        return F.struct(tag.alias("tag"), t.alias("raw"))
-
-    def classify(t: Column) -> Column:
-        tag, text = t["tag"], t["raw"]
-        kind = (
-            F.when((tag == "") & (~text.startswith("<") | (text == "<")), F.lit("text"))
-            .when(tag == "", F.lit("other"))
-            .when(text.startswith("</"), F.lit("close"))
-            .when(tag.isin(*VOID), F.lit("leaf"))
-            .when(tag.isin(*RAW) & text.rlike(r"(?is)</[a-z]+\s*>$"), F.lit("raw"))
-            .otherwise(F.lit("open"))
-        )
-        return F.struct(kind.alias("kind"), tag.alias("tag"), text.alias("raw"))
 
-    return F.transform(F.transform(raw, describe), classify)
+# A token with its tag name, then with what kind of token it is.
+_DESCRIBE = """t -> struct(case when startswith(t, '<') then lower(regexp_extract(t, r'^</?([a-zA-Z][^\\s/>]*)', 1)) else '' end as tag, t as raw)"""
+_CLASSIFY = f"""t -> struct(
+    case when t.tag = '' and (not startswith(t.raw, '<') or t.raw = '<') then 'text'
+         when t.tag = '' then 'other'
+         when startswith(t.raw, '</') then 'close'
+         when t.tag in ({_names(VOID)}) then 'leaf'
+         when t.tag in ({_names(RAW)}) and t.raw rlike r'(?is)</[a-z]+\\s*>$' then 'raw'
+         else 'open' end as kind, t.tag, t.raw)"""
 
 
-def _mark(t: Column) -> Column:
-    dark = (F.instr(t["raw"], " ") > 0) & t["raw"].rlike(HIDDEN)
-    return (
-        F.when(t["kind"].isin("text", "other"), F.lit(""))
-        .when(t["kind"] == "close", F.concat(F.lit("-"), t["tag"]))
-        .when(t["kind"] == "open", F.concat(F.when(dark, F.lit("!")).otherwise(F.lit("+")), t["tag"]))
-        .otherwise(F.concat(F.when(dark, F.lit(":")).otherwise(F.lit(".")), t["tag"]))
-    )
+def tokens(html) -> Column:
+    """Array of (kind, tag, raw) in page order."""
+    raw = F.regexp_extract_all(F.col(html) if isinstance(html, str) else html, F.lit(TOKEN), F.lit(0))
+    return F.call_function("transform", F.call_function("transform", raw, F.expr(_DESCRIBE)), F.expr(_CLASSIFY))
+
+
+# What the closing walk gets to see: ``+div``, ``!div`` (hidden), ``-div``, ``.br``, ``:br`` (hidden).
+_MARK = f"""t -> case when t.kind in ('text', 'other') then ''
+    when t.kind = 'close' then concat('-', t.tag)
+    else concat(case when instr(t.raw, ' ') > 0 and t.raw rlike r'{HIDDEN}'
+                     then case when t.kind = 'open' then '!' else ':' end
+                     else case when t.kind = 'open' then '+' else '.' end end, t.tag) end"""
 
 
 def with_nodes(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """Replace the HTML column by ``nodes``; ``keep`` names columns to retain, all others by default."""
     others = [F.col(c) for c in (keep or pages.columns) if c != html]
     lexed = pages.select(*others, tokens(html).alias("_tokens"))
-    closed = lexed.withColumn("_tree", tree_of(F.transform("_tokens", _mark)))
+    closed = lexed.withColumn("_tree", tree_of(F.call_function("transform", F.col("_tokens"), F.expr(_MARK))))
     tree = F.col("_tree")
 
     def node(t: Column, i: Column) -> Column:
@@ -80,7 +76,8 @@ def with_nodes(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ())
             t["kind"].alias("kind"),
             t["tag"].alias("tag"),
             t["raw"].alias("raw"),
-            F.when(t["kind"] == "text", strip(unescape(t["raw"]))).alias("text"),
+            F.when(t["kind"] == "text", unescape(t["raw"])).alias("text"),
+            F.when(t["kind"].isin("open", "leaf", "raw"), _attributes(t)).alias("attrs"),
         )
 
     return closed.withColumn("nodes", F.transform("_tokens", node)).drop("_tokens", "_tree")
@@ -96,23 +93,22 @@ def inside(nodes, n: Column) -> Column:
     return F.slice(nodes, n["pos"] + 2, n["end"] - n["pos"] - 1)
 
 
-def attributes(n: Column) -> Column:
+def _attributes(n: Column) -> Column:
     """Attributes of a start tag as an array of (name, value), in order."""
     head = F.when(n["kind"] == "raw", F.regexp_extract(n["raw"], r"(?s)^(<[^>]*>)", 1)).otherwise(n["raw"])
     body = F.regexp_replace(head, r"^<[a-zA-Z][^\s/>]*|/?>$", "")
-    part = lambda k: F.regexp_extract_all(body, F.lit(ATTRIBUTE), F.lit(k))
-    return F.transform(
-        F.arrays_zip(part(1).alias("n"), part(2).alias("a"), part(3).alias("b"), part(4).alias("c")),
-        lambda x: F.struct(
-            F.lower(x["n"]).alias("name"), unescape(F.concat(x["a"], x["b"], x["c"])).alias("value")
-        ),
-    )
+
+    def pair(text: Column) -> Column:
+        value = F.regexp_replace(text, r"""(?s)^[^=]*=\s*["']?|["']$|^[^=]*$""", "")
+        return F.struct(F.lower(F.regexp_extract(text, r"^[^\s=]+", 0)).alias("name"), unescape(value).alias("value"))
+
+    found = F.transform(F.regexp_extract_all(body, F.lit(ATTRIBUTE), F.lit(0)), pair)
+    return F.when(F.length(head) > F.length(n["tag"]) + 2, found)
 
 
 def attribute(n: Column, name: str) -> Column:
     """First value of an attribute; empty text when it has none, null when it is absent."""
-    hit = F.get(F.filter(attributes(n), lambda a: a["name"] == name.lower()), F.lit(0))
-    return F.when(F.instr(F.lower(n["raw"]), name.lower()) > 0, hit["value"])
+    return F.get(F.filter(n["attrs"], lambda a: a["name"] == name.lower()), F.lit(0))["value"]
 
 
 def script_body(n: Column) -> Column:
@@ -121,7 +117,8 @@ def script_body(n: Column) -> Column:
 
 
 def _joined(texts: Column) -> Column:
-    return F.array_join(F.transform(F.filter(texts, lambda t: (t["kind"] == "text") & (t["text"] != "")), lambda t: t["text"]), "\n")
+    runs = F.transform(F.filter(texts, lambda t: t["kind"] == "text"), lambda t: strip(t["text"]))
+    return F.array_join(F.filter(runs, lambda r: r != ""), "\n")
 
 
 def subtree_text(nodes, n: Column) -> Column:
@@ -138,7 +135,7 @@ def own_texts(nodes, n: Column) -> Column:
     """Direct text nodes of an element (of a raw-text element: its body)."""
     direct = F.transform(
         F.filter(inside(nodes, n), lambda t: (t["kind"] == "text") & (t["parent"] == n["pos"])),
-        lambda t: unescape(t["raw"]),
+        lambda t: t["text"],
     )
     return F.when(n["kind"] == "raw", F.array(script_body(n))).otherwise(direct)
 
@@ -163,4 +160,4 @@ def page_title(nodes="nodes") -> Column:
 def node_rows(dom: DataFrame, *keys: str) -> DataFrame:
     """One row per element: the node table, for work across pages."""
     rows = dom.select(*keys, F.explode(F.filter("nodes", is_element)).alias("n"))
-    return rows.select(*keys, "n.pos", "n.end", "n.parent", "n.depth", "n.nth", "n.hidden", "n.kind", "n.tag", "n.raw")
+    return rows.select(*keys, "n.pos", "n.end", "n.parent", "n.depth", "n.nth", "n.hidden", "n.kind", "n.tag", "n.attrs")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weblode.functions.text import clean, drop_zero_width, let, squeeze_markdown, strip, unescape
+from weblode.functions.text import clean, drop_zero_width, let, squeeze_markdown, strip
 from weblode.functions.urls import drop_fragment, host, host_is, resolve, site
 from weblode.operators import dom
 from weblode.operators.select import Step, select, select_any
@@ -255,7 +255,7 @@ def _pieces(nodes: Column, lo: Column, hi: Column, base: Column) -> Column:
         return n["tag"].isin(*tags)
 
     def opening(n: Column) -> Column:
-        out = F.when(n["kind"] == "text", F.regexp_replace(drop_zero_width(unescape(n["raw"])), r"[\s\x{a0}]+", " "))
+        out = F.when(n["kind"] == "text", F.regexp_replace(drop_zero_width(n["text"]), r"[\s\x{a0}]+", " "))
         for tag, mark in _HEADINGS.items():
             out = out.when(is_tag(n, tag), F.lit(f"\n\n{mark} "))
         for tag, mark in _EMPHASIS.items():
@@ -327,7 +327,7 @@ def visible_text(pos: Column | None = None) -> Column:
         node = F.get(nodes, pos)
         inner = F.filter(dom.inside(nodes, node), lambda n: (n["kind"] == "text") & ~n["hidden"])
         shown = F.when(pos.isNotNull(), inner).otherwise(shown)
-    texts = F.transform(shown, lambda n: drop_zero_width(n["text"]))
+    texts = F.transform(shown, lambda n: strip(drop_zero_width(n["text"])))
     return F.array_join(F.filter(texts, lambda t: t != ""), "\n")
 
 
@@ -412,9 +412,9 @@ def outline(doms: DataFrame, keep=("page_id",), max_depth: int = 6, max_lines: i
 def find_similar(rows: DataFrame, like: DataFrame, keep=("page_id",)) -> DataFrame:
     """Node rows built like the ones in ``like``: same depth, tag, parent tag and attribute names."""
     keys = list(keep)
-    names = lambda: F.array_sort(F.array_distinct(F.transform(dom.attributes(F.struct("kind", "raw")), lambda a: a["name"])))
+    names = F.array_sort(F.array_distinct(F.coalesce(F.transform("attrs", lambda a: a["name"]), F.array().cast("array<string>"))))
     parents = rows.select(*keys, F.col("pos").alias("parent"), F.col("tag").alias("parent_tag"))
-    shaped = rows.withColumn("attr_names", names()).join(parents, [*keys, "parent"], "left")
+    shaped = rows.withColumn("attr_names", names).join(parents, [*keys, "parent"], "left")
     wanted = like.select(*keys, "pos").distinct()
     shape = [*keys, "depth", "tag", "parent_tag", "attr_names"]
     patterns = shaped.join(wanted, [*keys, "pos"], "left_semi").select(*shape).distinct()
