@@ -51,3 +51,259 @@ def problem_pages(spark, root) -> DataFrame:
         "page_id", F.col("url").alias("requested_url"), final.alias("url"),
         F.when(F.col("page_id") % 40 == 8, 410).otherwise(200).alias("status"), html.alias("html"),
     )
+
+
+def _xml(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _listed(column: str, order: str, sep: str = ""):
+    """Texts of a bounded group in order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, column))), lambda x: x[column]), sep)
+
+
+def feeds(spark, root) -> DataFrame:
+    """RSS (even sources) and Atom (odd) bodies, one per source and block of 400 documents."""
+    d = table(spark, root, "documents")
+    i = F.col("doc_id").cast("string")
+    title = F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.left("text", F.lit(60)))
+    link = F.concat(F.lit("https://"), "source", F.lit(".example.com/d/"), i)
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
+    even = F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 2 == 0
+    item = F.when(
+        even,
+        F.concat(F.lit("<item><title>"), _xml(title), F.lit("</title><link>"), link, F.lit("</link><pubDate>"), day,
+                 F.lit("</pubDate><description>"), _xml(_xml(F.col("text"))), F.lit("</description></item>")),
+    ).otherwise(
+        F.concat(F.lit("<entry><title>"), _xml(title), F.lit('</title><link rel="self" href="x"/><link href="'), link, F.lit('"/><updated>'), day,
+                 F.lit("</updated><summary>short</summary><content>"), _xml(_xml(F.col("text"))), F.lit("</content></entry>")),
+    )
+    rows = d.select("source", F.floor(F.col("doc_id") / 400).alias("block"), "doc_id", item.alias("item"), even.alias("even"))
+    g = rows.groupBy("source", "block", "even").agg(_listed("item", "doc_id").alias("items"))
+    head = F.lit('<?xml version="1.0" encoding="utf-8"?>')
+    body = F.when(
+        F.col("even"), F.concat(head, F.lit('<rss version="2.0"><channel><title>'), "source", F.lit("</title>"), "items", F.lit("</channel></rss>"))
+    ).otherwise(F.concat(head, F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>'), "source", F.lit("</title>"), "items", F.lit("</feed>")))
+    return g.select("source", "block", body.alias("body"))
+
+
+def pages_with_feed(spark, root) -> DataFrame:
+    """Pages, every third of which advertises a feed."""
+    p = table(spark, root, "pages")
+    tag = F.concat(F.lit('<head><link rel="alternate" type="application/rss+xml" href="/feed/'), F.col("page_id").cast("string"), F.lit('.xml">'))
+    return p.select("page_id", "url", F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("<head>"), tag)).otherwise(F.col("html")).alias("html"))
+
+
+def thread_pages(spark, root) -> DataFrame:
+    """One thread page per conversation and block of 100 turns."""
+    c = table(spark, root, "conversations")
+    i, n = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    said = F.when(F.col("turn") % 5 == 0, F.lit("")).otherwise(_xml(F.col("text")))
+    comment = F.when(
+        F.col("turn") > 0,
+        F.concat(
+            F.lit('<shreddit-comment author="'), "role", F.lit('" depth="'), ((F.col("turn") - 1) % 3).cast("string"), F.lit('" score="'),
+            (F.col("turn") * 2).cast("string"), F.lit('" thingid="t1_'), i, F.lit("_"), n, F.lit('" permalink="/r/c/comments/'), i, F.lit("/comment/"), n,
+            F.lit('/" created="2024-02-03T04:05:06+0000"><div id="t1_'), i, F.lit("_"), n, F.lit('-comment-rtjson-content" slot="comment"><p>'), said,
+            F.lit("</p></div></shreddit-comment>"),
+        ),
+    )
+    # The opening turn is repeated on every block's page.
+    rows = c.select("conv_id", F.floor(F.col("turn") / 100).alias("block"), "turn", comment.alias("comment"))
+    g = rows.groupBy("conv_id", "block").agg(_listed("comment", "turn").alias("comments"))
+    opening = c.filter(F.col("turn") == 0).select("conv_id", F.col("text").alias("opening"))
+    turns = c.groupBy("conv_id").agg(F.count("*").alias("turns"))
+    t = g.join(opening, "conv_id").join(turns, "conv_id")
+    i = F.col("conv_id").cast("string")
+    html = F.concat(
+        F.lit('<html><body><main><shreddit-post post-title="Thread '), i, F.lit('" author="user'), i, F.lit('" score="33" comment-count="'),
+        F.col("turns").cast("string"), F.lit('" post-type="text" subreddit-prefixed-name="r/c" created-timestamp="2024-02-03T00:00:00+0000"><div slot="text-body"><div id="t3_'), i,
+        F.lit('-post-rtjson-content"><p>'), _xml(F.col("opening")), F.lit('</p></div><button>Read more</button></div></shreddit-post>'), "comments",
+        F.lit("</main></body></html>"),
+    )
+    return t.select("conv_id", "block", F.concat(F.lit("https://www.reddit.com/r/c/comments/"), i, F.lit("/?part="), F.col("block").cast("string")).alias("url"), html.alias("html"))
+
+
+def post_bodies(spark, root) -> DataFrame:
+    """Post JSON per conversation turn; every 6th quotes the turn before, every 9th is withheld."""
+    c = table(spark, root, "conversations").withColumn("n", F.col("conv_id") * 1000 + F.col("turn"))
+    i = F.col("n").cast("string")
+
+    def post():
+        return [
+            F.lit("Tweet").alias("__typename"), i.alias("id_str"),
+            F.concat(F.lit("see https://t.co/a"), i, F.lit("z "), "text", F.lit(" https://t.co/m"), i, F.lit("z")).alias("text"),
+            F.lit("2024-01-01T00:00:00.000Z").alias("created_at"), (F.col("n") * 7).alias("favorite_count"), F.col("turn").alias("conversation_count"),
+            F.struct(F.concat(F.lit("Name "), "role").alias("name"), F.col("role").alias("screen_name")).alias("user"),
+            F.struct(
+                F.array(F.struct(F.concat(F.lit("https://t.co/a"), i, F.lit("z")).alias("url"), F.concat(F.lit("https://example.com/"), i).alias("expanded_url"))).alias("urls"),
+                F.array(F.struct(F.concat(F.lit("https://t.co/m"), i, F.lit("z")).alias("url"))).alias("media"),
+            ).alias("entities"),
+        ]
+
+    clip = lambda rate, kind, name: F.struct(F.lit(rate).alias("bitrate"), F.lit(kind).alias("content_type"), F.concat(F.lit(f"https://v/{name}/"), i).alias("url"))
+    media = F.array(F.struct(
+        F.concat(F.lit("https://img/"), i).alias("media_url_https"),
+        F.struct(F.array(clip(None, "application/x-mpegURL", "m3u8"), clip(300, "video/mp4", "low"), clip(900, "video/mp4", "high"), clip(900, "video/mp4", "same")).cast(
+            "array<struct<bitrate:int,content_type:string,url:string>>").alias("variants")).alias("video_info"),
+    ), F.struct(F.concat(F.lit("https://img2/"), i).alias("media_url_https"), F.lit(None).cast(
+        "struct<variants:array<struct<bitrate:int,content_type:string,url:string>>>").alias("video_info")))
+    quoted = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.struct(*post()).alias("q"))
+    d = c.join(quoted, ["conv_id", "turn"], "left")
+    body = F.when(
+        F.col("n") % 9 == 0, F.lit('{"__typename":"TweetTombstone","tombstone":{"text":{"text":"This post is  unavailable."}}}')
+    ).otherwise(F.to_json(F.struct(*post(), media.alias("mediaDetails"), F.when(F.col("n") % 6 == 0, F.col("q")).alias("quoted_tweet"))))
+    return d.select(F.col("n").alias("post_id"), body.alias("body"))
+
+
+def video_files(spark, root) -> DataFrame:
+    """One video per conversation and block of 200 turns: info JSON, json3 and WebVTT captions."""
+    c = table(spark, root, "conversations")
+    k = F.col("conv_id") % 4
+    at = F.col("turn") % 200
+    words = F.regexp_replace("text", r"\s+", " ")
+    half = (F.length(words) / 2).cast("int")
+    ms = (at * 7500).cast("long")
+    event = F.to_json(F.struct(ms.alias("tStartMs"), F.array(
+        F.struct(F.left(words, half).alias("utf8")), F.struct(F.substr(words, half + 1).alias("utf8"))).alias("segs")))
+    sec = F.floor(ms / 1000)
+    clock = lambda s: F.format_string("%02d:%02d:%02d.%03d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60, ms % 1000)
+    rows = c.select("conv_id", F.floor(F.col("turn") / 200).alias("block"), "turn", event.alias("event"), words.alias("words"), clock(sec).alias("stamp"),
+                    F.when(at % 3 == 0, F.concat(F.lit('{"start_time":'), (at * 7.5).cast("string"), F.lit(',"title":"Part '), (at / 3).cast("int").cast("string"), F.lit('"}'))).alias("mark"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id", "block").orderBy("turn")
+    before = F.coalesce(F.concat(F.lag("words").over(w), F.lit("\n")), F.lit(""))
+    cue = F.concat("stamp", F.lit(" --> "), "stamp", F.lit("\n"), before, F.lit("<c>"), _xml(F.col("words")), F.lit("</c>\n\n"))
+    rows = rows.withColumn("cue", cue)
+    g = rows.groupBy("conv_id", "block").agg(
+        _listed("event", "turn", ",").alias("events"), _listed("cue", "turn").alias("cues"), F.count("*").alias("n"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("mark").isNotNull(), F.struct("turn", "mark")))), lambda x: x["mark"]), ",").alias("marks"),
+    )
+    subs = (
+        F.when(k == 0, F.lit('"subtitles":{"live_chat":[],"fr":[],"en":[]},"automatic_captions":{"en-orig":[],"es":[]},"language":"en"'))
+        .when(k == 1, F.lit('"subtitles":{},"automatic_captions":{"es":[],"de-orig":[],"de":[]},"language":"de"'))
+        .when(k == 2, F.lit('"subtitles":{"pt-BR":[]},"automatic_captions":{"en":[]}'))
+        .otherwise(F.lit('"subtitles":{},"automatic_captions":{}'))
+    )
+    i = F.col("conv_id").cast("string")
+    info = F.concat(
+        F.lit('{"title":"Video '), i, F.lit('","channel":'), F.when(k == 1, F.lit('null,"uploader":"up"')).otherwise(F.lit('"chan"')),
+        F.lit(',"webpage_url":"https://www.youtube.com/watch?v=v'), i, F.lit('","upload_date":"'), F.when(k == 2, F.lit("2024")).otherwise(F.lit("20240305")),
+        F.lit('","duration":'), (F.col("n") * 7.5).cast("string"), F.lit(',"view_count":'), (F.col("conv_id") * 1000).cast("string"), F.lit(',"like_count":'), i,
+        F.lit(',"description":"  about '), i, F.lit(' ","chapters":['), "marks", F.lit("],"), subs, F.lit("}"),
+    )
+    return g.select(
+        "conv_id", "block", info.alias("info"), F.concat(F.lit('{"events":['), "events", F.lit("]}")).alias("json3"),
+        F.concat(F.lit("WEBVTT\nKind: captions\nLanguage: en\n\n"), "cues").alias("vtt"),
+    )
+
+
+def playlists(spark, root) -> DataFrame:
+    """Playlist JSON per part brand and block of 100 parts."""
+    p = table(spark, root, "part")
+    i = F.col("p_partkey").cast("string")
+    entry = F.concat(
+        F.lit('{"id":"v'), i, F.lit('","title":"'), "p_name", F.lit('"'),
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(',"url":"https://v.example.com/'), i, F.lit('"'))).when(
+            F.col("p_partkey") % 3 == 1, F.concat(F.lit(',"webpage_url":"https://w.example.com/'), i, F.lit('"'))).otherwise(F.lit("")),
+        F.lit(',"duration":'), F.col("p_size").cast("string"), F.lit(',"uploader":"'), "p_type", F.lit('","view_count":'), i, F.lit("}"),
+    )
+    rows = p.select("p_brand", F.floor(F.col("p_partkey") / 100).alias("block"), "p_partkey", entry.alias("entry"))
+    g = rows.groupBy("p_brand", "block").agg(_listed("entry", "p_partkey", ",").alias("entries"))
+    return g.select("p_brand", "block", F.concat(F.lit('{"_type":"playlist","title":"'), "p_brand", F.lit('","entries":['), "entries", F.lit("]}")).alias("info"))
+
+
+def catalogue_bodies(spark, root) -> DataFrame:
+    """Catalogue pages: four stores by part, 250 products a page, variants by supplier.
+
+    A product holds at most 200 suppliers (its part and a block of suppliers),
+    so neither a hot part nor a hot supplier makes a body grow.
+    """
+    li = table(spark, root, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_extendedprice").alias("p"))
+    cents = F.round(F.col("p") * 100).cast("long")
+    price = F.when(F.col("l_suppkey") % 10 != 3, F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")))
+    ok = (F.col("l_partkey") % 5 != 0) & (F.col("l_suppkey") % 2 == 0)
+    one = F.to_json(F.struct(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("title"), F.concat(F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string")).alias("sku"),
+        price.alias("price"), ok.alias("available")))
+    v = li.select(F.col("l_partkey").alias("p_partkey"), F.floor(F.col("l_suppkey") / 200).alias("sblock"), "l_suppkey", one.alias("v"))
+    v = v.groupBy("p_partkey", "sblock").agg(_listed("v", "l_suppkey", ",").alias("vs"))
+    p = table(spark, root, "part").filter(~((F.col("p_partkey") % 4 == 3) & F.floor(F.col("p_partkey") / 4).between(10, 12)))
+    d = p.join(v, "p_partkey")
+    i = F.col("p_partkey").cast("string")
+    tags = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('["'), "p_type", F.lit('","'), "p_brand", F.lit('"]'))).otherwise(F.concat(F.lit('"'), "p_type", F.lit('"')))
+    body = F.concat(
+        F.lit('{"title":"'), "p_name", F.lit('","vendor":"'), "p_brand", F.lit('","product_type":"'), "p_type", F.lit('","tags":'), tags,
+        F.lit(',"handle":"p-'), i, F.lit('","images":['), F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('{"src":"https://img/'), i, F.lit('"}'))),
+        F.lit('],"published_at":"2024-01-01","variants":['), "vs", F.lit("]}"),
+    )
+    rows = d.select(
+        F.concat(F.lit("https://shop"), (F.col("p_partkey") % 4).cast("string"), F.lit("-"), F.col("sblock").cast("string"), F.lit(".example.com")).alias("store"),
+        F.floor(F.col("p_partkey") / 1000).alias("page_no"), "p_partkey", body.alias("product"))
+    g = rows.groupBy("store", "page_no").agg(_listed("product", "p_partkey", ",").alias("ps"))
+    return g.select("store", "page_no", F.concat(F.lit('{"products":['), "ps", F.lit("]}")).alias("body"))
+
+
+def repo_bodies(spark, root) -> DataFrame:
+    s = table(spark, root, "supplier")
+    k, i = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    body = F.to_json(F.struct(
+        F.concat(F.lit("org/repo"), i).alias("full_name"), F.when(k % 4 != 0, F.col("s_name")).alias("description"), (k * 100).alias("stargazers_count"), k.alias("forks_count"),
+        (k % 13).alias("open_issues_count"), F.when(k % 3 != 0, F.lit("Python")).alias("language"),
+        F.when(k % 5 != 0, F.struct(F.lit("MIT").alias("spdx_id"))).alias("license"), F.lit("main").alias("default_branch"),
+        F.lit("2020-05-06T01:02:03Z").alias("created_at"), F.lit("2024-05-06T01:02:03Z").alias("pushed_at"),
+        F.when(k % 2 == 0, F.array(F.lit("a"), F.concat(F.lit("t"), i))).otherwise(F.array().cast("array<string>")).alias("topics"),
+        F.when(k % 7 != 0, F.lit("https://home/")).otherwise(F.lit("")).alias("homepage"), F.concat(F.lit("https://github.com/org/repo"), i).alias("html_url")))
+    return s.select("s_suppkey", body.alias("body"))
+
+
+def captured(spark, root) -> DataFrame:
+    """API calls out of events: 50 rows a page, every 10th answer plain text."""
+    e = table(spark, root, "events")
+    last = F.floor(F.max("event_id") / 50)
+    row = F.to_json(F.struct("event_id", "event_type", "user_id"))
+    g = e.select(F.floor(F.col("event_id") / 50).alias("page"), "event_id", row.alias("row")).groupBy("page").agg(_listed("row", "event_id", ",").alias("rows"))
+    top = e.select(last.alias("last"), F.lit(1).alias("_one"))
+    d = g.withColumn("_one", F.lit(1)).join(top, "_one")
+    n = F.col("page").cast("string")
+    text = F.col("page") % 10 == 9
+    body = F.when(text, F.concat(F.lit("plain answer "), n)).otherwise(
+        F.concat(F.lit('{"rows":['), "rows", F.lit('],"has_next":'), F.when(F.col("page") < F.col("last"), F.lit("true")).otherwise(F.lit("false")), F.lit("}")))
+    return d.select(
+        "page", F.concat(F.lit("https://app.example.com/api/events?page="), n, F.lit("&size=50")).alias("url"), F.lit(200).alias("status"),
+        F.when(text, F.lit("text/plain")).otherwise(F.lit("application/json")).alias("media"), body.alias("body"))
+
+
+def search_results(spark, root) -> DataFrame:
+    """Search-result text per block of 10 documents."""
+    d = table(spark, root, "documents")
+    i = F.col("doc_id").cast("string")
+    block = F.concat(
+        F.lit("Title: "), F.regexp_replace(F.left("text", F.lit(40)), r"\s+", " "), F.lit("\nURL: https://"), "source", F.lit(".example.com/"), (F.col("doc_id") % 200).cast("string"),
+        F.when(F.col("doc_id") % 4 != 0, F.lit("\nPublished: 2024-01-02")).otherwise(F.lit("")), F.lit("\nText: "), F.regexp_replace("text", "\n", " "), F.lit("\n\n"))
+    rows = d.select(F.floor(F.col("doc_id") / 10).alias("query_id"), "doc_id", block.alias("b"))
+    return rows.groupBy("query_id").agg(_listed("b", "doc_id").alias("text"))
+
+
+def table_pages(spark, root) -> DataFrame:
+    """One page per region with a table of its nations."""
+    n, r = table(spark, root, "nation"), table(spark, root, "region")
+    row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("<td><b>"), "n_name", F.lit("</b></td></tr>"))
+    g = n.select(F.col("n_regionkey").alias("r_regionkey"), "n_nationkey", row.alias("row")).groupBy("r_regionkey").agg(_listed("row", "n_nationkey").alias("rows"))
+    html = F.concat(F.lit("<html><body><table><thead><tr><th>Key<th>"), "r_name", F.lit("</tr></thead><tbody>"), "rows", F.lit("</tbody></table></body></html>"))
+    return g.join(r, "r_regionkey").select(F.col("r_regionkey").alias("page_id"), F.lit("https://t.example.com/").alias("url"), html.alias("html"))
+
+
+def embedded_pages(spark, root) -> DataFrame:
+    """Pages with ld+json, a JSON script and a state assignment; every 8th is malformed."""
+    p = table(spark, root, "part")
+    i = F.col("p_partkey").cast("string")
+    ok = F.col("p_partkey") % 8 != 0
+    ld = F.concat(F.lit('{"@type": "Product", "name": "'), "p_name", F.lit('"'), F.when(ok, F.lit("}")).otherwise(F.lit("")))
+    state = F.concat(F.lit('window.__STATE_A__ = {"size": '), F.col("p_size").cast("string"), F.lit(', "s": "a};{\\"b"}; window.__LIST__ = [1, [2]'), F.when(ok, F.lit("]")).otherwise(F.lit("")),
+                     F.lit(' ; track({"x": 1});'))
+    html = F.concat(
+        F.lit('<html><head><script type="application/ld+json">'), ld, F.lit('</script><script id="__NEXT_DATA__" type="application/json">{"k": '), i,
+        F.lit('}</script><script type="application/json">{"second": '), i, F.lit("}</script><script>"), state, F.lit("</script></head><body><p>x</p></body></html>"))
+    return p.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://e.example.com/"), i).alias("url"), html.alias("html"))
