@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from weblode.functions.text import apply, strip
+from weblode.functions.text import apply, let, strip
 
 _SCHEME = r"[a-zA-Z][a-zA-Z0-9+.-]*"
 
@@ -74,10 +74,15 @@ def origin(u) -> Column:
 
 def normalize(u) -> Column:
     """Trimmed http(s) URL with a scheme, or null when it is none."""
-    text = strip(u)
-    full = F.when(text.rlike(rf"^{_SCHEME}://"), text).otherwise(F.concat(F.lit("https://"), text))
-    brackets = netloc(full).contains("[") == netloc(full).contains("]")
-    return F.when(scheme(full).isin("http", "https") & (host(full) != "") & brackets, full)
+
+    def judge(full: Column) -> Column:
+        brackets = netloc(full).contains("[") == netloc(full).contains("]")
+        return F.when(scheme(full).isin("http", "https") & (host(full) != "") & brackets, full)
+
+    def complete(text: Column) -> Column:
+        return F.when(text.rlike(rf"^{_SCHEME}://"), text).otherwise(F.concat(F.lit("https://"), text))
+
+    return let(let(strip(u), complete), judge)
 
 
 def host_is(h, *domains) -> Column:

@@ -7,7 +7,7 @@ import ipaddress
 from pyspark.sql import Column, functions as F
 
 from weblode.functions import urls
-from weblode.functions.text import apply
+from weblode.functions.text import apply, let
 
 # Name endings of internal hosts.
 INTERNAL = (
@@ -73,19 +73,25 @@ def _in_v6(text: Column, blocks) -> Column:
 
 def is_public_host(host: Column) -> Column:
     """A dotted name outside internal suffixes, or a globally reachable address."""
-    h = F.regexp_replace(F.lower(F.coalesce(host, F.lit(""))), r"\.+$", "")
-    number = _v4_number(h)
-    v4_ok = lambda n: ~_in_v4(n, CLOSED_V4) | _in_v4(n, OPEN_V4)
-    six = _v6_text(h)
-    mapped = F.conv(F.right(six, F.lit(8)), 16, 10).cast("long")
-    v6_ok = F.when(six.startswith("0" * 20 + "ffff"), v4_ok(mapped)).otherwise(~_in_v6(six, CLOSED_V6) | _in_v6(six, OPEN_V6))
-    inside = F.lit(False)
-    for suffix in INTERNAL:
-        inside = inside | h.endswith(suffix)
-    return (
-        F.when(h == "", F.lit(False)).when(h.rlike(_V4), v4_ok(number)).when(h.contains(":"), F.coalesce(v6_ok, F.lit(False)))
-        .otherwise(h.contains(".") & ~inside)
-    )
+
+    def v4_ok(n: Column) -> Column:
+        return ~_in_v4(n, CLOSED_V4) | _in_v4(n, OPEN_V4)
+
+    def v6_ok(digits: Column) -> Column:
+        mapped = F.conv(F.right(digits, F.lit(8)), 16, 10).cast("long")
+        plain = ~_in_v6(digits, CLOSED_V6) | _in_v6(digits, OPEN_V6)
+        return F.when(digits.startswith("0" * 20 + "ffff"), let(mapped, v4_ok)).otherwise(plain)
+
+    def name_ok(h: Column) -> Column:
+        return h.contains(".") & ~F.rlike(h, F.lit("(" + "|".join(s.replace(".", r"\.") for s in INTERNAL) + ")$"))
+
+    def test(h: Column) -> Column:
+        return (
+            F.when(h == "", F.lit(False)).when(h.rlike(_V4), let(_v4_number(h), v4_ok))
+            .when(h.contains(":"), F.coalesce(let(_v6_text(h), v6_ok), F.lit(False))).otherwise(name_ok(h))
+        )
+
+    return let(F.regexp_replace(F.lower(F.coalesce(host, F.lit(""))), r"\.+$", ""), test)
 
 
 def has_secret_params(url: Column) -> Column:
@@ -96,6 +102,10 @@ def has_secret_params(url: Column) -> Column:
 
 def sharing_problems(url: Column, credentials: Column | None = None) -> Column:
     """Reasons not to hand a URL to a third party; empty when it may go."""
+    return let(url, lambda u: _sharing_problems(u, credentials))
+
+
+def _sharing_problems(url: Column, credentials: Column | None) -> Column:
     reasons = [
         F.when(urls.userinfo(url) != "", F.lit("carries a user name")),
         F.when(~is_public_host(urls.host(url)), F.lit("host is not public")),

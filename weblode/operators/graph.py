@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weblode.functions import urls
 from weblode.functions.text import strip, unescape
-from weblode.operators.waves import durable
+from weblode.operators.waves import Growing, durable
 
 # Fixed value: where sitemaps are looked for when robots.txt names none.
 DEFAULT_SITEMAPS = ("/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml")
@@ -42,7 +42,7 @@ def expand_sitemaps(
     ``max_docs`` and ``limit`` cut per site along that order.
     """
     place = lambda p: F.lpad(p.cast("string"), 8, "0")
-    front = roots.groupBy("site", "url").agg(F.min(place(F.col("pos"))).alias("path"))
+    front = roots.groupBy("site", "url").agg(F.min(F.concat(place(F.col("pos")), F.lit("~"), "url")).alias("path"))
     seen = None
     found = []
     used = None
@@ -135,7 +135,7 @@ def allowed_by_robots(candidates: DataFrame, rules: DataFrame, url: str = "url")
         F.lit("^"), F.regexp_replace(F.regexp_replace(rule, r"([.+?^(){}\[\]|\\])", r"\\$1"), r"\*", ".*"))
     d = candidates.withColumn("host", urls.host(url)).withColumn("_target", target).join(per_host, "host", "left")
     hit = F.aggregate(
-        F.filter("_rules", lambda r: F.col("_target").rlike(pattern(r["rule"]))),
+        F.filter("_rules", lambda r: F.rlike(F.col("_target"), pattern(r["rule"]))),
         F.struct(F.lit(-1).alias("len"), F.lit(True).alias("allow")),
         lambda a, r: F.when(
             (F.length(r["rule"]) > a["len"]) | ((F.length(r["rule"]) == a["len"]) & r["allow"]),
@@ -164,36 +164,33 @@ def reach(
 
     ``starts`` is (domain, url), ``links`` (source, pos, url) of stored pages;
     only stored pages (sources) are reached.  Waves join the frontier with the
-    links and drop what was seen; each wave is written to the checkpoint
-    folder.  ``max_pages`` cuts per domain in discovery order (wave, then
+    links and drop what was seen; each wave is written to the shared folder.  ``max_pages`` cuts per domain in discovery order (wave, then
     URL).  ``visited`` holds (domain, url) of an earlier run to continue from.
     """
-    stored = durable(links.select(F.col("source").alias("url")).distinct())
-    edges = links.select("source", "url").filter(F.col("url").rlike("^https?://") & allow_deny(F.col("url"), allow, deny)).distinct()
-    front = starts.select("domain", "url").distinct()
-    done = visited.select("domain", "url") if visited is not None else None
-
-    def admit(candidates: DataFrame) -> DataFrame:
-        c = candidates.join(stored, "url", "left_semi")
-        if rules is not None:
-            c = allowed_by_robots(c, rules)
-        return c
-
-    seen = front if done is None else front.unionByName(done).distinct()
-    wave = durable(admit(front).withColumn("depth", F.lit(0)))
-    out = wave
+    spark = links.sparkSession
+    # Which stored pages may be read is settled once, not in every wave.
+    stored = links.select(F.col("source").alias("url")).distinct()
+    pages = durable(stored if rules is None else allowed_by_robots(stored, rules), "pages")
+    wanted = F.col("url").rlike("^https?://") & allow_deny(F.col("url"), allow, deny)
+    edges = durable(links.select("source", "url").filter(wanted).distinct().join(pages, "url", "left_semi"), "edges")
+    start = starts.select("domain", "url").distinct().join(pages, "url", "left_semi")
+    if visited is not None:
+        visited = durable(visited.select("domain", "url").distinct(), "visited")
+    reached = Growing(spark, "reached")
+    wave = reached.add(start.select("domain", "url", F.lit(0).alias("depth")))
     for depth in range(1, max_depth):
         if wave.isEmpty():
             break
-        step = wave.select("domain", F.col("url").alias("source")).join(edges, "source").select("domain", "url").distinct()
-        fresh = step.filter(urls.host_is(urls.host("url"), F.col("domain"))).join(seen, ["domain", "url"], "left_anti")
-        wave = durable(admit(fresh).withColumn("depth", F.lit(depth)))
-        seen = durable(seen.unionByName(wave.select("domain", "url")))
-        out = out.unionByName(wave)
+        step = wave.select("domain", F.col("url").alias("source")).join(edges, "source").select("domain", "url")
+        fresh = step.filter(urls.host_is(urls.host("url"), F.col("domain"))).distinct().join(reached.all(), ["domain", "url"], "left_anti")
+        if visited is not None:
+            fresh = fresh.join(visited, ["domain", "url"], "left_anti")
         if max_pages is not None:
-            # Once a domain is full its frontier does not go on.
-            full = out.groupBy("domain").agg(F.count("*").alias("_n")).filter(F.col("_n") >= max_pages).select("domain")
-            wave = wave.join(full, "domain", "left_anti")
+            # A domain that is full does not go on.
+            full = reached.all().groupBy("domain").agg(F.count("*").alias("_n")).filter(F.col("_n") >= max_pages)
+            fresh = fresh.join(full, "domain", "left_anti")
+        wave = reached.add(fresh.select("domain", "url", F.lit(depth).alias("depth")))
+    out = reached.all()
     if max_pages is not None:
         order = Window.partitionBy("domain").orderBy("depth", "url")
         out = out.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_pages).drop("_n")

@@ -3,23 +3,54 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write a table to the shared checkpoint folder and cut its lineage.
+_LOCAL: dict[str, str] = {}
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only
-    a local session without one gets a folder of its own.
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without one gets a folder of its own.
     """
-    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="weblode-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="weblode-")
+    return _LOCAL[sc.applicationId]
+
+
+def fresh_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, what: str = "wave") -> DataFrame:
+    """Write a table to the shared folder and read it back: computed once,
+    independent of the executors that made it, and of known size to the next join."""
+    path = fresh_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Growing:
+    """A table that grows by one written part per wave and is read as one scan."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.folder, self.parts, self.schema = spark, fresh_path(spark, what), [], None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/part-{len(self.parts):05d}"
+        df.write.parquet(path)
+        self.schema = self.schema or df.schema
+        self.parts.append(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.parts)
