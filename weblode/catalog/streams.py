@@ -1 +1,86 @@
-"""Queries."""
+"""Streaming runs over the given tables, each compared with its batch twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weblode.catalog import REGISTRY, query
+from weblode.catalog.attempts import ATTEMPTS
+from weblode.operators import dom
+from weblode.operators.waves import fresh_path
+from weblode.sources import fixtures
+from weblode.sources.responses import lift, spread
+from weblode.streaming import jobs, runs
+
+
+def _attempt_stream(spark, root):
+    return fixtures.attempts_of(runs.table_stream(spark, root, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_intake", REGISTRY["page_titles"].twin)
+def stream_intake(spark, root):
+    """Stored pages arrive as a stream and leave as (page_id, url, title)."""
+    folder = fresh_path(spark, "intake")
+    jobs.intake(
+        runs.table_stream(spark, root, "pages"), folder,
+        lambda df: dom.with_nodes(lift(spread(df))).select("page_id", "url", dom.page_title().alias("title")),
+    )
+    return runs.read_rows(spark, folder).drop("batch")
+
+
+@query("stream_watch", REGISTRY["watch_changes"].twin)
+def stream_watch(spark, root):
+    folder = fresh_path(spark, "watch")
+    stream = runs.table_stream(spark, root, "events").select("user_id", "event_id", "ts", "event_type")
+    jobs.watch(stream, folder, ["user_id"], ["ts", "event_id"], F.to_date("ts"), "event_type")
+    return runs.read_rows(spark, folder).select("user_id", "event_id", "old", "new")
+
+
+@query("stream_novelty", "select distinct 'https://f' || (user_id % 100) || '.example.com/' || event_type || '/' || (value::int) as link from events")
+def stream_novelty(spark, root):
+    """Feed items read again and again: each link is new once."""
+    folder = fresh_path(spark, "novelty")
+    e = runs.table_stream(spark, root, "events")
+    link = F.concat(F.lit("https://f"), (F.col("user_id") % 100).cast("string"), F.lit(".example.com/"), "event_type", F.lit("/"), F.expr("cast(bround(value, 0) as int)").cast("string"))
+    items = e.select(link.alias("link"), F.col("ts").cast("timestamp").alias("ts"))
+    runs.run_available(jobs.novelty(items, ["link"], "ts", "60 days"), folder, lambda df, n: runs.write_batch(df.select("link"), folder, n))
+    return runs.read_rows(spark, folder).drop("batch")
+
+
+@query(
+    "stream_rates",
+    f"""with {ATTEMPTS} select host, strftime(time_bucket(interval '6 hours', ts), '%Y-%m-%d %H:%M:%S') as started, count(*) as requests,
+    count(*) filter (status = 403) as refused from att group by all""",
+)
+def stream_rates(spark, root):
+    folder = fresh_path(spark, "rates")
+    r = jobs.rates(_attempt_stream(spark, root), "ts", "6 hours", None, "1 day", ["host"], F.col("status") == 403)
+    rows = r.select("host", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "requests", "refused")
+    runs.run_available(rows, folder, lambda df, n: runs.write_batch(df, folder, n), mode="update")
+    return runs.latest(runs.read_rows(spark, folder), ["host", "started"])
+
+
+@query(
+    "sliding_rates",
+    f"""with {ATTEMPTS}, w as (select host, status, time_bucket(interval '6 hours', ts) - to_hours(6) * k as started from att, unnest([0, 1]) as u(k))
+    select host, strftime(started, '%Y-%m-%d %H:%M:%S') as started, count(*) as requests, count(*) filter (status = 403) as refused from w group by all""",
+)
+def sliding_rates(spark, root):
+    """Overlapping windows of twelve hours every six, in batch."""
+    r = jobs.rates(fixtures.attempts(spark, root).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "12 hours", "6 hours", "1 day", ["host"], F.col("status") == 403)
+    return r.select("host", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "requests", "refused")
+
+
+@query("stream_bursts", REGISTRY["block_bursts"].twin)
+def stream_bursts(spark, root):
+    """Sessions of refusals as a stream; the last complete result is the answer."""
+    folder = fresh_path(spark, "bursts")
+    refused = _attempt_stream(spark, root).filter(F.col("status") == 403)
+    s = jobs.bursts(refused, "ts", "2 hours", "1 day", ["host"])
+    rows = s.select("host", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "refused")
+    runs.run_available(rows, folder, lambda df, n: runs.write_batch(df, folder, n), mode="complete")
+    all_ = runs.read_rows(spark, folder)
+    last = all_.agg(F.max("batch").alias("batch"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    done = all_.join(last, "batch")
+    return done.select("host", stamp("start").alias("started"), stamp(F.col("end") - F.expr("interval 2 hours")).alias("ended"), F.col("refused").alias("blocked"))

@@ -13,7 +13,10 @@ from weblode.sources.responses import table
 
 def attempts(spark, root) -> DataFrame:
     """Fetch attempts out of events: four tiers per fetch, by event number."""
-    e = table(spark, root, "events")
+    return attempts_of(table(spark, root, "events"))
+
+
+def attempts_of(e: DataFrame) -> DataFrame:
     fetch = F.floor(F.col("event_id") / 4)
     status = (
         F.when(F.col("event_type").isin("view", "click"), 200).when(F.col("event_type") == "error", 403)
