@@ -13,6 +13,7 @@ import sys
 
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 # The walk travels with the plan, so workers need not have the package installed.
@@ -105,7 +106,10 @@ def close_elements(marks: list[str]):
     return end, parent, depth, nth, hidden
 
 
-TREE_TYPE = "struct<end:array<int>,parent:array<int>,depth:array<int>,nth:array<int>,hidden:array<boolean>>"
+TREE_TYPE = T.StructType(
+    [T.StructField(name, T.ArrayType(T.IntegerType())) for name in ("end", "parent", "depth", "nth")]
+    + [T.StructField("hidden", T.ArrayType(T.BooleanType()))]
+)
 
 
 @arrow_udf(TREE_TYPE)
