@@ -218,9 +218,9 @@ def find_by_text(spark, root):
     ),
 )
 def find_similar(spark, root):
-    rows = dom.node_rows(doms(spark, root), "page_id")
-    first = rows.filter(F.col("tag") == "li").groupBy("page_id").agg(F.min("pos").alias("pos"))
-    return extract.find_similar(rows, first)
+    """List items built like the first one of the page."""
+    first = F.slice(select("nodes", [Step(tag="li")]), 1, 1)
+    return extract.find_similar(doms(spark, root), first)
 
 
 @query(

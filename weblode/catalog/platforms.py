@@ -46,7 +46,7 @@ def _threads(spark, root):
     from conversations where turn > 0 and turn % 5 <> 0 and {t.clean('text')} <> ''""",
 )
 def thread_comments(spark, root):
-    rows = _threads(spark, root).select("conv_id", "block", F.posexplode("comments").alias("n", "c"))
+    rows = _threads(spark, root).select("conv_id", "block", F.posexplode_outer("comments").alias("n", "c")).filter(F.col("n").isNotNull())
     return rows.select("conv_id", (F.col("block") * 100 + F.col("n") + 1).alias("n"), "c.*")
 
 
@@ -170,7 +170,7 @@ def captions_vtt(spark, root):
 
 def _chapters(spark, root):
     v = platforms.videos(fixtures.video_files(spark, root), ["conv_id", "block"])
-    rows = v.select("conv_id", "block", F.posexplode("chapters").alias("pos", "c"))
+    rows = v.select("conv_id", "block", F.posexplode_outer("chapters").alias("pos", "c")).filter(F.col("pos").isNotNull())
     return rows.select("conv_id", "block", "pos", F.col("c.start_time").alias("start"), F.col("c.title").alias("title"))
 
 
@@ -211,7 +211,7 @@ _TAGS = "case when p_partkey % 2 = 0 then p_type || ', ' || p_brand else p_type
     from (select *, {_TAGS} from kept) group by store, p_partkey""",
 )
 def catalogue_products(spark, root):
-    pages = platforms.until_short_page(platforms.catalogue_pages(fixtures.catalogue_bodies(spark, root)))
+    pages = platforms.catalogue_pages(platforms.until_short_page(fixtures.catalogue_bodies(spark, root)))
     return platforms.products(pages).select("store", "url", "title", "vendor", "tags", "image", "price_min", "price_max", "variants", "available")
 
 
@@ -221,7 +221,7 @@ def catalogue_products(spark, root):
     case when l_suppkey % 10 <> 3 then (cents // 100) || '.' || lpad((cents % 100)::varchar, 2, '0') end as price, ok as available from kept""",
 )
 def catalogue_variants(spark, root):
-    pages = platforms.until_short_page(platforms.catalogue_pages(fixtures.catalogue_bodies(spark, root)))
+    pages = platforms.catalogue_pages(platforms.until_short_page(fixtures.catalogue_bodies(spark, root)))
     return platforms.variants(pages).select("store", "url", "variant", "sku", "price", "available")
 
 

@@ -380,14 +380,15 @@ def outline(doms: DataFrame, keep=("page_id",), max_depth: int = 6, max_lines: i
             lambda n: F.struct(brief(n).alias("n"), root["pos"].alias("root_pos"), root["depth"].alias("root_depth")),
         )
 
-    body = F.get(F.filter("nodes", lambda n: (n["kind"] == "open") & (n["tag"] == "body")), F.lit(0))
-    rows = doms.withColumn("_body", body).filter(F.col("_body").isNotNull())
-    rows = rows.select(*keys, F.inline(shown(F.col("_body")))).select(*keys, "n.*", "root_pos", "root_depth")
+    body = F.slice(F.filter("nodes", lambda n: (n["kind"] == "open") & (n["tag"] == "body")), 1, 1)
+    rows = doms.select(*keys, F.inline(F.flatten(F.transform(body, shown)))).select(*keys, "n.*", "root_pos", "root_depth")
+    # One exchange by page serves every window below.
+    rows = rows.repartition(*keys)
     group = Window.partitionBy(*keys, "parent", "sig")
     rows = rows.withColumn("times", F.count("*").over(group)).withColumn("nth", F.row_number().over(group.orderBy("pos")))
     # Everything inside a repeated sibling is covered by it and not shown.
     order = Window.partitionBy(*keys).orderBy("pos")
-    rows = rows.withColumn("covered", F.max(F.when(F.col("nth") > 1, F.col("end"))).over(order))
+    rows = rows.withColumn("covered", F.max(F.when(F.col("nth") > 1, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.filter(F.col("covered").isNull() | (F.col("covered") <= F.col("pos")))
     rows = rows.withColumn("line", F.row_number().over(order))
     level = F.col("depth") - F.col("root_depth")
@@ -399,23 +400,31 @@ def outline(doms: DataFrame, keep=("page_id",), max_depth: int = 6, max_lines: i
             F.coalesce(F.concat(F.lit(" “"), "sample", F.lit("”")), F.lit("")),
         )
     )
-    lines = rows.select(*keys, "line", level.alias("depth"), text.alias("text"), "pos", "parent", "root_pos")
-    # A level is not entered once the outline has grown to the limit.
-    opened = lines.select(*keys, F.col("pos").alias("parent"), F.col("line").alias("parent_line"))
-    return (
-        lines.join(opened, [*keys, "parent"], "left")
-        .filter((F.col("pos") == F.col("root_pos")) | (F.col("parent_line") < max_lines))
-        .select(*keys, "line", "depth", "text")
-    )
+    lines = rows.select(*keys, "line", level.alias("depth"), text.alias("text"))
+    # A level is not entered once the outline has grown to the limit.  A
+    # line's parent is the last line one level up: every line is also put one
+    # level down, where the lines below it find it.
+    both = lines.withColumn("as_parent", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn(
+        "at", F.col("depth") + F.col("as_parent").cast("int"))
+    above = Window.partitionBy(*keys, "at").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("parent_line", F.last(F.when(F.col("as_parent"), F.col("line")), True).over(above)).filter(~F.col("as_parent"))
+    return both.filter((F.col("depth") == 0) | (F.col("parent_line") < max_lines)).select(*keys, "line", "depth", "text")
+
+
+def find_similar(doms: DataFrame, like: Column, keep=("page_id",)) -> DataFrame:
+    """Elements built like the given ones: same depth, tag, parent tag and attribute names."""
+    nodes = F.col("nodes")
+
+    def shape(n: Column) -> Column:
+        names = F.coalesce(F.transform(n["attrs"], lambda a: a["name"]), F.array().cast("array<string>"))
+        return F.struct(
+            n["depth"].alias("depth"), n["tag"].alias("tag"), F.coalesce(F.get(nodes, n["parent"])["tag"], F.lit("")).alias("parent_tag"),
+            F.array_sort(F.array_distinct(names)).alias("names"),
+        )
 
+    def alike(wanted: Column) -> Column:
+        shaped = F.transform(F.filter(nodes, dom.is_element), lambda n: F.struct(n["pos"].alias("pos"), shape(n).alias("s")))
+        return F.filter(shaped, lambda x: F.array_contains(wanted, x["s"]))
 
-def find_similar(rows: DataFrame, like: DataFrame, keep=("page_id",)) -> DataFrame:
-    """Node rows built like the ones in ``like``: same depth, tag, parent tag and attribute names."""
-    keys = list(keep)
-    names = F.array_sort(F.array_distinct(F.coalesce(F.transform("attrs", lambda a: a["name"]), F.array().cast("array<string>"))))
-    parents = rows.select(*keys, F.col("pos").alias("parent"), F.col("tag").alias("parent_tag"))
-    shaped = rows.withColumn("attr_names", names).join(parents, [*keys, "parent"], "left")
-    wanted = like.select(*keys, "pos").distinct()
-    shape = [*keys, "depth", "tag", "parent_tag", "attr_names"]
-    patterns = shaped.join(wanted, [*keys, "pos"], "left_semi").select(*shape).distinct()
-    return shaped.join(patterns, shape, "left_semi").select(*keys, "pos", "tag", "depth", "parent_tag")
+    rows = doms.select(*keep, F.inline(let(F.array_distinct(F.transform(like, shape)), alike)))
+    return rows.select(*keep, "pos", "s.tag", "s.depth", "s.parent_tag")

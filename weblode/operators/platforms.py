@@ -386,13 +386,18 @@ PAGE_SIZE = 250
 
 
 def catalogue_pages(pages: DataFrame, body: str = "body") -> DataFrame:
-    """Adds ``products`` (null where the body is no catalogue page)."""
+    """Adds ``products``, null where the body is no catalogue page."""
     return pages.withColumn("products", F.from_json(body, f"struct<products:array<struct<{_PRODUCT}>>>")["products"])
 
 
-def until_short_page(pages: DataFrame, store: str = "store", page_no: str = "page_no", size: int = PAGE_SIZE) -> DataFrame:
-    """Pages of each store up to the first that is not full."""
-    short = pages.groupBy(store).agg(F.min(F.when(F.size("products") < size, F.col(page_no))).alias("_last"))
+def until_short_page(pages: DataFrame, store: str = "store", page_no: str = "page_no", body: str = "body", size: int = PAGE_SIZE) -> DataFrame:
+    """Stored pages of each store up to the first that is not full.
+
+    Only the number of products is read for it; bodies stay where they are
+    and meet one small row per store.
+    """
+    n = F.json_array_length(F.get_json_object(body, "$.products"))
+    short = pages.groupBy(store).agg(F.min(F.when(n < size, F.col(page_no))).alias("_last"))
     return pages.join(short, store).filter(F.col("_last").isNull() | (F.col(page_no) <= F.col("_last"))).drop("_last")
 
 
@@ -404,9 +409,14 @@ def _common(p: Column, store: Column) -> list[Column]:
     ]
 
 
+def _product_rows(pages: DataFrame, store: str) -> DataFrame:
+    # The outer form keeps the optimizer from parsing bodies once more for a size test.
+    return pages.select(F.col(store).alias("_store"), F.explode_outer("products").alias("p")).filter(F.col("p").isNotNull())
+
+
 def products(pages: DataFrame, store: str = "store") -> DataFrame:
     """One row per product, its variants summarised in place."""
-    rows = pages.select(F.col(store).alias("_store"), F.explode("products").alias("p"))
+    rows = _product_rows(pages, store)
     p = F.col("p")
     prices = F.transform(F.filter(p["variants"], lambda v: F.coalesce(v["price"], F.lit("")) != ""), lambda v: v["price"].try_cast("double"))
     return rows.select(
@@ -419,8 +429,7 @@ def products(pages: DataFrame, store: str = "store") -> DataFrame:
 
 def variants(pages: DataFrame, store: str = "store") -> DataFrame:
     """One row per variant; products without variants give none."""
-    rows = pages.select(F.col(store).alias("_store"), F.explode("products").alias("p"))
-    rows = rows.select("_store", "p", F.explode("p.variants").alias("v"))
+    rows = _product_rows(pages, store).select("_store", "p", F.explode_outer("p.variants").alias("v")).filter(F.col("v").isNotNull())
     return rows.select(
         F.col("_store").alias(store), *_common(F.col("p"), F.col("_store")), F.col("v.title").alias("variant"), F.col("v.sku").alias("sku"),
         F.col("v.price").alias("price"), F.col("v.compare_at_price").alias("compare_at_price"), F.col("v.available").alias("available"),

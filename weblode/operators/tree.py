@@ -113,7 +113,7 @@ TREE_TYPE = T.StructType(
 
 
 @arrow_udf(TREE_TYPE)
-def tree_of(marks: pa.Array) -> pa.Array:
+def _tree_of(marks: pa.Array) -> pa.Array:
     offsets, flat = [0], ([], [], [], [], [])
     for page in marks.to_pylist():
         for column, values in zip(flat, close_elements(page or [])):
@@ -123,3 +123,9 @@ def tree_of(marks: pa.Array) -> pa.Array:
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
     lists = [pa.ListArray.from_arrays(where, pa.array(c, k)) for c, k in zip(flat, kinds)]
     return pa.StructArray.from_arrays(lists, names=["end", "parent", "depth", "nth", "hidden"])
+
+
+# Declared non-deterministic so that no filter over the nodes is pushed below
+# it, which would lex and close every page a second time.  Filters over plain
+# page columns belong before the node step.
+tree_of = _tree_of.asNondeterministic()
