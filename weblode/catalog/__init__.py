@@ -32,7 +32,7 @@ def query(name: str, twin: str | None = None):
 
 
 def load() -> dict[str, Query]:
-    from weblode.catalog import attempts, corpus, graphs, pages, platforms, urls  # noqa: F401, I001
+    from weblode.catalog import attempts, corpus, graphs, jobs, pages, platforms, urls  # noqa: F401, I001
     from weblode.catalog import streams  # noqa: F401  (names twins of the others)
 
     return REGISTRY

@@ -68,7 +68,15 @@ def thread_summary(spark, root):
     return g.withColumn("completeness", F.round(F.col("loaded") / F.col("announced"), 6))
 
 
-@query("thread_markdown")
+@query(
+    "thread_markdown",
+    f"""with c as (select *, {t.clean('text')} as said, (turn > 0 and turn % 5 <> 0 and {t.clean('text')} <> '') as loaded from conversations)
+    select conv_id, 0 as block, '# Thread ' || conv_id || chr(10) || 'r/c · u/user' || conv_id || ' · 2024-02-03 · 33 points · ' || count(*) || ' comments' || chr(10)
+      || 'URL: https://www.reddit.com/r/c/comments/' || conv_id || '/?part=0' || chr(10) || chr(10) || arg_min(said, turn) || chr(10) || chr(10)
+      || '## Comments (' || count(*) filter (loaded) || ' loaded of ' || count(*) || ')' || chr(10) || chr(10)
+      || coalesce(string_agg(repeat('  ', ((turn - 1) % 3)::int) || '- **u/' || role || '** (' || (turn * 2) || ' pts): ' || said, chr(10) order by turn) filter (loaded), '') || chr(10) as markdown
+    from c group by conv_id""",
+)
 def thread_markdown(spark, root):
     return _threads(spark, root).select("conv_id", "block", platforms.thread_text().alias("markdown"))
 
@@ -92,7 +100,13 @@ def posts_flat(spark, root):
     return p.select("post_id", "reason", "author", "handle", "text", "likes", "replies", F.array_join("media", " ").alias("media"), "quoted_handle", "quoted_text", "url")
 
 
-@query("posts_markdown")
+@query(
+    "posts_markdown",
+    f"""with {_POST} select n as post_id, '**Name ' || role || '** (@' || role || ') · 2024-01-01T00:00:00.000Z' || chr(10) || chr(10) || {t.strip(t.unescape('full_text'))} || chr(10)
+      || chr(10) || 'Likes: ' || format('{{:,}}', n * 7) || ' · Replies: ' || turn || chr(10) || 'Media:' || chr(10) || '- https://v/high/' || n || chr(10) || '- https://img2/' || n
+      || case when n % 6 = 0 and q_turn = turn - 1 then chr(10) || chr(10) || 'Quoted: @' || q_role || chr(10) || '> ' || replace({t.strip(t.unescape('q_text'))}, chr(10), chr(10) || '> ') else '' end
+      || chr(10) || chr(10) || 'URL: https://x.com/' || role || '/status/' || n as markdown from p1 where n % 9 <> 0""",
+)
 def posts_markdown(spark, root):
     p = platforms.posts(fixtures.post_bodies(spark, root), ["post_id"])
     return p.filter(F.col("reason").isNull()).select("post_id", platforms.post_text().alias("markdown"))

@@ -172,7 +172,8 @@ def reach(
     stored = links.select(F.col("source").alias("url")).distinct()
     pages = durable(stored if rules is None else allowed_by_robots(stored, rules), "pages")
     wanted = F.col("url").rlike("^https?://") & allow_deny(F.col("url"), allow, deny)
-    edges = durable(links.select("source", "url").filter(wanted).distinct().join(pages, "url", "left_semi"), "edges")
+    edges = links.select("source", "url").filter(wanted).distinct().join(pages, "url", "left_semi")
+    edges = durable(edges.withColumn("host", urls.host("url")), "edges")
     start = starts.select("domain", "url").distinct().join(pages, "url", "left_semi")
     if visited is not None:
         visited = durable(visited.select("domain", "url").distinct(), "visited")
@@ -181,8 +182,9 @@ def reach(
     for depth in range(1, max_depth):
         if wave.isEmpty():
             break
-        step = wave.select("domain", F.col("url").alias("source")).join(edges, "source").select("domain", "url")
-        fresh = step.filter(urls.host_is(urls.host("url"), F.col("domain"))).distinct().join(reached.all(), ["domain", "url"], "left_anti")
+        step = wave.select("domain", F.col("url").alias("source")).join(edges, "source")
+        inside = step.filter(urls.host_is("host", F.col("domain"))).select("domain", "url").distinct()
+        fresh = inside.join(reached.all(), ["domain", "url"], "left_anti")
         if visited is not None:
             fresh = fresh.join(visited, ["domain", "url"], "left_anti")
         if max_pages is not None:

@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, name: str,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """``lag(value)`` per key in the given order; ``bucket`` must not decrease along it.
 
     ``name`` becomes a struct with the field ``value``, null on the first row
     of a key, so that a null value and a missing row can be told apart.
+    ``initial`` (keys, kept) holds such structs for the rows before the first;
+    it meets the summaries, not the rows.
     """
     keys, order = list(keys), list(order)
     cut = df.withColumn("_bucket", bucket).withColumn("_box", F.struct(value.alias("value")))
@@ -27,6 +30,8 @@ def previous(
     rows = cut.withColumn("_near", F.lag("_box").over(inner))
     ends = cut.groupBy(*keys, "_bucket").agg(F.max_by("_box", F.struct(*order)).alias("_end"))
     carried = ends.withColumn("_far", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bucket")))
+    if initial is not None:
+        carried = carried.join(initial, keys, "left").withColumn("_far", F.coalesce("_far", "kept")).drop("kept")
     joined = rows.join(carried.drop("_end"), [*keys, "_bucket"], "left")
     return joined.withColumn(name, F.coalesce("_near", "_far")).drop("_bucket", "_box", "_near", "_far")
 

@@ -423,3 +423,28 @@ def bodies(spark, root) -> DataFrame:
         .when(k == 5, F.concat(F.lit("%PDF-"), i)).when(k == 6, F.concat(F.lit("PK"), i)).otherwise(F.col("html"))
     )
     return p.select("page_id", "url", media.alias("content_type"), body.alias("body"))
+
+
+def card_pages(spark, root) -> DataFrame:
+    """Listing pages of job cards (suppliers) and of search results (parts), 50 to a page."""
+    s = table(spark, root, "supplier")
+    i = F.col("s_suppkey").cast("string")
+    job = F.concat(
+        F.lit('<div class="x base-search-card"><h3 class="base-search-card__title"> '), "s_name", F.lit(' </h3><h4 class="base-search-card__subtitle"><a>Nation <b>'),
+        F.col("s_nationkey").cast("string"), F.lit('</b></a></h4><span class="job-search-card__location">L'), i, F.lit('</span><time datetime="2024-01-02">d</time>'),
+        F.when(F.col("s_suppkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('<a class="base-card__full-link" href="/jobs/'), i, F.lit('?a=1&amp;b=2">go</a>'))), F.lit("</div>"))
+    jobs = s.select(F.floor(F.col("s_suppkey") / 50).alias("block"), F.col("s_suppkey").alias("k"), job.alias("card"))
+    p = table(spark, root, "part")
+    j = F.col("p_partkey").cast("string")
+    hit = F.concat(
+        F.lit('<div data-component-type="s-search-result" data-asin="A'), j, F.lit('"><h2><a><span>'), "p_name", F.lit('</span></a></h2><span class="a-price"><span class="a-offscreen">'),
+        F.col("p_size").cast("string"), F.lit(" €</span></span></div><div data-component-type=\"other\"><h2><span>ad</span></h2></div>"))
+    hits = p.select(F.floor(F.col("p_partkey") / 50).alias("block"), F.col("p_partkey").alias("k"), hit.alias("card"))
+
+    def pages(rows, kind):
+        g = rows.groupBy("block").agg(_listed("card", "k").alias("cards"))
+        url = F.concat(F.lit(f"https://{kind}.example.com/list/"), F.col("block").cast("string"))
+        return g.select(F.lit(kind).alias("kind"), url.alias("url"), F.concat(F.lit("<html><body><main>"), "cards", F.lit("</main></body></html>")).alias("html"))
+
+    both = pages(jobs, "jobs").unionByName(pages(hits, "shop"))
+    return both.select("kind", "url", F.col("url").alias("requested_url"), F.lit(200).alias("status"), "html")

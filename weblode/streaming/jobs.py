@@ -28,10 +28,9 @@ def watch(stream: DataFrame, folder: str, keys: list[str], order: list[str], buc
 
     def each(df: DataFrame, n: int) -> None:
         last = df.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("value")), F.struct(*order)).alias("kept"))
-        rows = previous(df, keys, order, bucket, F.col(value), "before")
-        if n > 0:
-            kept = spark.read.parquet(f"{state}/batch={n - 1}")
-            rows = rows.join(kept, keys, "left").withColumn("before", F.coalesce("before", "kept")).drop("kept")
+        kept = spark.read.parquet(f"{state}/batch={n - 1}") if n > 0 else None
+        rows = previous(df, keys, order, bucket, F.col(value), "before", initial=kept)
+        if kept is not None:
             last = kept.join(last.withColumnRenamed("kept", "new"), keys, "full").select(*keys, F.coalesce("new", "kept").alias("kept"))
         changed = F.col("before").isNull() | ~F.col("before.value").eqNullSafe(F.col(value))
         write_batch(rows.filter(changed).select(*keys, *order, F.col("before.value").alias("old"), F.col(value).alias("new")), folder, n)
