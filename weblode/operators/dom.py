@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weblode.functions.text import clean, let, strip, unescape
+from weblode.operators.rows import settle
 from weblode.operators.tree import RAW, VOID, tree_of
 
 _RAW_ELEMENTS = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in RAW)
@@ -80,7 +81,7 @@ def with_nodes(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ())
             F.when(t["kind"].isin("open", "leaf", "raw"), _attributes(t)).alias("attrs"),
         )
 
-    return closed.withColumn("nodes", F.transform("_tokens", node)).drop("_tokens", "_tree")
+    return settle(closed, others, nodes=F.transform("_tokens", node))
 
 
 def is_element(n: Column) -> Column:

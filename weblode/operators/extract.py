@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weblode.functions.text import clean, drop_zero_width, let, squeeze_markdown, strip
 from weblode.functions.urls import drop_fragment, host, host_is, resolve, site
 from weblode.operators import dom
+from weblode.operators.rows import settle
 from weblode.operators.select import Step, select, select_any
 
 
@@ -233,7 +234,7 @@ def focus() -> Column:
 
 def with_focus(doms: DataFrame) -> DataFrame:
     """Adds ``focus`` (rule, pos) and ``text_len``."""
-    return doms.withColumn("text_len", F.length(dom.page_text())).withColumn("focus", focus())
+    return settle(doms, ["*"], text_len=F.length(dom.page_text()), focus=focus())
 
 
 _HEADINGS = {f"h{i}": "#" * i for i in range(1, 7)}
@@ -336,12 +337,8 @@ def documents(doms: DataFrame, keep=("page_id",), full_page: bool = False, text:
     d = doms if full_page else with_focus(doms)
     pos = None if full_page else F.col("focus.pos")
     body = visible_text(pos) if text else markdown(pos)
-    out = d.select(
-        *keep, "url", "status",
-        dom.page_title().alias("title"),
-        (F.lit(None).cast("string") if full_page else F.col("focus.rule")).alias("focus"),
-        body.alias("markdown"),
-    )
+    rule = F.lit(None).cast("string") if full_page else F.col("focus.rule")
+    out = settle(d, [*keep, "url", "status"], title=dom.page_title(), focus=rule, markdown=body)
     return out.withColumn("reason", F.when(strip("markdown") == "", F.lit("no visible text is left after cleaning")))
 
 

@@ -178,9 +178,9 @@ def reach(
     if visited is not None:
         visited = durable(visited.select("domain", "url").distinct(), "visited")
     reached = Growing(spark, "reached")
-    wave = reached.add(start.select("domain", "url", F.lit(0).alias("depth")))
+    wave, new = reached.add(start.select("domain", "url", F.lit(0).alias("depth")))
     for depth in range(1, max_depth):
-        if wave.isEmpty():
+        if not new:
             break
         step = wave.select("domain", F.col("url").alias("source")).join(edges, "source")
         inside = step.filter(urls.host_is("host", F.col("domain"))).select("domain", "url").distinct()
@@ -191,7 +191,7 @@ def reach(
             # A domain that is full does not go on.
             full = reached.all().groupBy("domain").agg(F.count("*").alias("_n")).filter(F.col("_n") >= max_pages)
             fresh = fresh.join(full, "domain", "left_anti")
-        wave = reached.add(fresh.select("domain", "url", F.lit(depth).alias("depth")))
+        wave, new = reached.add(fresh.select("domain", "url", F.lit(depth).alias("depth")))
     out = reached.all()
     if max_pages is not None:
         order = Window.partitionBy("domain").orderBy("depth", "url")

@@ -10,6 +10,7 @@ from weblode.functions.records import best_media, expanded_text, first_present,
 from weblode.functions.text import clean, clock, cut, day_text, let, strip, strip_html, thousands, unescape
 from weblode.functions.urls import resolve
 from weblode.operators import dom, extract, ordered
+from weblode.operators.rows import settle
 from weblode.operators.select import Step, matches, select
 
 # ---- feeds -------------------------------------------------------------
@@ -117,7 +118,8 @@ def threads(doms: DataFrame, keep: Sequence[str] = ("url",)) -> DataFrame:
         ),
         F.lit(0),
     )["pos"]
-    d = doms.withColumn("_post", post).filter(F.col("_post").isNotNull()).withColumn("_body", body)
+    d = settle(doms, [*keep, "nodes"] if "url" in keep else [*keep, "url", "nodes"], _post=post).filter(F.col("_post").isNotNull())
+    d = settle(d, ["*"], _body=body, comments=comments)
     p = F.col("_post")
     return d.select(
         *keep, at(p, "post-title").alias("title"), at(p, "subreddit-prefixed-name").alias("community"), at(p, "author").alias("author"),
@@ -125,7 +127,7 @@ def threads(doms: DataFrame, keep: Sequence[str] = ("url",)) -> DataFrame:
         at(p, "comment-count").try_cast("int").alias("announced"),
         F.when(at(p, "post-type") == "link", at(p, "content-href")).alias("link"),
         F.when(F.col("_body").isNotNull(), strip(extract.markdown(F.col("_body")))).otherwise(F.lit("")).alias("body"),
-        comments.alias("comments"),
+        "comments",
     )
 
 
@@ -162,7 +164,7 @@ POST_SCHEMA = f"struct<{_POST},tombstone:struct<text:struct<text:string>>,quoted
 
 def posts(raw: DataFrame, keys: Sequence[str], body: str = "body") -> DataFrame:
     """Post records, with a ``reason`` for the ones that are not available."""
-    p = raw.withColumn("p", F.from_json(body, POST_SCHEMA))
+    p = settle(raw, [*keys, body], p=F.from_json(body, POST_SCHEMA))
     empty = F.trim(F.col(body)).isin("", "{}") | F.col("p").isNull()
     gone = first_present("p.tombstone.text.text", "p.__typename")
     reason = F.when(empty, F.lit("not available without login")).when(

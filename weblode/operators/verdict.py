@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weblode.functions.text import clean
 from weblode.functions.urls import path
 from weblode.operators import dom
+from weblode.operators.rows import settle
 from weblode.operators.select import Step, select_any
 
 # The statuses, words and markers verdicts rest on.
@@ -71,12 +72,8 @@ def by_headers(status: Column, media: Column, final_path: Column, requested_path
 
 def features(doms: DataFrame, html: str = "html") -> DataFrame:
     """Adds what the content rules look at: text, its length, title, lower-cased head."""
-    return (
-        doms.withColumn("_text", dom.page_text())
-        .withColumn("_len", F.length("_text"))
-        .withColumn("_title", dom.page_title())
-        .withColumn("_head", F.lower(F.left(F.col(html), F.lit(MARKER_HEAD))))
-    )
+    text = settle(doms, ["*"], _text=dom.page_text(), _title=dom.page_title(), _head=F.lower(F.left(F.col(html), F.lit(MARKER_HEAD))))
+    return text.withColumn("_len", F.length("_text"))
 
 
 def diagnose(
@@ -119,8 +116,7 @@ def diagnose(
             )
         )
     problem = F.coalesce(headers, F.when(is_html(media), content))
-    out = d.withColumn("problem", problem)
-    return out.drop("_text", "_len", "_title", "_head")
+    return settle(d, [c for c in d.columns if c not in ("_text", "_len", "_title", "_head")], problem=problem)
 
 
 # Tiers in the order they are tried, and which stay on this machine.
@@ -147,7 +143,7 @@ def judged(attempts: DataFrame) -> DataFrame:
     local = F.col("tier").isin(*LOCAL)
     here = by_headers(F.col("status"), F.col("media"), F.col("final_path"), F.col("requested_path"))
     there = F.when(F.col("n_chars") < REMOTE_MIN_TEXT, _verdict("error", "empty response"))
-    return attempts.withColumn("local", local).withColumn("problem", F.when(local, here).otherwise(there))
+    return settle(attempts.withColumn("local", local), ["*"], problem=F.when(F.col("local"), here).otherwise(there))
 
 
 def ladder(judged_attempts: DataFrame, keys: Sequence[str]) -> DataFrame:

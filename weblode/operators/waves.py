@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 _LOCAL: dict[str, str] = {}
@@ -45,12 +45,14 @@ class Growing:
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.folder, self.parts, self.schema = spark, fresh_path(spark, what), [], None
 
-    def add(self, df: DataFrame) -> DataFrame:
+    def add(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """Write a part; returns it and how many rows it has, counted while writing."""
         path = f"{self.folder}/part-{len(self.parts):05d}"
-        df.write.parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         self.schema = self.schema or df.schema
         self.parts.append(path)
-        return self.spark.read.schema(self.schema).parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path), seen.get["rows"]
 
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*self.parts)
