@@ -25,9 +25,10 @@ def strip(x: str) -> str:
 
 def unescape(x: str) -> str:
     out = x
-    for name, char in (("copy", "©"), ("middot", "·"), ("nbsp", " "), ("quot", '"'), ("#39", "''"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    for name, char in (("copy", "©"), ("middot", "·"), ("nbsp", " "), ("quot", '"'), ("#39", "''"), ("lt", "<"), ("gt", ">")):
         out = f"replace({out}, '&{name};', '{char}')"
-    return out
+    # Last, and as browsers and Python do, also where the semicolon is missing.
+    return f"regexp_replace({out}, '&amp;?', '&', 'g')"
 
 
 _S = "[a-zA-Z][a-zA-Z0-9+.-]*"
