@@ -43,7 +43,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["page_titles", "page_meta", "page_focus", "page_markdown", "page_text", "row_rules_nav", "find_similar"])
+@pytest.mark.parametrize("name", ["page_titles", "page_links", "page_meta", "page_focus", "page_markdown", "page_text", "row_rules_nav", "find_similar"])
 def test_page_work_needs_no_shuffle(spark, name):
     """Only the spreading of a too small table moves rows."""
     exchanges = re.findall(r"Exchange (\w+)", plan_of(catalog.load()[name].plan(spark, ROOT)))

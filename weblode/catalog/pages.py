@@ -8,7 +8,7 @@ from weblode.catalog import query
 from weblode.catalog import twins as t
 from weblode.catalog.twins import page_sql
 from weblode.functions import urls
-from weblode.functions.text import clean
+from weblode.functions.text import clean, let
 from weblode.operators import dom, extract
 from weblode.operators.select import Field, Pick, Step, extract_rows, select, values
 from weblode.sources import responses
@@ -40,11 +40,14 @@ def page_links(spark, root):
     ),
 )
 def host_link_graph(spark, root):
-    d = doms(spark, root).withColumn("page_url", F.col("url"))
-    found = extract.links(d, keep=("page_id", "page_url"))
-    per_page = found.groupBy(
-        "page_id", urls.host("page_url").alias("source_host"), urls.host("url").alias("target_host")
-    ).agg(F.count("*").alias("n"))
+    """Links between hosts: counted per page in its row, so that only pairs are shuffled."""
+    hosts = F.transform(extract.link_array(), lambda x: urls.host(x["url"]))
+
+    def counted(all_):
+        return F.transform(
+            F.array_distinct(all_), lambda h: F.struct(h.alias("target_host"), F.size(F.filter(all_, lambda o: o == h)).alias("n")))
+
+    per_page = doms(spark, root).select(urls.host("url").alias("source_host"), F.inline(let(hosts, counted)))
     return per_page.groupBy("source_host", "target_host").agg(F.sum("n").alias("links"), F.count("*").alias("pages"))
 
 
@@ -191,8 +194,6 @@ def selected_html(spark, root):
 def find_by_text(spark, root):
     """Elements whose own text equals the page title."""
     nodes = F.col("nodes")
-    from weblode.functions.text import let
-
     hits = let(
         dom.page_title(),
         lambda title: F.transform(

@@ -5,50 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weblode.functions.text import clean, drop_zero_width, let, squeeze_markdown, strip
-from weblode.functions.urls import drop_fragment, host, host_is, resolve, site
+from weblode.functions.urls import check_pattern, drop_fragment, host, host_is, resolve, site
 from weblode.operators import dom
 from weblode.operators.rows import settle
 from weblode.operators.select import Step, select, select_any
 
 
-def links(
-    doms: DataFrame,
-    keep=("page_id",),
-    base: str = "url",
-    same_site: bool = False,
-    match: str | None = None,
-    limit: int = 0,
-    within=None,
-) -> DataFrame:
-    """Distinct http(s) links of each page, first occurrence, in page order."""
+def link_array(base: str = "url", same_site: bool = False, match: str | None = None, limit: int = 0, within=None) -> Column:
+    """Distinct http(s) links of a page as an array of (pos, text, url), in page order.
+
+    The first occurrence of a URL counts.  Sorting by URL puts repeats next to
+    each other, so the page is deduplicated in its own row, in n log n.
+    """
     anchors = Step(tag="a", attrs=(("href", "has", None),))
     paths = [(anchors,)] if within is None else [tuple(p) + (anchors,) for p in within]
 
     def describe(n: Column) -> Column:
         url = drop_fragment(resolve(F.col(base), strip(dom.attribute(n, "href"))))
-        text = F.left(clean(dom.subtree_text("nodes", n)), F.lit(120))
-        return F.struct(n["pos"].alias("pos"), text.alias("text"), url.alias("url"))
+        return F.struct(url.alias("url"), n["pos"].alias("pos"))
 
     def wanted(x: Column) -> Column:
         test = x["url"].rlike("^https?://")
         if same_site:
             test = test & host_is(host(x["url"]), site(base))
         if match:
-            test = test & x["url"].rlike(match)
+            test = test & x["url"].rlike(check_pattern(match, "match"))
         return test
 
-    found = F.filter(F.transform(select_any("nodes", paths), describe), wanted)
-    rows = doms.select(*keep, F.col(base).alias("_base"), F.inline(found))
-    # First one wins: a combining aggregate per page and URL, not a window over a page's links.
-    first = rows.groupBy(*keep, "_base", "url").agg(F.min(F.struct("pos", "text")).alias("hit"))
+    def first_ones(ordered: Column) -> Column:
+        fresh = F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["url"] != x["url"]))
+        return F.array_sort(F.transform(fresh, lambda x: F.struct(x["pos"].alias("pos"), x["url"].alias("url"))))
+
+    kept = let(F.array_sort(F.filter(F.transform(select_any("nodes", paths), describe), wanted)), first_ones)
     if limit:
-        order = Window.partitionBy(*keep).orderBy("hit.pos")
-        first = first.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
-    return first.select(
-        *keep, "hit.pos", "hit.text", "url", host_is(host("url"), site(F.col("_base"))).alias("same_site")
+        kept = F.slice(kept, 1, limit)
+    nodes = F.col("nodes")
+    return F.transform(
+        kept,
+        lambda x: F.struct(
+            x["pos"].alias("pos"), F.left(clean(dom.subtree_text(nodes, F.get(nodes, x["pos"]))), F.lit(120)).alias("text"), x["url"].alias("url")
+        ),
     )
 
 
+def links(doms: DataFrame, keep=("page_id",), base: str = "url", **options) -> DataFrame:
+    """(keep, pos, text, url, same_site): the links of ``link_array`` as rows, without a shuffle."""
+    rows = doms.select(*keep, site(base).alias("_site"), F.inline(link_array(base, **options)))
+    return rows.withColumn("same_site", host_is(host("url"), F.col("_site"))).drop("_site")
+
+
 def _first_attr(paths, name: str) -> Column:
     got = F.transform(select_any("nodes", paths), lambda n: dom.attribute(n, name))
     return F.nullif(clean(F.get(F.filter(got, lambda v: v.isNotNull()), F.lit(0))), F.lit(""))

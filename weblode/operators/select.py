@@ -87,14 +87,23 @@ def matches(step: Step, n: Column) -> Column:
     return test
 
 
+def _at(nodes: Column, places: Column) -> Column:
+    """Nodes at the given positions, each once, in page order."""
+    return F.transform(F.array_sort(F.array_distinct(places)), lambda p: F.get(nodes, p))
+
+
 def _below(nodes: Column, found: Column, step: Step) -> Column:
-    """Matches of a step under the given nodes, each once, in page order."""
+    """Matches of a step under the given nodes.
+
+    Nested starting points find the same node again; positions, not whole
+    nodes, are compared to keep it once.
+    """
 
     def under(a: Column) -> Column:
         hit = lambda d: matches(step, d) & ((d["parent"] == a["pos"]) if step.child else F.lit(True))
-        return F.filter(dom.inside(nodes, a), hit)
+        return F.transform(F.filter(dom.inside(nodes, a), hit), lambda d: d["pos"])
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(found, under))))
+    return _at(nodes, F.flatten(F.transform(found, under)))
 
 
 def select(nodes, path: Sequence[Step], root: Column | None = None) -> Column:
@@ -109,10 +118,11 @@ def select(nodes, path: Sequence[Step], root: Column | None = None) -> Column:
 
 def select_any(nodes, paths: Sequence[Sequence[Step]], root: Column | None = None) -> Column:
     """A comma list: the union of several paths, in page order."""
+    nodes = F.col(nodes) if isinstance(nodes, str) else nodes
     found = [select(nodes, p, root) for p in paths]
     if len(found) == 1:
         return found[0]
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+    return _at(nodes, F.concat(*[F.transform(f, lambda n: n["pos"]) for f in found]))
 
 
 def values(nodes, pick: Pick, base, root: Column | None = None) -> Column:
