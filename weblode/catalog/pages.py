@@ -9,7 +9,7 @@ from weblode.catalog import twins as t
 from weblode.catalog.twins import page_sql
 from weblode.functions import urls
 from weblode.functions.text import clean, let
-from weblode.operators import dom, extract
+from weblode.operators import dom, extract, relocate
 from weblode.operators.select import Field, Pick, Step, extract_rows, select, values
 from weblode.sources import responses
 
@@ -359,3 +359,13 @@ def page_outline(spark, root):
 def page_json(spark, root):
     d = doms(spark, root).select("page_id", F.to_json(F.struct("url", "status", dom.page_title().alias("title"))).alias("doc"))
     return d
+
+
+@query("relocated_headings", page_sql("select page_id, 'heading' as name, pos + 1 as pos from nodes where tag = 'h1'"))
+def relocated_headings(spark, root):
+    """Main headings remembered from the stored pages, found again after a redesign put them one element deeper."""
+    pages = responses.pages(spark, root)
+    saved = relocate.fingerprints(dom.with_nodes(pages), select("nodes", [Step(tag="h1")]), ["page_id"], F.lit("heading"))
+    redesigned = F.replace(F.replace("html", F.lit("<article>"), F.lit('<main><article class="v2">')), F.lit("<h1>"), F.lit('<h1 class="big">'))
+    now = relocate.candidates(dom.with_nodes(pages.withColumn("html", redesigned)), ["page_id"])
+    return relocate.relocate(saved, now, ["page_id"], threshold=0.3).select("page_id", "name", "pos")
