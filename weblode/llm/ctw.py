@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from weblode.llm.common import id_bucket, written
 
-DEPTH = 4
+DEPTH = 5
 CHUNK_BYTES = 24 << 20
 #: Bytes that are sorted at a time, and the most texts among them.
-BLOCK, BLOCK_TEXTS = 4 << 20, 1 << 14
+BLOCK, TEXT_BITS = 4 << 20, min(14, 64 - 8 * (DEPTH + 1))
+BLOCK_TEXTS = 1 << TEXT_BITS
 END = 0xFF
 #: The pairs of last context bytes are dealt into so many buckets.
 BUCKETS = 512
@@ -248,9 +249,9 @@ def score_chunk(train_tokens: int, floor: float, end_value: float):
         score = np.zeros(len(texts))
         for a, b in text_blocks(texts):
             k, doc = context_keys(texts[a:b])
-            k = np.sort(k << np.uint64(14) | doc)  # equal keys come together, so each is looked up once
+            k = np.sort(k << np.uint64(TEXT_BITS) | doc)  # equal keys come together, so each is looked up once
             doc = (k & np.uint64(BLOCK_TEXTS - 1)).astype(np.int64)
-            k = k >> np.uint64(14)
+            k = k >> np.uint64(TEXT_BITS)
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             v = values[np.searchsorted(keys, k[first])]
             score[a:b] = np.bincount(doc, np.repeat(v, np.diff(np.append(first, len(k)))), b - a)

@@ -161,20 +161,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame, what: str = "links") -> DataFrame:
     """(node, comp) for every node of a link, comp the smallest node reachable: large-star and small-star steps until nothing changes."""
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), what)
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = large.join(low, "a").select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
         edges = written(small.filter("a <> b").distinct(), what)
-        # Done when the edges are stars: every node has one smaller partner, which has none itself.
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == before:
+        # Done when the edges are stars: no node has two smaller partners, or one that has a smaller one itself.
+        ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+        if ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty():
             break
-        before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
@@ -234,9 +231,6 @@ def connected(classes: DataFrame, sets: Sets) -> DataFrame:
         else:
             pairs = deals.filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
         left = written(pruned(pairs.distinct(), sigs), "pairs")
-        import os, time
-        if os.environ.get("DBG"):
-            print("round", done, hubs, deals.count(), left.count(), time.time(), flush=True)
         best = left.groupBy("b").agg(F.max_by("a", "equal").alias("a")).select("a", "b")
         # The likeliest partners first; what they connect needs no test.
         for part in ("best", "rest"):
