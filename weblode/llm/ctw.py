@@ -27,7 +27,7 @@ from weblode.llm.common import id_bucket, written
 DEPTH = 5
 CHUNK_BYTES = 24 << 20
 #: Bytes that are sorted at a time, and the most texts among them.
-BLOCK, TEXT_BITS = 4 << 20, min(14, 64 - 8 * (DEPTH + 1))
+BLOCK, TEXT_BITS = 1 << 20, min(14, 64 - 8 * (DEPTH + 1))
 BLOCK_TEXTS = 1 << TEXT_BITS
 END = 0xFF
 #: The pairs of last context bytes are dealt into so many buckets.
@@ -92,7 +92,7 @@ def count_chunk(key: tuple, chunk: pa.Table) -> pa.Table:
         k = np.sort(k << np.uint64(1) | use.astype(np.uint64))
         u, n = np.unique(k, return_counts=True)
         parts.append((u >> np.uint64(1), np.where(u & np.uint64(1), n, 0)))
-        if len(parts) > 4:
+        if sum(len(k) for k, _ in parts) > 3 * BLOCK:
             parts = [summed(parts)]
         for t, known in zip(texts[a:b], train[a:b], strict=True):
             if known:
@@ -216,7 +216,8 @@ def code_lengths(top: Top):
         keys, n = pdf["key"].to_numpy().astype(np.uint64), pdf["n"].to_numpy().astype(float)
         bit, node, p, _, _ = subtree(keys, n)
         p = top.blend((keys >> np.uint64(8 * DEPTH)).astype(np.int64), node, bit, p)
-        return pd.DataFrame({"key": pdf["key"], "value": np.log10(p).sum(1)})
+        # Single precision: seven digits of a code length, half the bytes to move.
+        return pd.DataFrame({"key": pdf["key"], "value": np.log10(p).sum(1).astype(np.float32).astype(float)})
 
     return run
 
@@ -240,7 +241,7 @@ def score_chunk(train_tokens: int, floor: float, end_value: float):
         texts = [lower_bytes(t) for t in chunk.column("text").to_pylist()]
         is_word = found.column("word").to_numpy().astype(bool)
         keys, values = found.column("key").to_numpy(), found.column("value").to_numpy()
-        words, w_values = keys[is_word], values[is_word]
+        words, w_values = keys[is_word], np.log10(values[is_word] + 1) + floor
         order = np.argsort(words)
         lookup = Lookup(words[order], w_values[order], floor)
         keys, values = keys[~is_word].astype(np.uint64), values[~is_word]
@@ -299,6 +300,6 @@ def scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     rows = contexts.groupBy("bucket").applyInPandas(depth_two, "node long, below double, n_all double, ones double")
     top = Top(rows.groupBy("node").agg(F.sum("below").alias("below"), F.sum("n_all").alias("n_all"), F.sum("ones").alias("ones")).toPandas())
     values = contexts.groupBy("bucket").applyInPandas(code_lengths(top), "key long, value double").select(F.lit(False).alias("word"), "key", "value")
-    of_words = known.filter("word").select("word", "key", (F.log10(F.col("n") + 1) + F.lit(floor)).alias("value"))
+    of_words = known.filter("word").select("word", "key", F.col("n").cast("double").alias("value"))
     found = asked.select("chunk", "word", "key").join(values.unionByName(of_words), ["word", "key"])
     return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score_chunk(all_, floor, math.log10((ends or 0) + 1) + floor), OUT)
