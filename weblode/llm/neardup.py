@@ -245,13 +245,8 @@ def connected(classes: DataFrame, sets: Sets) -> DataFrame:
         done, hubs = hubs, hubs * 4
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
-
-    Null texts and texts without words have an empty set and stand alone.  A document without an id takes part, but never names a
-    group that has an id; it is kept when its whole group has none.  Repeated rows come out repeated.  An empty table gives no rows.
-    Other columns are ignored.
-    """
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, name (of the word sequence, null without words), n_shingles, comp (label of the group, null without words), component_id."""
     docs = docs.select("doc_id", "text")
     rows = written(named(docs).mapInArrow(sign, "doc_id long, name binary, n_shingles long, sig array<int>"), "signatures")
     classes = rows.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
@@ -260,7 +255,28 @@ def groups(docs: DataFrame) -> DataFrame:
     # Per class the smallest id of its component; classes without links are their own.
     of = classes.select("name", "rep", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of = of.join(least, "comp").select("name", "component_id")
+    of = of.join(least, "comp").select("name", "comp", "component_id")
     out = rows.select("doc_id", "name", "n_shingles").join(of, "name", "left")
     component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "name", "n_shingles", "comp", component.alias("component_id"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
+
+    Null texts and texts without words have an empty set and stand alone.  A document without an id takes part, but never names a
+    group that has an id; it is kept when its whole group has none.  Repeated rows come out repeated.  An empty table gives no rows.
+    Other columns are ignored.
+    """
+    return grouped(docs).select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, all their columns, one of each group: that with the smallest id, of repeated rows one.  Documents without words stay."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "name")
+    first = grouped(docs).filter("name is not null").groupBy("comp").agg(F.min(order).alias("_w"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+    first = written(first.select("_w.doc_id", F.col("_w.name").alias("_name")).select("_name", key), "firsts")
+    mine = named(docs.select(F.struct("*").alias("_row"), "doc_id", "text")).select("_row", F.col("name").alias("_name"), key)
+    best = mine.filter("_name is not null").join(first, ["_name", "_key"]).dropDuplicates(["_name", "_key"])
+    return best.select("_row.*").unionByName(mine.filter("_name is null").select("_row.*"))

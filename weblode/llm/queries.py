@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from weblode.llm import bpe, ctw, decontam, langid, linecrf, mainhtml, merkle, neardup, warc
+from weblode.llm import bpe, ctw, decontam, langid, licenses, linecrf, mainhtml, merkle, neardup, warc
 from weblode.llm.common import new_path, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,10 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
@@ -59,4 +63,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_sentences": licenses.sql()}
