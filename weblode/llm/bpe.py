@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -85,7 +84,6 @@ class Codec:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, split: str) -> Codec:
     with open(path, "rb") as lines:
         return Codec({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}, split)

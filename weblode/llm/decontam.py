@@ -166,10 +166,8 @@ def item_blocks(benchmark: DataFrame):
 
 def word_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     """How often the corpus has each word of the items, and all its words together."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
     def count(batches):
-        own = shared.value
+        own = items
         total, n = 0, np.zeros(len(own.number) + 1, np.int64)
         for batch in batches:
             for t in batch.column("text").to_pylist():
@@ -208,10 +206,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def scanned(docs: DataFrame, items: Items) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
     def scan(batches):
-        own = shared.value
+        own = items
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             rows = []

@@ -208,11 +208,9 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     ``und`` with score 0 for null texts and texts without a letter; also for all texts where nothing could be learned.  Null ids are not held out.
     Repeated rows come out repeated; an empty table gives no rows; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches):
         for batch in batches:
-            lang, score = shared.value.predict(batch.column("text").to_pylist())
+            lang, score = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "text")
@@ -221,11 +219,9 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
 def kept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents, all their columns, whose language is known with at least this probability."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches):
         for batch in batches:
-            lang, score = shared.value.predict(batch.column("text").to_pylist())
+            lang, score = model.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([x != NONE and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

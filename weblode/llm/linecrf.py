@@ -218,11 +218,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     Null texts count as empty; an empty text is one empty line.  Null ids are not held out.  Repeated rows come out repeated, an empty table gives
     no rows, other columns are ignored.  Without labels of both kinds every text has the same score.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches):
         for batch in batches:
-            s = shared.value.score(batch.column("text").to_pylist())
+            s = model.score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= LEAST).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "text")
@@ -231,10 +229,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def kept(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
     """The documents, all their columns, of at least this score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.score(batch.column("text").to_pylist()) >= least))
+            yield batch.filter(pa.array(model.score(batch.column("text").to_pylist()) >= least))
 
     return docs.mapInArrow(run, docs.schema)
