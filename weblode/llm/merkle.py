@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from weblode.llm.common import mix64, odd_numbers, written
 
 SECTION = 8
-SKETCH = 64
+SKETCH = 48
 #: Unequal texts are never wholly alike.
 NEARLY = 0.999
 #: Bytes of leaves worked out at a time, and text bytes of a sorted part.
 BLOCK, PART_BYTES = 1 << 20, 16 << 20
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: While they are compared, fingerprints and digests are bytes; the result has them in hexadecimal.
+OUT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 ENDS = f"{OUT}, part_end string, text string"
 
 
@@ -129,15 +130,16 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(text: str, sketch: np.ndarray) -> str:
-    return f"{tree(text)[0].hex()}:{sketch.astype('>u8').tobytes().hex()}"
+def fingerprint(text: str, sketch: np.ndarray) -> bytes:
+    """The root's 32 bytes and six for each value of the sketch."""
+    return tree(text)[0] + sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
-def alike(a: str, b: str) -> float:
+def alike(a: bytes, b: bytes) -> float:
     """Likeness of two fingerprints."""
     if a == b:
         return 1.0
-    x, y = ({s[i : i + 16] for i in range(0, len(s), 16)} for s in (a[65:], b[65:]))
+    x, y = ({s[i : i + 6] for i in range(32, len(s), 6)} for s in (a, b))
     if not x or not y:
         return 0.0
     # The smallest of both together are a sample of all leaves, each sketch says for itself whether it has them.
@@ -155,7 +157,7 @@ def compared(ids: list[int | None], texts: list[str]) -> dict[str, list]:
     edits = [fingerprint(t, s) for t, s in zip(edited, sketches(edited), strict=True)]
     return {
         "doc_id": ids[: len(edited)], "n_chars": [len(t) for t in texts[:-1]],
-        "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
+        "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in edited],
         "fingerprint": prints[:-1], "edited_fingerprint": edits,
         "near_edited": [alike(a, b) for a, b in zip(prints, edits)], "near_next": [alike(a, b) for a, b in zip(prints, prints[1:])],
     }
@@ -163,6 +165,7 @@ def compared(ids: list[int | None], texts: list[str]) -> dict[str, list]:
 
 def batch_of(rows: dict[str, list], ends: list[str | None], texts: list[str | None]) -> pa.RecordBatch:
     kinds = {"doc_id": pa.int64(), "n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}
+    kinds |= dict.fromkeys(("edited_sha256", "fingerprint", "edited_fingerprint"), pa.binary())
     names = [x.split()[0] for x in OUT.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(rows[n], kinds.get(n, pa.string())) for n in names] + [pa.array(ends, pa.string()), pa.array(texts, pa.string())], [*names, "part_end", "text"])
 
@@ -219,4 +222,10 @@ def fingerprints(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     order = Window.orderBy(F.col("doc_id").asc_nulls_first(), F.col("part_end") == "last", "text")
     after = F.coalesce(F.lead("text").over(order), F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     seams = ends.withColumn("next_text", after).filter("part_end = 'last'").select("doc_id", "text", "next_text")
-    return rows.filter("part_end is null").drop("part_end", "text").unionByName(seams.mapInArrow(seam, OUT))
+    out = rows.filter("part_end is null").drop("part_end", "text").unionByName(seams.mapInArrow(seam, OUT))
+    low = lambda c: F.lower(F.hex(c))
+    shown = lambda c: F.concat(low(F.substring(c, 1, 32)), F.lit(":"), low(F.substring(c, 33, 6 * SKETCH)))
+    return out.select(
+        "doc_id", "n_chars", low("edited_sha256").alias("edited_sha256"), shown("fingerprint").alias("fingerprint"),
+        shown("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next",
+    )
