@@ -9,7 +9,7 @@ from weblode.catalog import twins as t
 from weblode.operators import dom, ordered, verdict
 from weblode.operators.select import Step
 from weblode.sources import fixtures
-from weblode.sources.responses import spread, table
+from weblode.sources.responses import table
 
 ATTEMPTS = r"""
 att as (
@@ -219,7 +219,7 @@ feat as (
     ),
 )
 def diagnose_pages(spark, root):
-    d = verdict.diagnose(spread(fixtures.problem_pages(spark, root)), F.lit("text/html"))
+    d = verdict.diagnose(fixtures.problem_pages(spark, root), F.lit("text/html"))
     return d.select("page_id", F.coalesce("problem.kind", F.lit("ok")).alias("kind"), F.coalesce("problem.reason", F.lit("")).alias("reason"))
 
 
@@ -234,6 +234,6 @@ def diagnose_pages(spark, root):
 def probe_pages(spark, root):
     """The same pages when an article element is asked for: its presence settles the matter."""
     d = verdict.diagnose(
-        spread(fixtures.problem_pages(spark, root)), F.lit("text/html"), probe=[(Step(tag="article"),)], probe_name="article"
+        fixtures.problem_pages(spark, root), F.lit("text/html"), probe=[(Step(tag="article"),)], probe_name="article"
     )
     return d.select("page_id", F.coalesce("problem.kind", F.lit("ok")).alias("kind"))

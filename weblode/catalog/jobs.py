@@ -11,7 +11,7 @@ from weblode.catalog.pages import _FOCUS, _MARKDOWN
 from weblode.operators.select import Field, Pick, Step
 from weblode.plans import jobs
 from weblode.sources import fixtures, responses, rulesets
-from weblode.sources.responses import spread, table
+from weblode.sources.responses import table
 
 
 @query(
@@ -35,7 +35,7 @@ def page_report(spark, root):
 )
 def listing_cards(spark, root):
     """Job cards and search results in one table, each page read by the rules of its kind."""
-    pages = spread(fixtures.card_pages(spark, root))
+    pages = fixtures.card_pages(spark, root)
     answers = pages.withColumn("final_url", F.col("url")).withColumn("problem", F.lit(None).cast("struct<kind:string,reason:string>"))
     rows = jobs.extract_table(answers, F.col("kind"), {"jobs": rulesets.JOB_CARDS, "shop": rulesets.MARKET_SEARCH})
     return rows

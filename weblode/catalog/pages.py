@@ -187,27 +187,19 @@ def selected_html(spark, root):
 @query(
     "find_by_text",
     page_sql(
-        f"""select n.page_id, n.pos, n.tag, {t.clean('s.text')} as text from nodes n join subtext s using (page_id, pos)
-        join titles using (page_id) where n.tag in ('h1', 'title') and s.text <> '' and {t.clean('s.text')} = title"""
+        """select n.page_id, n.pos, n.tag, o.text from nodes n join own_text o using (page_id, pos) join titles using (page_id)
+        where n.kind = 'open' and title <> '' and o.text = title""",
+        f"""
+owner as (
+  select x.page_id, x.pos, any_value(x.raw) as raw, max(n.pos) as parent from tk x
+  join nodes n on n.page_id = x.page_id and n.kind = 'open' and n.pos < x.pos and x.pos < n.fin where x.kind = 'text' group by all),
+own_text as (select page_id, parent as pos, {t.clean(f"string_agg({t.unescape('raw')}, ' ' order by pos)")} as text from owner group by page_id, parent)
+""",
     ),
 )
 def find_by_text(spark, root):
     """Elements whose own text equals the page title."""
-    nodes = F.col("nodes")
-    hits = let(
-        dom.page_title(),
-        lambda title: F.transform(
-            F.filter(
-                nodes,
-                lambda n: (n["kind"] == "open")
-                & n["tag"].isin("h1", "title", "h2", "b")
-                & (clean(F.array_join(dom.own_texts(nodes, n), " ")) == title)
-                & (title != ""),
-            ),
-            lambda n: F.struct(n["pos"].alias("pos"), n["tag"].alias("tag"), title.alias("text")),
-        ),
-    )
-    return doms(spark, root).select("page_id", F.inline(hits)).filter(F.col("tag").isin("h1", "title"))
+    return extract.find_by_text(doms(spark, root), dom.page_title())
 
 
 @query(

@@ -9,7 +9,6 @@ from weblode.catalog import twins as t
 from weblode.functions import urls
 from weblode.operators import dom, extract, platforms
 from weblode.sources import fixtures
-from weblode.sources.responses import spread
 
 
 @query(
@@ -36,7 +35,7 @@ def feed_discovery(spark, root):
 
 
 def _threads(spark, root):
-    return platforms.threads(dom.with_nodes(spread(fixtures.thread_pages(spark, root))), keep=("conv_id", "block", "url"))
+    return platforms.threads(dom.with_nodes(fixtures.thread_pages(spark, root)), keep=("conv_id", "block", "url"))
 
 
 @query(
@@ -313,7 +312,7 @@ def search_records(spark, root):
       union all select n_regionkey, 1 + row_number() over (partition by n_regionkey order by n_nationkey), 2, false, n_name from nation)""",
 )
 def nth_child_cells(spark, root):
-    return platforms.table_cells(dom.with_nodes(spread(fixtures.table_pages(spark, root)))).drop("table")
+    return platforms.table_cells(dom.with_nodes(fixtures.table_pages(spark, root))).drop("table")
 
 
 @query(
@@ -323,7 +322,7 @@ def nth_child_cells(spark, root):
     union all select p_partkey, 'script', 'json_1', p_partkey::varchar from part""",
 )
 def embedded_jsonld(spark, root):
-    d = dom.with_nodes(spread(fixtures.embedded_pages(spark, root)))
+    d = dom.with_nodes(fixtures.embedded_pages(spark, root))
     ld = d.select("page_id", F.lit("jsonld").alias("kind"), F.lit("jsonld").alias("key"), F.explode(extract.jsonld_texts()).alias("body"))
     scripts = extract.json_scripts(d).select("page_id", F.lit("script").alias("kind"), "key", "body")
     v = F.try_parse_json("body")
@@ -337,4 +336,4 @@ def embedded_jsonld(spark, root):
     union all select p_partkey, '__LIST__', '[1, [2]]' from part where p_partkey % 8 <> 0""",
 )
 def embedded_state(spark, root):
-    return extract.state_assignments(dom.with_nodes(spread(fixtures.embedded_pages(spark, root))))
+    return extract.state_assignments(dom.with_nodes(fixtures.embedded_pages(spark, root)))

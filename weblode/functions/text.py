@@ -84,13 +84,13 @@ def _unescape_sql() -> str:
     # Numbers 128 to 159 mean what Windows-1252 has there.
     legacy = "".join(bytes([i]).decode("cp1252", "replace") for i in range(0x80, 0xA0))
     bad = "v is null or v = 0 or v between 55296 and 57343 or v > 1114111"
-    number = f"""get(transform(array(case when length(n) > 12 then 1114112
-        when lower(substr(n, 2, 1)) = 'x' then try_cast(conv(substr(n, 3), 16, 10) as bigint)
-        else try_cast(substr(n, 2) as bigint) end), v ->
+    number = f"""get(transform(array(regexp_replace(n, '^#([xX]?)0+', '#$1')), m -> get(transform(array(case when length(m) > 12 then 1114112
+        when lower(substr(m, 2, 1)) = 'x' then try_cast(conv(substr(m, 3), 16, 10) as bigint)
+        else try_cast(substr(m, 2) as bigint) end), v ->
         case when {bad} then '\\uFFFD'
              when v between 128 and 159 and substr('{legacy}', cast(v - 127 as int), 1) <> '\\uFFFD'
              then substr('{legacy}', cast(v - 127 as int), 1)
-             else decode(unhex(lpad(hex(v), 8, '0')), 'UTF-32') end), 0)"""
+             else decode(unhex(lpad(hex(v), 8, '0')), 'UTF-32') end), 0)), 0)"""
     common = " ".join(f"when n = '{k}' then {_quoted(named[k])}" for k in _COMMON)
     # Older names also count without a semicolon, the longest that fits.
     prefix = f"""get(transform(array(regexp_extract(s, '^({"|".join(loose)})', 1)), o ->
@@ -156,6 +156,7 @@ def locale_label(c) -> Column:
     return F.when(_col(c).rlike(pattern), label)
 
 
+# Fixed values below: what counts as blank lines, a data URI, an image and a link in Markdown.
 def squeeze_markdown(c) -> Column:
     """No blanks at line ends, at most one empty line, one newline at the end."""
     text = F.regexp_replace(_col(c), r"[ \t]+\n", "\n")
@@ -188,5 +189,5 @@ def tidy_markdown(c, base: Column | None = None) -> Column:
 def compact_markdown(c) -> Column:
     """Images dropped, links reduced to their text (one nested pair of parentheses)."""
     text = F.regexp_replace(shorten_data_uris(c), r"!\[[^\]]*\]\([^)]*\)", "")
-    text = F.regexp_replace(text, r"\[([^\]]*)\]\((?:[^()]|\([^)]*\))*\)", "$1")
+    text = F.regexp_replace(text, r"\[([^\]]*)\]\((?:[^()]++|\([^)]*+\))*+\)", "$1")
     return squeeze_markdown(text)

@@ -18,16 +18,18 @@ from weblode.operators.tree import RAW, VOID, tree_of
 _RAW_ELEMENTS = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in RAW)
 # Comment, whole raw-text element, tag (quotes respected), tag with broken
 # quotes, declaration, text run, lone bracket.  Joined in order, the tokens
-# give the page back.
+# give the page back.  The loops are possessive: a repeated group that may
+# backtrack costs the matcher a stack frame per turn, and a tag with thousands
+# of attributes would end the executor.
 TOKEN = (
-    r"(?is)<!--.*?-->|" + _RAW_ELEMENTS + r"""|</?[a-z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>"""
-    r"|</?[a-z][^>]*>|<[!?][^>]*>|[^<]+|<"
+    r"(?is)<!--.*?-->|" + _RAW_ELEMENTS + r"""|</?[a-z][^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>"""
+    r"|</?[a-z][^>]*+>|<[!?][^>]*+>|[^<]++|<"
 )
 HIDDEN = (
     r"(?is)^<[a-z][^>]*\s(?:hidden(?:[\s=/>])|aria-hidden\s*=\s*\S?true"
     r"|style\s*=\s*[^>]*(?:display\s*:\s*none|visibility\s*:\s*hidden))"
 )
-ATTRIBUTE = r"""(?s)[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+ATTRIBUTE = r"""(?s)[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
 
 
 def _names(tags) -> str:

@@ -168,6 +168,9 @@ def state_assignments(doms: DataFrame, keep=("page_id",)) -> DataFrame:
     return found.groupBy(*keep, "key").agg(F.max_by("value", F.struct("script", "i")).alias("body"))
 
 
+_HEAD = 1 << 16
+
+
 def first_json(text) -> Column:
     """The JSON object or array at the start of a text, whatever follows.
 
@@ -177,11 +180,11 @@ def first_json(text) -> Column:
     """
     text = F.col(text) if isinstance(text, str) else text
     # Pieces: a string, a bracket, or a run of anything else.
-    piece = r'(?s)"[^"\\]*(?:\\.[^"\\]*)*"|[{}\[\]]|[^"{}\[\]]+|"'
+    piece = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]]|[^"{}\[\]]++|"'
 
-    def fold(pieces: Column) -> Column:
+    def fold(part: Column) -> Column:
         return F.aggregate(
-            pieces,
+            F.regexp_extract_all(part, F.lit(piece), F.lit(0)),
             F.struct(F.lit(0).alias("depth"), F.lit(0).alias("len"), F.lit(False).alias("done")),
             lambda a, p: F.when(a["done"], a).otherwise(
                 let(
@@ -194,8 +197,10 @@ def first_json(text) -> Column:
             lambda a: F.when(a["done"], F.left(text, a["len"])),
         )
 
-    value = let(F.regexp_extract_all(text, F.lit(piece), F.lit(0)), fold)
-    return let(value, lambda v: F.when(F.try_parse_json(v).isNotNull(), v))
+    parsed = lambda part: let(fold(part), lambda v: F.when(F.try_parse_json(v).isNotNull(), v))
+    # Most values end soon: what follows them is not cut up.  A value that runs
+    # on past the head (or whose head ends in a string) parses only as a whole.
+    return F.coalesce(parsed(F.left(text, F.lit(_HEAD))), F.when(F.length(text) > _HEAD, parsed(text)))
 
 
 # Where main content is looked for, in this order.
@@ -413,6 +418,17 @@ def outline(doms: DataFrame, keep=("page_id",), max_depth: int = 6, max_lines: i
     return both.filter((F.col("depth") == 0) | (F.col("parent_line") < max_lines)).select(*keys, "line", "depth", "text")
 
 
+def find_by_text(doms: DataFrame, text: Column, keep=("page_id",)) -> DataFrame:
+    """(keep, pos, tag, text): elements whose own text, cleaned, equals a value of the page."""
+    nodes = F.col("nodes")
+
+    def hits(wanted: Column) -> Column:
+        same = lambda n: (n["kind"] == "open") & (clean(F.array_join(dom.own_texts(nodes, n), " ")) == wanted)
+        return F.transform(F.filter(nodes, same), lambda n: F.struct(n["pos"].alias("pos"), n["tag"].alias("tag"), wanted.alias("text")))
+
+    return doms.select(*keep, F.inline(F.when(text != "", let(text, hits))))
+
+
 def find_similar(doms: DataFrame, like: Column, keep=("page_id",)) -> DataFrame:
     """Elements built like the given ones: same depth, tag, parent tag and attribute names."""
     nodes = F.col("nodes")

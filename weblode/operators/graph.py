@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -33,7 +34,7 @@ def sitemap_roots(robots: DataFrame) -> DataFrame:
 
 
 def expand_sitemaps(
-    roots: DataFrame, docs: DataFrame, match: str | None = None, limit: int | None = None, max_docs: int | None = None, max_depth: int = 50
+    roots: DataFrame, docs: DataFrame, match: str | None = None, limit: int | None = None, max_docs: int | None = None
 ) -> DataFrame:
     """(site, url, path): page URLs below the roots, each once, in discovery order.
 
@@ -46,7 +47,7 @@ def expand_sitemaps(
     seen = None
     found = []
     used = None
-    for depth in range(max_depth):
+    for depth in count():
         hits = front.join(docs, front["url"] == docs["doc_url"]).select("site", "url", "path", "body")
         if max_docs is not None:
             order = Window.partitionBy("site").orderBy("path")
@@ -61,7 +62,7 @@ def expand_sitemaps(
                 used.join(here, "site", "full").select("site", (F.coalesce("_used", F.lit(0)) + F.coalesce("_here", F.lit(0))).alias("_used")))
         seen = level.select("site", "url") if seen is None else seen.unionByName(level.select("site", "url"))
         kids = level.select("site", "index", F.col("path").alias("_up"), F.posexplode("locs").alias("pos", "url"))
-        kids = kids.withColumn("path", F.concat(F.lit(f"{depth:03d}/"), F.regexp_replace("_up", r"^\d{3}/", ""), F.lit("/"), place(F.col("pos"))))
+        kids = kids.withColumn("path", F.concat(F.lit(f"{depth:08d}/"), F.regexp_replace("_up", r"^\d{8}/", ""), F.lit("/"), place(F.col("pos"))))
         found.append(kids.filter(~F.col("index")).select("site", "url", "path"))
         nested = kids.filter("index").groupBy("site", "url").agg(F.min("path").alias("path"))
         front = durable(nested.join(seen, ["site", "url"], "left_anti"))
@@ -71,7 +72,7 @@ def expand_sitemaps(
     for more in found[1:]:
         pages = pages.unionByName(more)
     if match:
-        pages = pages.filter(F.col("url").rlike(match))
+        pages = pages.filter(F.col("url").rlike(urls.check_pattern(match, "match")))
     # A sitemap listed as a page is no page.
     first = pages.groupBy("site", "url").agg(F.min("path").alias("path")).join(seen, ["site", "url"], "left_anti")
     if limit is not None:
@@ -85,21 +86,16 @@ def paginate(starts: DataFrame, pages: DataFrame, max_pages: int = 5) -> DataFra
     ``pages`` is (url, next_url, usable).  A chain ends at the cap, at a
     repeat, without a next link, or before a page that is missing or unusable.
     """
-    good = pages.filter("usable").select("url", "next_url")
+    good = durable(pages.filter("usable").select("url", "next_url"), "pages")
     hop = starts.select(F.col("url").alias("start"), F.col("url").alias("at")).distinct()
-    step = hop.join(good, hop["at"] == good["url"]).select(
-        "start", F.lit(1).alias("page_no"), "url", "next_url", F.array("url").alias("trail"))
-    out = [step]
-    for n in range(2, max_pages + 1):
-        ahead = step.filter(F.col("next_url").isNotNull() & ~F.array_contains("trail", F.col("next_url"))).select(
-            "start", F.col("next_url").alias("at"), "trail")
-        step = ahead.join(good, ahead["at"] == good["url"]).select(
-            "start", F.lit(n).alias("page_no"), "url", "next_url", F.array_append("trail", F.col("url")).alias("trail"))
-        out.append(step)
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionByName(more)
-    return result.select("start", "page_no", "url")
+    step = hop.join(good, hop["at"] == good["url"]).select("start", "next_url", F.array("url").alias("trail"))
+    # One join a page: a chain carries its trail along, and what ended stays as it is.
+    for _ in range(2, max_pages + 1):
+        on = F.col("next_url").isNotNull() & ~F.array_contains("trail", F.col("next_url"))
+        ahead = step.select("start", "trail", F.when(on, F.col("next_url")).alias("at"))
+        step = ahead.join(good, ahead["at"] == good["url"], "left").select(
+            "start", "next_url", F.when(F.col("url").isNull(), F.col("trail")).otherwise(F.array_append("trail", F.col("url"))).alias("trail"))
+    return step.select("start", F.posexplode("trail").alias("_at", "url")).select("start", (F.col("_at") + 1).alias("page_no"), "url")
 
 
 def accumulated(chain: DataFrame, rows: DataFrame, limit: int = 0, key: str = "url") -> DataFrame:
@@ -112,30 +108,52 @@ def accumulated(chain: DataFrame, rows: DataFrame, limit: int = 0, key: str = "u
 
 
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
-    """(host, rule, allow) for one agent out of (host, body) robots.txt rows."""
-    group = rf"(?ims)^user-agent:[ \t]*{agent.replace('*', chr(92) + '*')}[ \t]*$(.*?)(?=^user-agent:|\z)"
-    part = F.regexp_extract("body", group, 1)
-    lines = F.filter(F.transform(F.split(part, r"\r?\n"), strip), lambda x: x.rlike(r"(?i)^(dis)?allow:[ \t]*\S"))
-    rule = F.transform(
-        lines,
-        lambda x: F.struct(F.trim(F.regexp_extract(x, r"^[^:]*:([^#]*)", 1)).alias("rule"), F.lower(x).startswith("allow").alias("allow")),
-    )
-    return robots.select("host", F.inline(rule)).filter(F.col("rule") != "").distinct()
+    """(host, rule, allow) for one agent out of (host, body) robots.txt rows.
+
+    Lines are folded in order.  Agent lines that follow each other share the
+    rules below them; all groups of an agent count; an agent without a group
+    falls back to ``*``.  Comments go, names and keys know no case, a rule
+    without a path says nothing.
+    """
+    lines = F.transform(F.split("body", r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"(?s)#.*", ""))
+    fields = F.transform(
+        lines, lambda x: F.struct(F.lower(strip(F.split_part(x, F.lit(":"), F.lit(1)))).alias("key"), strip(F.regexp_extract(x, r"(?s)^[^:]*:(.*)", 1)).alias("value")))
+    rule_list = "array<struct<rule:string,allow:boolean>>"
+    start = F.struct(
+        F.lit(False).alias("mine"), F.lit(False).alias("all"), F.lit(False).alias("ruled"), F.lit(False).alias("known"),
+        F.array().cast(rule_list).alias("own"), F.array().cast(rule_list).alias("common"))
+
+    def step(a: Column, line: Column) -> Column:
+        named, value = line["key"] == "user-agent", line["value"]
+        rule = line["key"].isin("allow", "disallow")
+        mine = F.lower(value) == agent.lower()
+        # An agent line after rules begins a new group.
+        on = lambda flag, hit: F.when(named, (~a["ruled"] & a[flag]) | hit).otherwise(a[flag])
+        entry = F.struct(value.alias("rule"), (line["key"] == "allow").alias("allow"))
+        grown = lambda of, flag: F.when(rule & (value != "") & a[flag], F.array_append(a[of], entry)).otherwise(a[of])
+        return F.struct(
+            on("mine", mine).alias("mine"), on("all", value == "*").alias("all"), F.when(named, False).otherwise(a["ruled"] | rule).alias("ruled"),
+            (a["known"] | (named & mine)).alias("known"), grown("own", "mine").alias("own"), grown("common", "all").alias("common"))
+
+    rules = F.aggregate(fields, start, step, lambda a: F.when(a["known"], a["own"]).otherwise(a["common"]))
+    return robots.select("host", F.inline(rules)).distinct()
 
 
 def allowed_by_robots(candidates: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """Candidates their host's rules permit: the longest matching rule wins, allow wins ties.
 
-    The rules of a host become one array, so a hot host costs its rows one
-    look-up each and no row is multiplied.
+    The rules of a host, those of its one robots file, become one array, so a
+    hot host costs its rows one look-up each and no row is multiplied.  Rules
+    are prefixes; only those with ``*`` or a closing ``$`` need a pattern.
     """
     per_host = rules.groupBy("host").agg(F.collect_list(F.struct("rule", "allow")).alias("_rules"))
     target = F.concat(urls.path(url), F.when(urls.query(url) != "", F.concat(F.lit("?"), urls.query(url))).otherwise(F.lit("")))
-    pattern = lambda rule: F.concat(
-        F.lit("^"), F.regexp_replace(F.regexp_replace(rule, r"([.+?^(){}\[\]|\\])", r"\\$1"), r"\*", ".*"))
+    quoted = lambda rule: F.regexp_replace(rule, r"([.+?^(){}\[\]|\\]|\$(?!$))", r"\\$1")
+    pattern = lambda rule: F.concat(F.lit("^"), F.regexp_replace(quoted(rule), r"\*+", ".*"))
+    meets = lambda r: F.when(r["rule"].rlike(r"\*|\$$"), F.rlike(F.col("_target"), pattern(r["rule"]))).otherwise(F.startswith(F.col("_target"), r["rule"]))
     d = candidates.withColumn("host", urls.host(url)).withColumn("_target", target).join(per_host, "host", "left")
     hit = F.aggregate(
-        F.filter("_rules", lambda r: F.rlike(F.col("_target"), pattern(r["rule"]))),
+        F.filter("_rules", meets),
         F.struct(F.lit(-1).alias("len"), F.lit(True).alias("allow")),
         lambda a, r: F.when(
             (F.length(r["rule"]) > a["len"]) | ((F.length(r["rule"]) == a["len"]) & r["allow"]),
@@ -158,7 +176,7 @@ def allow_deny(url: Column, allow: Sequence[str] = (), deny: Sequence[str] = ())
 
 def reach(
     starts: DataFrame, links: DataFrame, max_pages: int | None = None, allow: Sequence[str] = (), deny: Sequence[str] = (),
-    rules: DataFrame | None = None, visited: DataFrame | None = None, max_depth: int = 1000,
+    rules: DataFrame | None = None, visited: DataFrame | None = None,
 ) -> DataFrame:
     """(domain, url, depth): pages reached inside the domain of each start.
 
@@ -179,7 +197,7 @@ def reach(
         visited = durable(visited.select("domain", "url").distinct(), "visited")
     reached = Growing(spark, "reached")
     wave, new = reached.add(start.select("domain", "url", F.lit(0).alias("depth")))
-    for depth in range(1, max_depth):
+    for depth in count(1):
         if not new:
             break
         step = wave.select("domain", F.col("url").alias("source")).join(edges, "source")

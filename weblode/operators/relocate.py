@@ -27,7 +27,7 @@ def _shape(n: Column) -> Column:
     return F.struct(
         n["pos"].alias("pos"), n["tag"].alias("tag"), F.coalesce(parent["tag"], F.lit("")).alias("parent_tag"), n["depth"].alias("depth"),
         F.array_sort(F.array_distinct(pairs)).alias("attributes"),
-        F.slice(F.array_distinct(F.split(clean(dom.subtree_text("nodes", n)), " ")), 1, 32).alias("words"),
+        F.array_distinct(F.split(clean(dom.subtree_text("nodes", n)), " ")).alias("words"),
     )
 
 
