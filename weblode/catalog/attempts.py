@@ -20,8 +20,8 @@ att as (
          when n_chars < 200 then 'error' end as kind,
     case when tier in ('http', 'stealth') then
            case when status >= 400 then 'HTTP ' || status
-                when media = 'text/html' and regexp_matches(final_path, '(?i)/(login|signin)(/|$)') then 'redirects to a login page' end
-         when n_chars < 200 then 'empty response' end as reason
+                when media = 'text/html' and regexp_matches(final_path, '(?i)/(login|signin)(/|$)') then 'sent to a sign-in page' end
+         when n_chars < 200 then 'too little text' end as reason
   from (
     select *, case when event_id % 50 = 0 and status = 200 then '/login/' else '/u/' || fetch_id end as final_path
     from (
@@ -45,7 +45,7 @@ seen as (select * from walk where used and not stopped and not solved),
 best as (
   select fetch_id, coalesce(arg_min(tier, tier_rank) filter (kind is null), arg_max(tier, tier_rank) filter (local)) as tier,
     case when count(*) filter (kind is null) > 0 then 'ok' else coalesce(arg_max(kind, tier_rank) filter (local), 'error') end as kind,
-    case when count(*) filter (kind is null) > 0 then null else coalesce(arg_max(reason, tier_rank) filter (local), 'no tier responded') end as reason,
+    case when count(*) filter (kind is null) > 0 then null else coalesce(arg_max(reason, tier_rank) filter (local), 'nothing came back') end as reason,
     coalesce(string_agg(tier || ': ' || reason, ' | ' order by tier_rank) filter (kind is not null), '') as trail
   from seen group by fetch_id)
 """
@@ -186,12 +186,12 @@ variant as (
   select page_id, url as requested_url, case when page_id % 8 = 7 and page_id % 3 = 0 then 'https://example.com/authwall?next=x' else url end as url,
     case when page_id % 40 = 8 then 410 else 200 end as status,
     case page_id % 8
-      when 1 then '<html><head><title>Just a moment...</title></head><body><script>window._cf_chl_opt={{}}</script>Verifying you are human ' || page_id || '</body></html>'
-      when 2 then '<html><body><form id="challenge-form"></form><p>Checking your browser ' || page_id || '</p></body></html>'
-      when 3 then '<html><body><div id="root"></div><script src="/app.js"></script></body></html>'
-      when 4 then '<html><body><div id="app"><p>' || repeat('some text ', 30) || page_id || '</p></div></body></html>'
+      when 1 then '<!doctype html><title>Attention Required! Harbour office</title><p>The tide table opens after a short test. Ticket ' || page_id || '.</p>'
+      when 2 then '<body><p>The lighthouse log is behind a gate, ticket ' || page_id || '.</p>' || [{", ".join(t.q(m) for m in fixtures.GATES)}][page_id // 8 % {len(fixtures.GATES)} + 1] || '</body>'
+      when 3 then '<body><section id="__next"></section><script src="/harbour/main.js"></script></body>'
+      when 4 then '<body><div id="svelte"><h2>Tides</h2><p>' || repeat('high water at noon, ', 18) || page_id || '</p></div></body>'
       when 5 then replace(html, '<title>', '<title>Access Denied ')
-      when 6 then '<html><body><p>Please complete the security check on page ' || page_id || '</p></body></html>'
+      when 6 then '<body><h1>Ferry desk</h1><p>Unusual traffic was seen from pier ' || page_id || '.</p></body>'
       else html end as html
   from pages),
 """
@@ -208,12 +208,12 @@ feat as (
     t.page_sql(
         f"""select page_id, split_part(v, '~~', 1) as kind, split_part(v, '~~', 2) as reason from (
       select page_id, case when status = 410 then 'notfound~~HTTP 410'
-        when contains(url, '/authwall') then 'login~~redirects to a login page'
-        when n < 4000 and regexp_matches(title, {t.q(verdict.BLOCKED_TITLE)}) then 'blocked~~challenge page (''' || left(title, 60) || ''')'
-        when n < 2500 and regexp_matches(head, {t.q(verdict.VENDORS[0][1])}) then 'blocked~~anti-bot cloudflare'
-        when n < 2500 and regexp_matches(text, {t.q(verdict.PHRASES)}) then 'blocked~~challenge page (''' || regexp_extract(text, {t.q(verdict.PHRASES)}) || ''')'
-        when n < 200 and contains(head, '<script') then 'empty~~no content without JavaScript (' || n || ' characters)'
-        when n < 800 and regexp_matches(head, {t.q(verdict.JS_ROOT)}) then 'empty~~un-rendered SPA (' || n || ' characters)'
+        when contains(url, '/authwall') then 'login~~sent to a sign-in page'
+        when n < 4000 and regexp_matches(title, {t.q(verdict.BLOCKED_TITLE)}) then 'blocked~~asks for a human: ' || left(title, 60)
+        {" ".join(f"when n < 2500 and regexp_matches(head, {t.q(pattern)}) then 'blocked~~marker of {name}'" for name, pattern in verdict.VENDORS)}
+        when n < 2500 and regexp_matches(text, {t.q(verdict.PHRASES)}) then 'blocked~~asks for a human: ' || regexp_extract(text, {t.q(verdict.PHRASES)})
+        when n < 200 and contains(head, '<script') then 'empty~~only scripts around ' || n || ' characters'
+        when n < 800 and regexp_matches(head, {t.q(verdict.JS_ROOT)}) then 'empty~~empty application root, ' || n || ' characters'
         else 'ok~~' end as v from feat)""",
         _FEATS, _PROBLEM, "variant",
     ),

@@ -251,10 +251,11 @@ def repos_flat(spark, root):
 
 @query(
     "captured_calls",
-    """with g as (select event_id // 50 as page, count(*) as n, any_value(m) as m from events cross join (select max(event_id) // 50 as m from events) group by 1)
-    select page, 'https://app.example.com/api/events?page=' || page || '&size=50' as url, 200 as status,
-      case when page % 10 = 9 then 'text/plain' else 'application/json' end as type, case when page % 10 <> 9 then page < m end as has_next,
-      case when page % 10 <> 9 then n end as rows, case when page % 10 = 9 then 'plain answer ' || page end as text from g""",
+    """with g as (select event_id // 50 as page, count(*) as n, any_value(m) as m, page % 8 = 7 and page // 8 % 10 = 9 as plain
+      from events cross join (select max(event_id) // 50 as m from events) group by 1)
+    select page, 'https://app.example.com/api/c' || page % 8 || '/events?page=' || page // 8 || '&size=50' as url, 200 as status,
+      case when plain then 'text/plain' else 'application/json' end as type, case when not plain then page + 8 <= m end as has_next,
+      case when not plain then n end as rows, case when plain then 'plain answer ' || page end as text from g""",
 )
 def captured_calls(spark, root):
     c = platforms.captured_calls(fixtures.captured(spark, root), ["page"])
@@ -265,8 +266,8 @@ def captured_calls(spark, root):
 
 @query(
     "api_templates",
-    """select 'https://app.example.com/api/events?page={}&size=50' as template, count(*) as calls, min(page) as first_page, max(page) as last_page
-    from (select distinct event_id // 50 as page from events)""",
+    """select 'https://app.example.com/api/c' || page % 8 || '/events?page={}&size=50' as template, count(*) as calls, min(page) as first_page, max(page) as last_page
+    from (select distinct event_id // 50 as page from events) group by page % 8""",
 )
 def api_templates(spark, root):
     """Endpoints behind a page: calls that match a pattern, grouped by address template."""
@@ -276,7 +277,7 @@ def api_templates(spark, root):
 
 @query(
     "api_rows",
-    "select event_id, event_type, user_id from events where event_id // 50 < (select min(p) from (select distinct event_id // 50 as p from events) where p % 10 = 9)",
+    "select event_id, event_type, user_id from events where event_id // 50 % 8 <> 7 or event_id // 50 // 8 < 9",
 )
 def api_rows(spark, root):
     """Rows of numbered API pages until one says it is the last, or does not parse."""
@@ -323,11 +324,13 @@ def nth_child_cells(spark, root):
 )
 def embedded_jsonld(spark, root):
     d = dom.with_nodes(fixtures.embedded_pages(spark, root))
-    ld = d.select("page_id", F.lit("jsonld").alias("kind"), F.lit("jsonld").alias("key"), F.explode(extract.jsonld_texts()).alias("body"))
-    scripts = extract.json_scripts(d).select("page_id", F.lit("script").alias("kind"), "key", "body")
+    entry = lambda kind, key, body: F.struct(F.lit(kind).alias("kind"), key.alias("key"), body.alias("body"))
+    found = F.concat(
+        F.transform(extract.jsonld_texts(), lambda b: entry("jsonld", F.lit("jsonld"), b)),
+        F.transform(extract.json_script_array(), lambda x: entry("script", x["key"], x["body"])))
     v = F.try_parse_json("body")
     value = F.coalesce(F.try_variant_get(v, "$.name", "string"), F.try_variant_get(v, "$.k", "string"), F.try_variant_get(v, "$.second", "string"))
-    return ld.unionByName(scripts).select("page_id", "kind", "key", value.alias("value"))
+    return d.select("page_id", F.inline(found)).select("page_id", "kind", "key", value.alias("value"))
 
 
 @query(

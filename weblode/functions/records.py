@@ -49,7 +49,7 @@ def best_media(details: Column) -> Column:
 
 def list_or_text(raw: Column) -> Column:
     """A field that is a JSON list or plain text, as text joined by commas."""
-    return F.when(raw.startswith("["), F.array_join(F.from_json(raw, "array<string>"), ", ")).otherwise(raw)
+    return F.coalesce(F.when(raw.startswith("["), F.array_join(F.from_json(raw, "array<string>"), ", ")), raw)
 
 
 def pretty(value: Column) -> Column:

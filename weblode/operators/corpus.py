@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weblode.functions.text import clean, thousands
+from weblode.functions.text import clean, strip, thousands
 from weblode.operators.platforms import FEED_ROOT
 
 
@@ -14,7 +14,7 @@ def body_kind(media: Column, text: Column) -> Column:
     """html, json, feed, xml, text or binary, from media type and first characters."""
     html = media.contains("html") | ((media == "") & F.lower(F.left(text, F.lit(2000))).contains("<html"))
     json_like = media.contains("json") | F.left(text, F.lit(1)).isin("{", "[")
-    xml_like = media.contains("xml") | F.ltrim(text).startswith("<?xml")
+    xml_like = media.contains("xml") | strip(F.left(text, F.lit(2000))).startswith("<?xml")
     feed = F.left(text, F.lit(3000)).rlike(FEED_ROOT)
     return (
         F.when(html, F.lit("html"))

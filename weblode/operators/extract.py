@@ -110,8 +110,14 @@ def metadata(doms: DataFrame, keep=("page_id", "url", "status")) -> DataFrame:
     )
 
 
-def json_scripts(doms: DataFrame, keep=("page_id",)) -> DataFrame:
-    """Embedded JSON scripts as (key, body) rows; of equal keys the last that parses stays."""
+def _last_of_key(pairs: Column) -> Column:
+    """Of (key, body) structs with equal keys the last one; a page has few, so each looks at those after it."""
+    return let(pairs, lambda all_: F.filter(
+        all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.greatest(F.size(all_) - i - 1, F.lit(0))), lambda o: o["key"] == e["key"])))
+
+
+def json_script_array() -> Column:
+    """Embedded JSON scripts as (key, body); of equal keys the last that parses stays."""
     found = select_any(
         "nodes",
         [
@@ -123,7 +129,6 @@ def json_scripts(doms: DataFrame, keep=("page_id",)) -> DataFrame:
     named = F.transform(
         found,
         lambda n, i: F.struct(
-            i.alias("i"),
             F.coalesce(
                 F.nullif(dom.attribute(n, "id"), F.lit("")),
                 F.nullif(dom.attribute(n, "data-target"), F.lit("")),
@@ -132,8 +137,12 @@ def json_scripts(doms: DataFrame, keep=("page_id",)) -> DataFrame:
             dom.script_body(n).alias("body"),
         ),
     )
-    rows = doms.select(*keep, F.inline(named)).filter(F.try_parse_json("body").isNotNull())
-    return rows.groupBy(*keep, "key").agg(F.max_by("body", "i").alias("body"))
+    return _last_of_key(F.filter(named, lambda x: F.try_parse_json(x["body"]).isNotNull()))
+
+
+def json_scripts(doms: DataFrame, keep=("page_id",)) -> DataFrame:
+    """The scripts of ``json_script_array`` as rows, without a shuffle."""
+    return doms.select(*keep, F.inline(json_script_array()))
 
 
 # Fixed value: how a page names the state it assigns for its scripts.
@@ -147,25 +156,27 @@ def state_assignments(doms: DataFrame, keep=("page_id",)) -> DataFrame:
     what follows it is ignored.
     """
     scripts = F.filter("nodes", lambda n: (n["kind"] == "raw") & (n["tag"] == "script") & dom.attribute(n, "src").isNull())
-    bodies = doms.select(*keep, F.posexplode(F.transform(scripts, dom.script_body)).alias("script", "body"))
-    bodies = bodies.filter(F.col("body").rlike(STATE_NAME + r"[{\[]"))
-    # Everything after each assignment, in order: split keeps the pieces between the names.
-    names = F.regexp_extract_all("body", F.lit(STATE_NAME + r"[{\[]"), F.lit(1))
-    heads = F.regexp_extract_all("body", F.lit(STATE_NAME + r"[{\[]"), F.lit(0))
-    starts = F.aggregate(
-        heads,
-        F.struct(F.lit(1).alias("from"), F.array().cast("array<int>").alias("at")),
-        lambda acc, h: let(
-            F.call_function("locate", h, F.col("body"), acc["from"]),
-            lambda p: F.struct((p + F.length(h)).alias("from"), F.array_append(acc["at"], p + F.length(h) - 1).alias("at")),
-        ),
-        lambda acc: acc["at"],
-    )
-    spots = bodies.select(*keep, "script", "body", F.posexplode(F.arrays_zip(names.alias("key"), starts.alias("at"))).alias("i", "s"))
-    tail = spots.select(*keep, "script", "i", F.col("s.key").alias("key"), F.substr("body", F.col("s.at")).alias("tail"))
-    value = first_json("tail")
-    found = tail.withColumn("value", value).filter(F.col("value").isNotNull())
-    return found.groupBy(*keep, "key").agg(F.max_by("value", F.struct("script", "i")).alias("body"))
+    heads = lambda body, part: F.regexp_extract_all(body, F.lit(STATE_NAME + r"[{\[]"), F.lit(part))
+
+    def starts(body: Column) -> Column:
+        """Where each value begins: names are found one after the other."""
+        return F.aggregate(
+            heads(body, 0),
+            F.struct(F.lit(1).alias("from"), F.array().cast("array<int>").alias("at")),
+            lambda acc, h: let(
+                F.call_function("locate", h, body, acc["from"]),
+                lambda p: F.struct((p + F.length(h)).alias("from"), F.array_append(acc["at"], p + F.length(h) - 1).alias("at")),
+            ),
+            lambda acc: acc["at"],
+        )
+
+    def values_of(body: Column) -> Column:
+        spots = F.arrays_zip(heads(body, 1).alias("key"), starts(body).alias("at"))
+        return F.transform(spots, lambda s: F.struct(s["key"].alias("key"), first_json(F.substr(body, s["at"])).alias("body")))
+
+    bodies = F.filter(F.transform(scripts, dom.script_body), lambda b: b.rlike(STATE_NAME + r"[{\[]"))
+    found = F.filter(F.flatten(F.transform(bodies, values_of)), lambda x: x["body"].isNotNull())
+    return doms.select(*keep, F.inline(_last_of_key(found)))
 
 
 _HEAD = 1 << 16

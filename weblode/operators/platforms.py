@@ -220,25 +220,35 @@ VIDEO_SCHEMA = (
 def pick_track(manual: Column, auto: Column, language: Column, prefs: Sequence[str], explicit: bool) -> Column:
     """(key, automatic): the caption track to read, from ordered track names.
 
-    Without a request the original language comes first; with one, the
-    requested languages do.  Live chat is no track.
+    Every track is a candidate with a rank for each way it could be meant: a
+    requested language (in order of request) or the video's own.  The smallest
+    (group, language, exactness, place) wins: requests come before the own
+    language where they were made explicitly, hand-made tracks before
+    automatic ones, exact names before regional variants.  A hand-made track of
+    another language is the last resort; live chat is no track.
     """
-    manual = F.filter(manual, lambda k: k != "live_chat")
-    original = F.nullif(F.substring_index(F.coalesce(language, F.lit("")), "-", 1), F.lit(""))
+    spoken = F.nullif(F.substring_index(F.coalesce(language, F.lit("")), "-", 1), F.lit(""))
+    asked, own = (0, 2) if explicit else (1, 0)
 
-    def hit(pool: Column, lang: Column, automatic: bool) -> Column:
-        loose = F.get(F.filter(pool, lambda k: F.substring_index(k, "-", 1) == lang), F.lit(0))
-        key = F.when(F.array_contains(pool, lang), lang).otherwise(loose)
-        return F.when(lang.isNotNull() & key.isNotNull(), F.struct(key.alias("key"), F.lit(automatic).alias("automatic")))
+    def candidates(pool: Column, automatic: bool) -> Column:
+        late = int(automatic)
 
-    wanted_manual = [hit(manual, F.lit(p), False) for p in prefs]
-    wanted_auto = [hit(auto, F.lit(p), True) for p in prefs]
-    own = [hit(manual, original, False)]
-    own_auto = [hit(auto, F.concat(original, F.lit("-orig")), True), hit(auto, original, True)]
-    steps = wanted_manual + wanted_auto + own + own_auto if explicit else own + wanted_manual + own_auto + wanted_auto
-    first = F.get(manual, F.lit(0))
-    rest = F.when(first.isNotNull(), F.struct(first.alias("key"), F.lit(False).alias("automatic")))
-    return F.coalesce(*steps, rest)
+        def of(key: Column, place: Column) -> Column:
+            base = F.substring_index(key, "-", 1)
+            rank = lambda hit, group, lang, exact: F.when(
+                hit, F.struct(F.lit(group).alias("group"), F.lit(lang).alias("lang"), F.lit(exact).alias("exact"), place.alias("place"), key.alias("key"), F.lit(automatic).alias("automatic")))
+            # Own language: hand-made at once, automatic after hand-made requests; both after all requests where these are explicit.
+            group_asked, group_own = (asked + late, own + late) if explicit else (asked + 2 * late, own + 2 * late)
+            ways = [w for i, p in enumerate(prefs) for w in (rank(key == p, group_asked, i, 0), rank(base == p, group_asked, i, 1))]
+            ways += [rank(key == F.concat(spoken, F.lit("-orig")), group_own, 0, -1)] if automatic else []
+            ways += [rank(key == spoken, group_own, 0, 0), rank(base == spoken, group_own, 0, 1)]
+            return F.array(*ways) if automatic else F.array(*ways, rank(F.lit(True), 9, 0, 0))
+
+        return F.flatten(F.transform(pool, of))
+
+    made = candidates(F.filter(manual, lambda k: k != "live_chat"), False)
+    best = F.array_min(F.array_compact(F.concat(made, candidates(auto, True))))
+    return F.when(best.isNotNull(), F.struct(best["key"].alias("key"), best["automatic"].alias("automatic")))
 
 
 def videos(raw: DataFrame, keys: Sequence[str], info: str = "info", prefs: Sequence[str] = ("en",), explicit: bool = False,
@@ -507,7 +517,10 @@ def table_cells(doms: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFram
         return F.transform(own, lambda n: F.struct(n["nth"].alias("cell"), (n["tag"] == "th").alias("header"), clean(dom.subtree_text(nodes, n)).alias("text")))
 
     def rows(tb: Column) -> Column:
-        trs = F.filter(dom.inside(nodes, tb), lambda n: matches(Step(tag="tr"), n))
+        # Rows of a table inside this one belong to that one.
+        own = lambda n: F.get(nodes, n["parent"])
+        mine = lambda n: (n["parent"] == tb["pos"]) | (own(n)["tag"].isin("thead", "tbody", "tfoot") & (own(n)["parent"] == tb["pos"]))
+        trs = F.filter(dom.inside(nodes, tb), lambda n: matches(Step(tag="tr"), n) & mine(n))
         return F.transform(trs, cells)
 
     tables = F.transform(select(nodes, [Step(tag="table")]), rows)

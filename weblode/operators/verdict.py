@@ -32,10 +32,7 @@ PHRASES = (
     r"|access to this page has been denied|press & hold|enter the characters you see below"
     r"|automated access to amazon|request unsuccessful\. incapsula"
 )
-JS_ROOT = (
-    r"""(?i)id=["'](root|app|__next|__nuxt|svelte|app-root)["']|ng-version=|data-reactroot"""
-    r"|<noscript>[^<]{0,300}javascript"
-)
+JS_ROOT = r"""(?i)id=["'](root|app|__next|__nuxt|svelte|app-root)["']|ng-version=|data-reactroot|<noscript>[^<]{0,300}javascript"""
 LOGIN_PATH = r"(?i)/(login|log-in|signin|sign-in|authwall|checkpoint|accounts/login|i/flow/login|uas/login)(/|$)"
 TITLE_BELOW, MARKERS_BELOW, SCRIPT_SHELL_BELOW, ROOT_SHELL_BELOW = 4000, 2500, 200, 800
 MARKER_HEAD = 300_000
@@ -66,7 +63,7 @@ def by_headers(status: Column, media: Column, final_path: Column, requested_path
     """The part of the verdict that needs no page content: null when nothing is wrong so far."""
     return F.coalesce(
         status_rule(status),
-        F.when(is_html(media) & login_redirect(final_path, requested_path), _verdict("login", "redirects to a login page")),
+        F.when(is_html(media) & login_redirect(final_path, requested_path), _verdict("login", "sent to a sign-in page")),
     )
 
 
@@ -87,36 +84,38 @@ def diagnose(
     un-rendered shells on short pages.
     """
     rendered = F.lit(False) if rendered is None else rendered
-    d = dom.with_nodes(pages.withColumn("_html", F.col("html")), "html").withColumnRenamed("_html", "html")
+    # Header rules come first: what they settle, and what is no HTML, is not lexed.
     headers = by_headers(F.col("status"), media, path("url"), path("requested_url"))
+    d = settle(pages, ["*"], _headers=headers)
+    d = dom.with_nodes(d.withColumn("_lex", F.when(F.col("_headers").isNull() & is_html(media), F.col("html")).otherwise("")), "_lex")
     if probe is not None:
         found = F.size(select_any("nodes", probe)) > 0
-        content = F.when(~found, _verdict("empty", f"selector '{probe_name}' matched nothing"))
+        content = F.when(~found, _verdict("empty", f"no element meets {probe_name}"))
     elif not detect:
         content = F.lit(None).cast("struct<kind:string,reason:string>")
     else:
         d = features(d)
         text, n, title, head = F.col("_text"), F.col("_len"), F.col("_title"), F.col("_head")
-        quoted = lambda x: F.concat(F.lit("challenge page ('"), x, F.lit("')"))
+        quoted = lambda x: F.concat(F.lit("asks for a human: "), x)
         short = n < MARKERS_BELOW
         content = F.when(
             (n < TITLE_BELOW) & title.rlike(BLOCKED_TITLE), _verdict("blocked", quoted(F.left(title, F.lit(60))))
         )
         for name, pattern in VENDORS:
-            content = content.when(short & head.rlike(pattern), _verdict("blocked", f"anti-bot {name}"))
+            content = content.when(short & head.rlike(pattern), _verdict("blocked", f"marker of {name}"))
         content = (
             content.when(short & text.rlike(PHRASES), _verdict("blocked", quoted(F.regexp_extract(text, PHRASES, 0))))
             .when(
                 ~rendered & (n < SCRIPT_SHELL_BELOW) & head.contains("<script"),
-                _verdict("empty", F.concat(F.lit("no content without JavaScript ("), n.cast("string"), F.lit(" characters)"))),
+                _verdict("empty", F.concat(F.lit("only scripts around "), n.cast("string"), F.lit(" characters"))),
             )
             .when(
                 ~rendered & (n < ROOT_SHELL_BELOW) & head.rlike(JS_ROOT),
-                _verdict("empty", F.concat(F.lit("un-rendered SPA ("), n.cast("string"), F.lit(" characters)"))),
+                _verdict("empty", F.concat(F.lit("empty application root, "), n.cast("string"), F.lit(" characters"))),
             )
         )
-    problem = F.coalesce(headers, F.when(is_html(media), content))
-    return settle(d, [c for c in d.columns if c not in ("_text", "_len", "_title", "_head")], problem=problem)
+    problem = F.coalesce("_headers", F.when(is_html(media), content))
+    return settle(d, [c for c in d.columns if c not in ("_text", "_len", "_title", "_head", "_headers")], problem=problem)
 
 
 # Tiers in the order they are tried, and which stay on this machine.
@@ -132,7 +131,7 @@ def remote_problem(text: Column) -> Column:
     noted = F.lit(False)
     for note in REMOTE_BLOCK_NOTES:
         noted = noted | head.contains(note)
-    return F.when(noted, F.lit("block page")).when(F.length(F.trim(text)) < REMOTE_MIN_TEXT, F.lit("empty response"))
+    return F.when(noted, F.lit("a refusal, not the page")).when(F.length(F.trim(text)) < REMOTE_MIN_TEXT, F.lit("too little text"))
 
 
 def judged(attempts: DataFrame) -> DataFrame:
@@ -142,7 +141,7 @@ def judged(attempts: DataFrame) -> DataFrame:
     """
     local = F.col("tier").isin(*LOCAL)
     here = by_headers(F.col("status"), F.col("media"), F.col("final_path"), F.col("requested_path"))
-    there = F.when(F.col("n_chars") < REMOTE_MIN_TEXT, _verdict("error", "empty response"))
+    there = F.when(F.col("n_chars") < REMOTE_MIN_TEXT, _verdict("error", "too little text"))
     return settle(attempts.withColumn("local", local), ["*"], problem=F.when(F.col("local"), here).otherwise(there))
 
 
@@ -165,10 +164,10 @@ def ladder(judged_attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min(F.when(~local & usable, one)).alias("remote"),
         F.max(F.when(local, one)).alias("last"),
         F.coalesce(F.bool_or(local & F.col("status").isin(401, 407)), F.lit(False)).alias("asks_auth"),
-        # One attempt per tier: the list has as many entries as there are tiers.
-        F.array_sort(F.collect_list(F.when(~usable, one))).alias("rejected"),
+        # One struct per tier, the last rejection of a repeated one: the list has as many entries as there are tiers.
+        F.array_sort(F.array_compact(F.array(*[F.max(F.when(~usable & (F.col("tier") == t), one)) for t in dict.fromkeys(TIERS + LOCAL)]))).alias("rejected"),
     )
-    none = F.struct(F.lit(99).alias("rank"), F.lit(None).cast("string").alias("tier"), F.lit("error").alias("kind"), F.lit("no tier responded").alias("reason"))
+    none = F.struct(F.lit(99).alias("rank"), F.lit(None).cast("string").alias("tier"), F.lit("error").alias("kind"), F.lit("nothing came back").alias("reason"))
     may_ask = F.col("last").isNotNull() & ~F.col("asks_auth")
     winner = (
         F.when(F.col("ok").isNotNull() & (F.col("stop").isNull() | (F.col("ok.rank") < F.col("stop.rank"))), F.col("ok"))

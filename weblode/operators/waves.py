@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
-_LOCAL: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session without one gets a folder of its own.
-    """
+    """The folder the session names in ``spark.checkpoint.dir``, else one inside its warehouse; never one of the machine's own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if sc.applicationId not in _LOCAL:
-        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="weblode-")
-    return _LOCAL[sc.applicationId]
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_waves"
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
