@@ -181,6 +181,10 @@ def posts(raw: DataFrame, keys: Sequence[str], body: str = "body") -> DataFrame:
         F.when(ok, post["conversation_count"]).alias("replies"), F.when(ok, best_media(post["mediaDetails"])).alias("media"),
         F.when(ok & post["quoted_tweet"].isNotNull(), post["quoted_tweet"]["user"]["screen_name"]).alias("quoted_handle"),
         F.when(ok & post["quoted_tweet"].isNotNull(), expanded_text(post["quoted_tweet"])).alias("quoted_text"),
+        *[F.when(ok, value).alias(f"quoted_{name}") for name, value in (
+            ("author", post["quoted_tweet"]["user"]["name"]), ("created", post["quoted_tweet"]["created_at"]), ("likes", post["quoted_tweet"]["favorite_count"]),
+            ("replies", post["quoted_tweet"]["conversation_count"]))],
+        F.when(ok & post["quoted_tweet"].isNotNull(), best_media(post["quoted_tweet"]["mediaDetails"])).alias("quoted_media"),
         F.when(
             ok,
             F.concat(F.lit("https://x.com/"), F.coalesce(post["user"]["screen_name"], F.lit("i")), F.lit("/status/"), F.coalesce(post["id_str"], F.lit(""))),
