@@ -55,6 +55,33 @@ def test_robots(spark):
     assert got == {"https://e.example" + p for p, ok in paths.items() if ok} | {"https://other.example/a"}
 
 
+def test_robots_groups(spark):
+    """Shared groups, repeated groups, comments, case, fall-back, patterns."""
+    files = {
+        "shared": "User-agent: *\nUser-agent: heron # both\nDisallow: /nest\n",
+        "twice": "user-agent:HERON\nDisallow: /a\n\nUser-agent: *\nDisallow: /\n\nUser-Agent: Heron\r\nDisallow: /b$\nCrawl-delay: 3\nAllow: /a/ok\n",
+        "other": "User-agent: gull\nDisallow: /\n", "star": "# all\nUser-agent: *\nDisallow:\nDisallow: /x*y\n", "none": "", "dot": "User-agent: her.n\nDisallow: /\n",
+    }
+    rules = graph.robots_rules(spark.createDataFrame(list(files.items()), "host string, body string"), "heron")
+    got = {}
+    for r in rules.collect():
+        got.setdefault(r.host, set()).add((r.rule, r.allow))
+    assert got == {"shared": {("/nest", False)}, "twice": {("/a", False), ("/b$", False), ("/a/ok", True)}, "star": {("/x*y", False)}}
+    asked = [("twice", "/a"), ("twice", "/a/ok/1"), ("twice", "/b"), ("twice", "/bb"), ("star", "/x/1/y2"), ("star", "/x"), ("other", "/"), ("shared", "/nest.html")]
+    df = spark.createDataFrame([(f"https://{h}{p}",) for h, p in asked], "url string")
+    ok = {r.url for r in graph.allowed_by_robots(df, rules).collect()}
+    assert ok == {"https://twice/a/ok/1", "https://twice/bb", "https://star/x", "https://other/"}
+
+
+def test_nothing_is_cut_at_a_depth(spark):
+    n = 60
+    docs = [(f"https://a.example/{i}.xml", f"<sitemapindex><loc>https://a.example/{i + 1}.xml</loc></sitemapindex>") for i in range(n)]
+    docs.append((f"https://a.example/{n}.xml", "<urlset><loc>https://a.example/deep</loc></urlset>"))
+    roots = spark.createDataFrame([("https://a.example", 0, "https://a.example/0.xml")], "site string, pos int, url string")
+    got = graph.expand_sitemaps(roots, spark.createDataFrame(docs, "doc_url string, body string"))
+    assert [r.url for r in got.collect()] == ["https://a.example/deep"]
+
+
 def crawl(start, links, allow=None):
     seen, order, front = {start}, [], [start]
     while front:
@@ -159,3 +186,13 @@ def test_watch_across_batches(spark, tmp_path):
             want.append((k, t, last.get(k), v))
         last[k] = v
     assert got == sorted(want)
+
+
+def test_watch_sets_late_rows_aside(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    for rows in ([("a", 10, "x"), ("b", 1, "y")], [("a", 5, "z"), ("a", 11, "x"), ("c", 0, None)], [("a", 12, "w"), ("b", 0, "q"), ("b", 2, "y")]):
+        spark.createDataFrame(rows, "k string, t int, v string").coalesce(1).write.mode("append").parquet(str(src))
+        jobs.watch(spark.readStream.schema("k string, t int, v string").parquet(str(src)), out, ["k"], ["t"], F.floor(F.col("t") / 7), "v")
+    got = sorted((r.k, r.t, r.old, r.new) for r in runs.read_rows(spark, out).collect())
+    assert got == [("a", 10, None, "x"), ("a", 12, "x", "w"), ("b", 1, None, "y"), ("c", 0, None, None)]
+    assert sorted((r.k, r.t) for r in spark.read.parquet(f"{out}/late").collect()) == [("a", 5), ("b", 0)]

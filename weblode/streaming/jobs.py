@@ -19,19 +19,28 @@ def watch(stream: DataFrame, folder: str, keys: list[str], order: list[str], buc
     """Changes of a value per key, across batches and restarts.
 
     Inside a batch the bucketed look-up finds the value before; the first row
-    of a key is compared with the last value kept from earlier batches.  That
-    table is written under the batch's number, so a replay starts from the
-    same state.
+    of a key is compared with the last value kept from earlier batches, with
+    its place in the order.  A row that comes no later than that place is late:
+    it is neither a change nor the new value, and is set aside in
+    ``late``, where it can be counted.  The state is written under the batch's
+    number, so a replay starts from the same one.
     """
     spark = stream.sparkSession
     state = f"{folder}/last"
 
     def each(df: DataFrame, n: int) -> None:
-        last = df.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("value")), F.struct(*order)).alias("kept"))
+        at = F.struct(*order)
         kept = spark.read.parquet(f"{state}/batch={n - 1}") if n > 0 else None
-        rows = previous(df, keys, order, bucket, F.col(value), "before", initial=kept)
         if kept is not None:
-            last = kept.join(last.withColumnRenamed("kept", "new"), keys, "full").select(*keys, F.coalesce("new", "kept").alias("kept"))
+            placed = df.join(kept.select(*keys, F.col("at").alias("_at")), keys, "left")
+            late = F.col("_at").isNotNull() & (at <= F.col("_at"))
+            placed.filter(late).select(df.columns).write.mode("overwrite").parquet(f"{folder}/late/batch={n}")
+            df = placed.filter(~late).select(df.columns)
+        last = df.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("value")), at).alias("kept"), F.max(at).alias("at"))
+        rows = previous(df, keys, order, bucket, F.col(value), "before", initial=None if kept is None else kept.drop("at"))
+        if kept is not None:
+            newest = kept.unionByName(last)
+            last = newest.groupBy(*keys).agg(F.max_by("kept", "at").alias("kept"), F.max("at").alias("at"))
         changed = F.col("before").isNull() | ~F.col("before.value").eqNullSafe(F.col(value))
         write_batch(rows.filter(changed).select(*keys, *order, F.col("before.value").alias("old"), F.col(value).alias("new")), folder, n)
         last.write.mode("overwrite").parquet(f"{state}/batch={n}")
