@@ -10,10 +10,7 @@ from check import TABLES, rows_of
 from weblode import catalog
 
 ROOT = "/root/testdata/sf0.001"
-SOME = (
-    "url_parts url_audit page_links page_meta page_markdown page_outline row_rules_nav diagnose_pages best_attempt watch_changes feed_items "
-    "thread_markdown posts_flat catalogue_products captions_vtt sitemap_top paginate_rows corpus_search corpus_compact batch_index"
-).split()
+ALL = [name for name, q in catalog.load().items() if q.twin]
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +21,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", ALL)
 def test_twin(spark, duck, name):
     q = catalog.load()[name]
     df = q.plan(spark, ROOT)
@@ -67,6 +64,25 @@ def test_columns_are_pruned(spark):
     assert "ReadSchema: struct<page_id:bigint,url:string>" in text
 
 
-def test_no_hand_made_cross_joins(spark):
-    for name in ("corpus_search", "batch_summary", "captured_calls", "crawl_reach"):
-        assert "CartesianProduct" not in plan_of(catalog.load()[name].plan(spark, ROOT))
+def jobs_of(spark, build):
+    """Jobs that run while a query is built."""
+    group = f"build-{id(build)}"
+    spark.sparkContext.setJobGroup(group, "")
+    df = build()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    return df, n
+
+
+@pytest.mark.parametrize("name", ["thread_comments", "listing_cards", "nth_child_cells", "embedded_jsonld", "embedded_state", "page_titles"])
+def test_nothing_runs_while_planning_and_pages_are_lexed_once(spark, name):
+    """Only the reading of schemas runs jobs; a page table is lexed in one step for each rule set."""
+    df, n = jobs_of(spark, lambda: catalog.load()[name].plan(spark, ROOT))
+    assert n <= 3
+    assert plan_of(df).count("ArrowEvalPython") == (2 if name == "listing_cards" else 1)
+
+
+def test_cross_joins_add_one_row(spark):
+    """Joins without a key stand only beside global aggregates."""
+    for name in ("corpus_search", "batch_summary", "captured_calls"):
+        assert plan_of(catalog.load()[name].plan(spark, ROOT)).count("NestedLoopJoin") <= 1

@@ -105,8 +105,7 @@ def next_tier_plan(spark, root):
 def batch_summary(spark, root):
     judged = _judged(spark, root)
     # Two one-row tables side by side.
-    summary = verdict.batch_summary(verdict.ladder(judged, ["fetch_id"])).withColumn("_one", F.lit(1))
-    return summary.join(verdict.crawl_statistics(judged).withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return verdict.batch_summary(verdict.ladder(judged, ["fetch_id"])).crossJoin(verdict.crawl_statistics(judged))
 
 
 _ADVICE = " ".join(f"when '{k}' then {t.q(v)}" for k, v in verdict.ADVICE.items())

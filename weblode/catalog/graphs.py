@@ -9,6 +9,7 @@ from weblode.catalog import twins as t
 from weblode.functions import urls
 from weblode.operators import graph
 from weblode.sources import fixtures
+from weblode.sources.responses import table
 
 _DOMAIN = f"regexp_extract({t.host('url')}, '([^.]+\\.[^.]+)$', 1)"
 
@@ -114,3 +115,46 @@ def crawl_records(spark, root):
     starts, links, rules = _crawl(spark, root)
     reached = graph.reach(starts, links, deny=["/de/9"], rules=rules)
     return graph.follow_rules(reached, [(r"/en/\d", "english"), (r"/[a-z][a-z]/", "other")]).groupBy("domain", "kind").agg(F.count("*").alias("pages"))
+
+
+#: Robots files of four kinds: a shared group, two groups of one agent, only another agent, ties.
+_FILES = (
+    "# french\nUser-agent: *\nUser-agent: Bot # both\nDisallow: /fr/ # all of it\n",
+    "User-agent: bot\nDisallow: /en/\n\nUser-agent: *\nDisallow: /\n\nUSER-AGENT: BOT\nAllow: /en/1\nDisallow: /*/2$\n",
+    "User-agent: other\nDisallow: /\n",
+    "User-agent: *\nDisallow:\nDisallow: /de/\nAllow: /de/\nDisallow: /es/\n",
+)
+_TARGET = f"{t.path('url')} || case when {t.url_query('url')} <> '' then '?' || {t.url_query('url')} else '' end"
+
+
+@query(
+    "robots_allowed",
+    f"""select page_id from (select page_id, length({t.host('url')}) % 4 as k, {_TARGET} as p from pages)
+    where case k when 0 then not starts_with(p, '/fr/')
+      when 1 then starts_with(p, '/en/1') or not (starts_with(p, '/en/') or regexp_matches(p, '^/.*/2$'))
+      when 3 then not starts_with(p, '/es/') else true end""",
+)
+def robots_allowed(spark, root):
+    """Pages that one named agent may read."""
+    pages = table(spark, root, "pages").select("page_id", "url")
+    body = F.element_at(F.array(*[F.lit(x) for x in _FILES]), F.length("host") % 4 + 1)
+    robots = pages.select(urls.host("url").alias("host")).distinct().withColumn("body", body)
+    return graph.allowed_by_robots(pages, graph.robots_rules(robots, "bot")).select("page_id")
+
+
+@query(
+    "sitemap_batch",
+    f"""select 'https://' || {_DOMAIN} as site, url, min(page_id) as page_id, 'ok' as outcome from pages where page_id % 9 <> 4 group by all
+    union all select 'https://' || {_DOMAIN}, url, null, 'nothing is stored' from pages group by 1, 2 having bool_and(page_id % 9 = 4)""",
+)
+def sitemap_batch(spark, root):
+    """The URLs that sitemaps list beside the stored answers, of which every ninth is missing."""
+    from weblode.plans import jobs
+    from weblode.sources import responses
+
+    roots = graph.sitemap_roots(fixtures.robots_files(spark, root))
+    listed = graph.expand_sitemaps(roots, fixtures.sitemap_documents(spark, root)).select("site", "url")
+    stored = responses.lift(table(spark, root, "pages").filter("page_id % 9 <> 4"))
+    answers = jobs.fetched(listed, stored)
+    out = answers.groupBy("site", "url").agg(F.min("page_id").alias("page_id"), F.min(F.coalesce("problem.reason", F.lit("ok"))).alias("outcome"))
+    return out

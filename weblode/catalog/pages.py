@@ -344,13 +344,14 @@ def page_outline(spark, root):
 @query(
     "page_json",
     page_sql(
-        """select p.page_id, to_json({'url': url, 'status': 200, 'title': coalesce(title, '')})::varchar as doc
-        from pages p left join titles using (page_id)"""
+        """select page_id, to_json({'url': url, 'status': 200, 'title': coalesce(title, ''), 'markdown': markdown})::varchar as doc
+        from pages p join focus using (page_id) join md using (page_id) left join titles using (page_id)""",
+        _FOCUS + "," + _MARKDOWN,
     ),
 )
 def page_json(spark, root):
-    d = doms(spark, root).select("page_id", F.to_json(F.struct("url", "status", dom.page_title().alias("title"))).alias("doc"))
-    return d
+    """The JSON document of a page, its Markdown included."""
+    return extract.documents(doms(spark, root)).select("page_id", F.to_json(F.struct("url", "status", "title", "markdown")).alias("doc"))
 
 
 @query("relocated_headings", page_sql("select page_id, 'heading' as name, pos + 1 as pos from nodes where tag = 'h1'"))

@@ -24,6 +24,18 @@ def feed_items(spark, root):
     return platforms.feed_items(fixtures.feeds(spark, root), ["source", "block"])
 
 
+@query(
+    "feed_items_full",
+    f"""select source, block, n, title, text from (
+      select source, doc_id // 400 as block, row_number() over (partition by source, doc_id // 400 order by doc_id) as n,
+        case when doc_id % 11 = 0 or {t.clean('left(text, 60)')} = '' then '(untitled)' else {t.clean('left(text, 60)')} end as title, {t.clean('text')} as text
+      from documents)""",
+)
+def feed_items_full(spark, root):
+    """All entries of all feeds with their whole texts."""
+    return platforms.feed_items(fixtures.feeds(spark, root), ["source", "block"], top=0, full=True).select("source", "block", "n", "title", "text")
+
+
 @query(
     "feed_discovery",
     f"""select page_id, case when page_id % 3 = 0 then {t.scheme('url')} || '://' || {t.netloc('url')} || '/feed/' || page_id || '.xml' end as feed,

@@ -83,7 +83,7 @@ def search(docs: DataFrame, terms: Sequence[str], text: str = "text", top: int =
     hit = F.lit(False)
     for i in range(len(terms)):
         hit = hit | (F.col(f"_tf{i}") > 0)
-    j = d.filter(hit).withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one")
+    j = d.filter(hit).crossJoin(totals)  # the one row of a global aggregate
     score = F.lit(0.0)
     for i in range(len(terms)):
         t, df = F.col(f"_tf{i}"), F.col(f"_df{i}")

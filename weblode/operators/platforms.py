@@ -28,9 +28,15 @@ def feed_items(feeds: DataFrame, keys: Sequence[str], body: str = "body", top: i
     """(keys, feed_title, n, title, link, date, text) for RSS, Atom and RDF bodies; the first ``top`` entries of each."""
     dialect = F.regexp_extract(F.left(F.col(body), F.lit(3000)), FEED_ROOT, 1)
     d = feeds.withColumn("_d", dialect).filter(F.col("_d") != "")
-    rss = F.when(F.col("_d") == "rss", F.from_xml(F.col(body), f"channel {_RSS}"))
-    atom = F.when(F.col("_d") == "feed", F.from_xml(F.col(body), _ATOM))
-    rdf = F.when(F.col("_d") == "rdf:RDF", F.from_xml(F.col(body), _RDF))
+    # A bare ampersand or a name only HTML knows makes the whole feed unreadable: such bodies get a second reading.
+    mended = F.regexp_replace(F.col(body), r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#[xX][0-9a-fA-F]+);)", "&amp;")
+
+    def parsed(kind: str, schema: str, part: str) -> Column:
+        once = let(F.from_xml(F.col(body), schema), lambda x: F.when(part_of(x, part).isNotNull(), x))
+        return F.when(F.col("_d") == kind, F.coalesce(once, F.from_xml(mended, schema)))
+
+    part_of = lambda x, names: part_of(x[names.split(".", 1)[0]], names.split(".", 1)[1]) if "." in names else x[names]
+    rss, atom, rdf = parsed("rss", f"channel {_RSS}", "channel.item"), parsed("feed", _ATOM, "entry"), parsed("rdf:RDF", _RDF, "item")
 
     def item(title, link, date, text) -> Column:
         return F.struct(title.alias("title"), link.alias("link"), date.alias("date"), text.alias("text"))
@@ -66,6 +72,14 @@ def feed_items(feeds: DataFrame, keys: Sequence[str], body: str = "body", top: i
     )
 
 
+def feed_problems(feeds: DataFrame, keys: Sequence[str], body: str = "body") -> DataFrame:
+    """(keys, reason) of bodies that give no feed items."""
+    found = feed_items(feeds, keys, body, top=1).select(*keys, F.lit(True).alias("_some"))
+    is_feed = F.left(F.col(body), F.lit(3000)).rlike(FEED_ROOT)
+    rest = feeds.join(found, list(keys), "left_anti")
+    return rest.select(*keys, F.when(is_feed, F.lit("no entry of the feed can be read")).otherwise(F.lit("not a feed")).alias("reason"))
+
+
 def discovered_feed(html: Column, base: Column) -> Column:
     """(feed, reason): the first feed a page advertises, absolute."""
     tag = F.regexp_extract(html, r"""(?i)<link[^>]+type=["']application/(?:rss|atom)\+xml["'][^>]*>""", 0)

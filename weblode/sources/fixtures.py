@@ -274,8 +274,7 @@ def captured(spark, root) -> DataFrame:
     last = F.floor(F.max("event_id") / 50)
     row = F.to_json(F.struct("event_id", "event_type", "user_id"))
     g = e.select(F.floor(F.col("event_id") / 50).alias("page"), "event_id", row.alias("row")).groupBy("page").agg(_listed("row", "event_id", ",").alias("rows"))
-    top = e.select(last.alias("last"), F.lit(1).alias("_one"))
-    d = g.withColumn("_one", F.lit(1)).join(top, "_one")
+    d = g.crossJoin(e.select(last.alias("last")))  # the one row of a global aggregate
     n = F.col("page").cast("string")
     chain, at = F.col("page") % 8, F.floor(F.col("page") / 8)
     text = (chain == 7) & (at % 10 == 9)
@@ -399,10 +398,10 @@ def page_graph(spark, root) -> tuple[DataFrame, DataFrame]:
     first = p.groupBy("host").agg(F.min_by("url", "page_id").alias("first"))
     pages = ahead.join(first, "host").select(
         "page_id", "host", "url", F.coalesce("ahead.value", "first").alias("next_url"), (F.col("page_id") % 13 != 7).alias("usable"))
-    n = p.agg((F.max("page_id") + 1).alias("n"), F.lit(1).alias("_one"))
+    n = p.agg((F.max("page_id") + 1).alias("n"))  # one row
     steps = ((2, 1), (2, 2), (3, 5), (5, 7), (7, 11), (11, 3))
     targets = F.array(*[(F.col("page_id") * a + b) % F.col("n") for a, b in steps])
-    hops = p.withColumn("_one", F.lit(1)).join(n, "_one").select(F.col("url").alias("source"), F.posexplode(targets).alias("pos", "to"))
+    hops = p.crossJoin(n).select(F.col("url").alias("source"), F.posexplode(targets).alias("pos", "to"))
     links = hops.join(p.select(F.col("page_id").alias("to"), "url"), "to").select("source", "pos", "url")
     return pages, links
 
