@@ -77,8 +77,7 @@ def test_feeds(spark):
 def test_broken_feeds(spark):
     rss = '<rss><channel><title>Fish & chips</title><item><title>salt&nbsp;& vinegar</title><link>l?a=1&b=2</link></item></channel></rss>'
     df = spark.createDataFrame([(1, rss), (2, "<rss><channel><item><title>cut"), (3, "<p>page</p>")], "id int, body string")
-    assert [(r.id, r.title, r.link) for r in P.feed_items(df, ["id"]).collect()] == [(1, "salt & vinegar", "l?a=1&b=2")] or [
-        (r.id, r.link) for r in P.feed_items(df, ["id"]).collect()] == [(1, "l?a=1&b=2")]
+    assert [(r.id, r.link) for r in P.feed_items(df, ["id"]).collect()] == [(1, "l?a=1&b=2")]
     assert {r.id: r.reason for r in P.feed_problems(df, ["id"]).collect()} == {2: "no entry of the feed can be read", 3: "not a feed"}
 
 
