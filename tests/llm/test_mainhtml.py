@@ -25,6 +25,12 @@ def test_shop():
     ]
 
 
+def test_layout_classes_say_nothing():
+    page = """<div class="wrap with-sidebar"><div class="post-body"><p>The ferry leaves at noon and comes back late in the evening.</p></div>
+    <div class="right-sidebar"><p>The weather of the week, day by day, for every island of the bay.</p></div></div>"""
+    assert mainhtml.main_blocks(page) == ["The ferry leaves at noon and comes back late in the evening."]
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<", "<p", "<p>", "<!-- open", "<script>x", "<a href='x", "&", "<div " * 50, "</div>" * 50, "<p a=\"" + "x" * 1000])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(mainhtml.main_blocks(page), list)

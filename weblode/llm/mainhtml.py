@@ -37,8 +37,10 @@ TAGS = {
 BAD = set(
     "nav navbar navigation menu submenu footer sidebar aside cookie cookies consent gdpr notice notices alert banner ad ads adv advert adverts advertisement advertising sponsor sponsored "
     "promo promotion share sharing social related recommended comment comments commentlist respond replies disqus newsletter subscribe subscription signup login breadcrumb breadcrumbs "
-    "pagination pager popup modal overlay copyright widget toolbar skip toc outbrain taboola paywall masthead topbar".split()
+    "pagination pager popup modal overlay copyright widget toolbar skip toc outbrain taboola paywall masthead topbar contentinfo complementary reply discussion search logo".split()
 )
+#: A class name that begins so tells of the page's layout, not of the element.
+LAYOUT = {"has", "with", "no", "without", "is", "js"}
 WEAK = {"header": -3, "tags": -3, "meta": -2, "byline": -1, "caption": -1}
 GOOD = {"article": 3, "articlebody": 4, "content": 2, "post": 1.5, "entry": 2, "story": 2, "main": 2, "body": 1, "text": 1, "prose": 2}
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -60,9 +62,9 @@ class Node:
             for m in ATTR.finditer(attrs):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name in ("class", "id", "itemprop", "role"):
-                    for w in WORDS.findall(value):
-                        w = w.lower()
-                        own.append(-8 if w in BAD else WEAK.get(w, GOOD.get(w, 0)))
+                    for words in ([w.lower() for w in WORDS.findall(x)] for x in value.split()):
+                        if words and words[0] not in LAYOUT:
+                            own += [-8 if w in BAD else WEAK.get(w, GOOD.get(w, 0)) for w in words]
                     if "articlebody" in value.lower():
                         own.append(4)
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
