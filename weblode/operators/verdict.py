@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weblode.functions.text import clean
+
 from weblode.functions.urls import path
 from weblode.operators import dom
 from weblode.operators.rows import settle
