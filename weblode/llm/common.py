@@ -30,12 +30,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder that ``new_path`` named, on whatever store it lies."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def id_bucket(doc_id: str | Column, of: int) -> Column:
     """crc32 of the decimal id, modulo ``of`` (null ids: of the empty text)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -50,10 +50,6 @@ class Items:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.number.setdefault(x, len(self.number)) for x in w], np.int64))
 
-    def numbered(self, text: str | None) -> list[int]:
-        get = self.number.get
-        return [get(w, -1) for w in words(text)]
-
     def seed(self, counts: np.ndarray, total: int) -> None:
         """Choose the seeds, given how often each word stands in the corpus."""
         bits = np.log2((total + 1) / (counts + 1))
@@ -80,20 +76,29 @@ class Items:
             sieve[(value >> np.uint64(44)).astype(np.int64)] = True
             self.tables.append((n, value[order], [found[seeds[i]] for i in order], sieve))
 
+    def joined(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of some texts with a -1 after each, and where each text begins."""
+        flat: list[int] = []
+        starts, get = [], self.number.get
+        for t in texts:
+            starts.append(len(flat))
+            flat += [get(w, -1) for w in words(t)]
+            flat.append(-1)
+        return np.array(flat, np.int64), np.array(starts, np.int64)
+
     def hits(self, ids: np.ndarray):
-        """(position, item, position in the item) of every seed in a sequence of word numbers."""
-        inside = np.concatenate([[0], np.cumsum(ids < 0)])
+        """(position, item, position in the item) of every seed in a sequence of word numbers; none reaches over a -1."""
+        run = np.concatenate([[0], np.cumsum(ids < 0)]).astype(np.int32)
         for n, values, where, sieve in self.tables:
             if len(ids) < n:
                 continue
-            start = np.flatnonzero(inside[n:] == inside[:-n])
-            if not len(start):
-                continue
+            start = np.flatnonzero(run[n:] == run[:-n])
             v = rolled(ids, n, start)
             some = sieve[(v >> np.uint64(44)).astype(np.int64)]
             start, v = start[some], v[some]
             at = np.minimum(np.searchsorted(values, v), len(values) - 1)
-            for p, i in zip(start[values[at] == v].tolist(), at[values[at] == v].tolist(), strict=True):
+            same = values[at] == v
+            for p, i in zip(start[same].tolist(), at[same].tolist(), strict=True):
                 for item, q in where[i]:
                     yield p, item, q
 
@@ -134,10 +139,10 @@ def align(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int, int]:
     return score, equal, j, last
 
 
-def matches(items: Items, ids: np.ndarray):
-    """Rows (item, score, equal words, first, last) of the items that a document contains."""
+def matches(items: Items, ids: np.ndarray, hits: list[tuple[int, int, int]]):
+    """Rows (item, score, equal words, first, last) of the items that a document contains, from its words and seed hits."""
     spans: dict[int, list[list[int]]] = defaultdict(list)
-    for p, item, q in items.hits(ids):
+    for p, item, q in hits:
         n = len(items.items[item])
         spans[item].append([max(0, p - q - n // 2), min(len(ids), p - q + n + n // 2)])
     for item, found in spans.items():
@@ -170,9 +175,10 @@ def word_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
         own = items
         total, n = 0, np.zeros(len(own.number) + 1, np.int64)
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                ids = np.array(own.numbered(t), np.int64)
-                total += len(ids)
+            texts = batch.column("text").to_pylist()
+            for a, b in blocks(texts, BLOCK_CHARS):
+                ids, starts = own.joined(texts[a:b])
+                total += len(ids) - len(starts)
                 n += np.bincount(ids + 1, minlength=len(n))
         some = np.flatnonzero(n[1:])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[1:][some], total))], ["word", "n"])
@@ -212,9 +218,15 @@ def scanned(docs: DataFrame, items: Items) -> DataFrame:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             rows = []
             for a, b in blocks(texts, BLOCK_CHARS):
-                for doc_id, t in zip(ids[a:b], texts[a:b], strict=True):
-                    for item, score, equal, first, last in matches(own, np.array(own.numbered(t), np.int64)):
-                        rows.append((doc_id, own.ids[item], score, equal, len(own.items[item]), first, last))
+                flat, starts = own.joined(texts[a:b])
+                by_doc: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+                for p, item, q in own.hits(flat):
+                    doc = int(np.searchsorted(starts, p, "right")) - 1
+                    by_doc[doc].append((p - int(starts[doc]), item, q))
+                for doc, hits in sorted(by_doc.items()):
+                    last_word = int(starts[doc + 1]) - 1 if doc + 1 < len(starts) else len(flat) - 1
+                    for item, score, equal, first, last in matches(own, flat[starts[doc] : last_word], hits):
+                        rows.append((ids[a + doc], own.ids[item], score, equal, len(own.items[item]), first, last))
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in OUT.split(", ")])

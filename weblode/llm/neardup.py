@@ -6,7 +6,7 @@ as one when it has fewer words).  Two documents are linked when 100 * |A and B|
 1. Documents with the same words form one class, so copies are never paired.
 2. ``BANDS`` bands of ``ROWS`` minima each deal the classes into buckets.  A pair at similarity 0.75 misses all of them with a probability of
    ``(1 - 0.75**4)**32``, about 5e-6.
-3. In a bucket the members meet its hubs, a few at a time: the smallest member first, then four, sixteen and so on, and only members that
+3. In a bucket the members meet its hubs, a few at a time: the smallest member first, then eight, sixty-four and so on, and only members that
    are not yet connected with the hub.  A bucket whose members are connected is done, so a group of thousands of copies costs one pair per
    member, not all pairs; the rounds go on until no bucket holds a pair that is neither connected nor tested.
 4. A pair's signatures are compared batch by batch.  After n values with m equal the similarity has the posterior Beta(1 + m, 1 + n - m); the pair
@@ -83,8 +83,9 @@ def normal(text: Column) -> Column:
 
 def named(docs: DataFrame) -> DataFrame:
     """Add the 128-bit name of a document's word sequence; null without words."""
-    words = normal(F.col("text"))
-    return docs.withColumn("name", F.when(words != "", F.unhex(F.md5(words.cast("binary")))))
+    # Inside a one-element array the words are worked out once, however often they are used.
+    hashed = F.transform(F.array(normal(F.col("text"))), lambda words: F.when(words != "", F.unhex(F.md5(words.cast("binary")))))
+    return docs.withColumn("name", F.get(hashed, F.lit(0)))
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -175,25 +176,23 @@ def components(links: DataFrame, what: str = "links") -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-class Sets:
-    """Full sets of the classes that some candidate pair needs, worked out from the texts of their first documents."""
+#: Ids up to which a list of classes goes to the documents, about 20 MB; a longer one meets them in a shuffle.
+SENT = 200_000
 
-    def __init__(self, docs: DataFrame, classes: DataFrame):
-        self.docs, self.classes, self.have = docs, classes, None
 
-    def of(self, pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if self.have is not None:
-            need = need.join(self.have.select("node"), "node", "left_anti")
-        need = written(need.join(self.classes.select("node", "rep", "name"), "node"), "needed")
-        if not need.isEmpty():
-            by_id = self.docs.join(need.filter("rep is not null").withColumnRenamed("name", "_name"), F.col("doc_id") == F.col("rep"))
-            by_id = named(by_id.select("node", "text", "_name")).filter("name = _name").select("node", "text")
-            by_name = named(self.docs.filter("doc_id is null")).join(need.filter("rep is null"), "name").select("node", "text")
-            texts = by_id.unionByName(by_name).dropDuplicates(["node"])
-            more = written(texts.mapInArrow(members, "node long, members array<long>"), "members")
-            self.have = more if self.have is None else self.have.unionByName(more)
-        return self.have
+def full_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """(node, members) of classes (node, rep, name), from the texts of their first documents."""
+    need = written(need, "needed")
+    need = F.broadcast(need) if need.count() <= SENT else need.hint("shuffle_hash")
+    by_id = docs.join(need.filter("rep is not null").withColumnRenamed("name", "_name"), F.col("doc_id") == F.col("rep"))
+    by_id = named(by_id.select("node", "text", "_name")).filter("name = _name").select("node", "text")
+    by_name = named(docs.filter("doc_id is null")).join(need.filter("rep is null"), "name").select("node", "text")
+    texts = by_id.unionByName(by_name)
+    rows = written(texts.mapInArrow(members, "node long, members array<long>"), "members")
+    # Repeated rows of one id give their class again; only where there are such is it worth a shuffle of the sets.
+    if rows.groupBy("node").count().filter("count > 1").isEmpty():
+        return rows
+    return written(rows.groupBy("node").agg(F.first("members").alias("members")), "members")
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
@@ -204,9 +203,12 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
     return written(deals.join(shared, "bucket"), "buckets")
 
 
-def connected(classes: DataFrame, sets: Sets) -> DataFrame:
-    """(node, comp) of linked classes, from (node, sig)."""
-    deals, sigs = bucket_rows(classes), classes.select("node", "sig")
+def connected(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, comp) of linked classes, from (node, rep, name, sig)."""
+    deals = bucket_rows(classes)
+    some = deals.select("node").distinct()
+    sigs = written(classes.select("node", "sig").join(some, "node", "left_semi"), "sigs")
+    sets = full_sets(docs, classes.select("node", "rep", "name").join(some, "node", "left_semi"))
     comps = classes.sparkSession.createDataFrame([], "node long, comp long")
     links, done, hubs = None, 0, 1
 
@@ -223,6 +225,7 @@ def connected(classes: DataFrame, sets: Sets) -> DataFrame:
             of = written(of.join(open_, "bucket"), "open")
             if of.isEmpty():
                 return comps
+            deals = of.drop("comp")  # a bucket that is done stays done
             # The few smallest members only: Spark keeps no more of a partition before it deals them out.
             rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
             heads = of.withColumn("at", rank).filter(F.col("at") <= hubs).filter(F.col("at") > done)
@@ -238,11 +241,11 @@ def connected(classes: DataFrame, sets: Sets) -> DataFrame:
             some = written(some, part)
             if some.isEmpty():
                 break
-            more = written(verified(some, sets.of(some)), "verified")
+            more = written(verified(some, sets), "verified")
             if not more.isEmpty():
                 links = more if links is None else links.unionByName(more)
                 comps = components(links)
-        done, hubs = hubs, hubs * 4
+        done, hubs = hubs, hubs * 8
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -251,7 +254,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     rows = written(named(docs).mapInArrow(sign, "doc_id long, name binary, n_shingles long, sig array<int>"), "signatures")
     classes = rows.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = written(classes.withColumn("node", F.coalesce("rep", F.xxhash64("name"))), "classes")
-    comps = connected(classes, Sets(docs, classes))
+    comps = connected(docs, classes)
     # Per class the smallest id of its component; classes without links are their own.
     of = classes.select("name", "rep", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
