@@ -65,6 +65,14 @@ def test_against_all_pairs(documents):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_blocks_of_a_large_bucket(documents, monkeypatch):
+    """With tiny blocks every bucket is cut, and the result is the same."""
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 3)
+    rows = planted(seed=21)
+    got = {r.doc_id: r.component_id for r in neardup.groups(documents(*rows)).collect()}
+    assert got == {i: top for i, (_, top) in brute(rows).items()}
+
+
 def test_odd_rows(documents):
     got = [tuple(r) for r in neardup.groups(documents(*ROWS)).collect()]
     assert len(got) == len(ROWS)

@@ -6,9 +6,9 @@ as one when it has fewer words).  Two documents are linked when 100 * |A and B|
 1. Documents with the same words form one class, so copies are never paired.
 2. ``BANDS`` bands of ``ROWS`` minima each deal the classes into buckets.  A pair at similarity 0.75 misses all of them with a probability of
    ``(1 - 0.75**4)**32``, about 5e-6.
-3. In a bucket the members meet its hubs, a few at a time: the smallest member first, then eight, sixty-four and so on, and only members that
-   are not yet connected with the hub.  A bucket whose members are connected is done, so a group of thousands of copies costs one pair per
-   member, not all pairs; the rounds go on until no bucket holds a pair that is neither connected nor tested.
+3. In a bucket every member meets the smallest one first. What that leaves unconnected meets all other members of its bucket that it is not
+   connected with, in blocks of ``BLOCK_MEMBERS`` compared inside a task, so a group of thousands of copies makes no row for each of its pairs; only pairs
+   that pass step 4 come out.
 4. A pair's signatures are compared batch by batch.  After n values with m equal the similarity has the posterior Beta(1 + m, 1 + n - m); the pair
    is dropped as soon as P(similarity >= 0.75) is below ``MISS``.
 5. Survivors are verified on their full sets.  The likeliest partner of each member goes first; pairs that its links have connected need no test.
@@ -24,7 +24,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weblode.llm.common import blocks, mix64, odd_numbers, written
 
@@ -35,6 +35,7 @@ HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-6
 BLOCK_CHARS = 1 << 21
+BLOCK_MEMBERS = 1024
 
 
 def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -203,6 +204,42 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
     return written(deals.join(shared, "bucket"), "buckets")
 
 
+def blocked(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b, equal) of not yet connected members of a bucket, from (bucket, node, comp, sig, size).
+
+    A bucket of more than ``BLOCK_MEMBERS`` is cut into blocks, and every two blocks meet in a task of their own, which compares signatures batch
+    by batch and gives out only the pairs that no batch rules out.
+    """
+    n = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    rows = rows.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "comp", "sig")
+    return rows.groupBy("bucket", "x", "y").applyInArrow(compare_blocks, "a long, b long, equal int").groupBy("a", "b").agg(F.max("equal").alias("equal"))
+
+
+def compare_blocks(key: tuple, rows: pa.Table) -> pa.Table:
+    x, y = key[1].as_py(), key[2].as_py()
+    node, comp = (rows.column(c).to_numpy() for c in ("node", "comp"))
+    sig = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
+    block = rows.column("block").to_numpy()
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    limits = least_equal()
+    out = []
+    for i in left.tolist():
+        # Of two members of one block each pair once; over two blocks all of them.
+        j = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (x != y))]
+        equal = np.zeros(len(j), np.int64)
+        for n, least in limits:
+            equal += (sig[j, n - BATCH : n] == sig[i, n - BATCH : n]).sum(1)
+            keep = equal >= least
+            j, equal = j[keep], equal[keep]
+            if not len(j):
+                break
+        if len(j):
+            out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), equal]))
+    a, b, e = np.concatenate(out, 1) if out else np.zeros((3, 0), np.int64)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "equal": pa.array(e, pa.int32())})
+
+
 def connected(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, comp) of linked classes, from (node, rep, name, sig)."""
     deals = bucket_rows(classes)
@@ -210,42 +247,33 @@ def connected(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sigs = written(classes.select("node", "sig").join(some, "node", "left_semi"), "sigs")
     sets = full_sets(docs, classes.select("node", "rep", "name").join(some, "node", "left_semi"))
     comps = classes.sparkSession.createDataFrame([], "node long, comp long")
-    links, done, hubs = None, 0, 1
+    links = None
 
     def labelled(pairs: DataFrame) -> DataFrame:
         for x in ("a", "b"):
             pairs = pairs.join(comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")), x, "left").withColumn(f"comp_{x}", F.coalesce(f"comp_{x}", x))
         return pairs.filter("comp_a <> comp_b").select("a", "b")
 
-    while True:
-        if done:
-            # Buckets with two components at least, and with members beyond the hubs that have met all others.
-            of = deals.filter(F.col("size") > done + 1).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            open_ = of.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
-            of = written(of.join(open_, "bucket"), "open")
-            if of.isEmpty():
-                return comps
-            deals = of.drop("comp")  # a bucket that is done stays done
-            # The few smallest members only: Spark keeps no more of a partition before it deals them out.
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-            heads = of.withColumn("at", rank).filter(F.col("at") <= hubs).filter(F.col("at") > done)
-            heads = heads.select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-            pairs = of.join(heads, "bucket").filter("node > a and comp <> comp_a").select("a", F.col("node").alias("b"))
+    for part in ("hubs", "blocks"):
+        if part == "hubs":
+            pairs = deals.filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+            left = written(pruned(pairs, sigs), part)
         else:
-            pairs = deals.filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-        left = written(pruned(pairs.distinct(), sigs), "pairs")
+            # Only buckets that hold two components at least.
+            of = deals.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            mixed = of.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
+            left = written(blocked(of.join(mixed, "bucket").join(sigs, "node")), part)
         best = left.groupBy("b").agg(F.max_by("a", "equal").alias("a")).select("a", "b")
         # The likeliest partners first; what they connect needs no test.
-        for part in ("best", "rest"):
-            some = best if part == "best" else labelled(left.join(best, ["a", "b"], "left_anti").select("a", "b"))
-            some = written(some, part)
+        for some in (best, None):
+            some = written(some if some is not None else labelled(left.join(best, ["a", "b"], "left_anti").select("a", "b")), "tested")
             if some.isEmpty():
                 break
             more = written(verified(some, sets), "verified")
             if not more.isEmpty():
                 links = more if links is None else links.unionByName(more)
                 comps = components(links)
-        done, hubs = hubs, hubs * 8
+    return comps
 
 
 def grouped(docs: DataFrame) -> DataFrame:
