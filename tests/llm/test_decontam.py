@@ -36,6 +36,34 @@ def test_copies_and_edits_are_found(documents, spark):
     assert all(i == d % 100 for d, i in found)
 
 
+def test_edited_copies_are_found_in_a_large_corpus(documents, spark):
+    # Every third word replaced, in a corpus that has each word of the items hundreds of times.
+    own = [w for _, t in ITEMS for w in t.split()]
+    filler = [(1000 + i, " ".join(luck.sample(own, len(own)))) for i in range(300)]
+    third = [(i, " ".join("qqq" if k % 3 == 2 else w for k, w in enumerate(t.split()))) for i, t in ITEMS]
+    spread = [(100 + i, " ".join(x for w in t.split() for x in (w, "qqq"))) for i, t in ITEMS]
+    got = decontam.leaks(documents(*filler, *third, *spread), table(spark, ITEMS)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} >= {(k + i, i) for i, _ in ITEMS for k in (0, 100)}
+    assert not any(r.doc_id < 1000 and r.doc_id % 100 != r.item_id for r in got)
+
+
+def plain_leaks(doc, item):
+    return plain_score(item, doc) >= decontam.LEAST * 2 * len(item)
+
+
+@given(st.lists(st.integers(0, 12), min_size=3, max_size=14), st.lists(st.lists(st.integers(0, 14), max_size=30), min_size=1, max_size=4), st.randoms())
+@settings(max_examples=300, deadline=None)
+def test_no_alignment_is_lost(item, docs, chance):
+    # Documents of their own and edited copies, against the plain alignment of all.
+    docs = [*docs, [w for x in item for w in ([x] if chance.random() < 0.7 else [x, 20] if chance.random() < 0.5 else [chance.randint(0, 14)])]]
+    items = decontam.Items([(0, " ".join(f"w{x}" for x in item))])
+    items.seed(np.array([chance.randint(0, 9) for _ in items.number]))
+    flat, starts = items.joined([" ".join(f"w{x}" for x in d) for d in docs])
+    ends = [*(starts[1:] - 1), len(flat) - 1]
+    got = {d for d, i, hits in items.chains(flat, starts) if decontam.match(items, flat[starts[d] : ends[d]], i, hits)}
+    assert got == {d for d, x in enumerate(docs) if plain_leaks(x, item)}
+
+
 def test_leaked_thousands_of_times(documents, spark):
     rows = [(i, f"{text(5)} {ITEMS[0][1]}") for i in range(800)] + [(1000, text(300))]
     got = decontam.leaks(documents(*rows), table(spark, ITEMS)).collect()
