@@ -59,6 +59,35 @@ def test_edits_are_located():
     assert merkle.changed("a\nb", "a\nb") == []
 
 
+def test_small_shares_and_small_edits_are_seen():
+    lines = lambda name, n: [" ".join(f"{name}{i}x{j}" for j in range(8)) for i in range(n)]
+    long = lines("a", 2000)
+    shared = lines("b", 1960) + long[500:540]
+    slight, more = list(long), list(long)
+    slight[700] = "another line"
+    more[700:720] = lines("c", 20)
+    rows = merkle.compared([1, 2, 3, 4, 5], ["\n".join(x) for x in (long, shared, long, slight, more)])
+    assert 0.015 < rows["near_next"][0] < 0.025 and rows["near_next"][0] == rows["near_next"][1]
+    assert 1 - 2 / 2000 < rows["near_next"][2] < 1
+    assert 0.985 < rows["near_next"][3] < 0.995
+
+
+def test_likeness_of_leaves_and_order():
+    a, b = merkle.branches("one\ntwo words"), merkle.branches("two words\none")
+    assert merkle.likenesses([(a, a), (merkle.branches(""), a), (merkle.branches(""), merkle.branches("\n"))]) == [1.0, 0.0, 0.0]
+    assert 0.8 < merkle.likenesses([(a, b)])[0] < 1
+    line = [f"word{i}" for i in range(4000)]
+    other = line[:3800] + [f"new{i}" for i in range(200)]
+    near = merkle.likenesses([tuple(merkle.branches(" ".join(x)) for x in (line, other))])
+    assert 0.93 < near[0] < 0.97
+
+
+def test_leaves_do_not_depend_on_the_text_before():
+    texts = ["a b c d e f g h", "to be or not to be"]
+    for before in ("x", "yz", "long before"):
+        assert [s.tolist() for s in merkle.sketches([before, *texts])[1:]] == [s.tolist() for s in merkle.sketches(texts)]
+
+
 @given(st.text(max_size=60), st.text(max_size=60))
 @settings(max_examples=100, deadline=None)
 def test_roots_test_equality(a, b):

@@ -5,14 +5,18 @@ paragraph, or after one whose hash is divisible by ``SECTION``, so that an edit
 mean equal texts; where roots differ, the differing sections and in them the differing paragraphs locate the edit.
 
 Below the paragraphs are leaves of a few words, cut where the bytes before a white space say so.  A fingerprint is the root followed by a
-sketch, the ``SKETCH`` smallest leaf values.  The likeness of two fingerprints is 1 for equal roots, else the estimated share of common leaves
-(twice the common ones by all of both), at most ``NEARLY``.
+sketch, the ``SKETCH`` smallest leaf values.
+
+Likeness is taken from the trees while both texts are at hand: 1 for equal roots, else the share of bytes in equal sections, in equal paragraphs of
+the others, and in equal leaves of what then still differs.  Of two fingerprints alone, without texts, ``alike`` estimates the share of common
+leaves (twice the common ones by all of both), at most ``NEARLY``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from weblode.llm.common import mix64, odd_numbers, written
 
 SECTION = 8
-SKETCH = 48
+SKETCH = 64
 #: Unequal texts are never wholly alike.
 NEARLY = 0.999
 #: Bytes of leaves worked out at a time, and text bytes of a sorted part.
@@ -36,20 +40,26 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def tree(text: str) -> tuple[bytes, list[tuple[bytes, list[bytes]]]]:
-    """(root, [(section, [paragraph, ...]), ...])"""
+def branches(text: str) -> tuple[bytes, list[tuple[bytes, list[tuple[bytes, bytes]]]]]:
+    """(root, [(section, [(paragraph, its bytes), ...]), ...])"""
     sections, now = [], []
     for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
         p = digest(b"p" + line)
-        now.append(p)
+        now.append((p, line))
         if not line or p[0] % SECTION == 0:
-            sections.append((digest(b"s" + b"".join(now)), now))
+            sections.append((digest(b"s" + b"".join(x for x, _ in now)), now))
             now = []
     if now:
-        sections.append((digest(b"s" + b"".join(now)), now))
+        sections.append((digest(b"s" + b"".join(x for x, _ in now)), now))
     return hashlib.sha256(b"r" + b"".join(s for s, _ in sections)).digest(), sections
 
 
+def tree(text: str) -> tuple[bytes, list[tuple[bytes, list[bytes]]]]:
+    """(root, [(section, [paragraph, ...]), ...])"""
+    root, sections = branches(text)
+    return root, [(s, [p for p, _ in ps]) for s, ps in sections]
+
+
 def changed(old: str, new: str) -> list[tuple[int, int]]:
     """Numbers (first, last + 1) of the paragraphs of ``new`` that lie in differing branches, found from the tops of both trees down."""
     a, b = tree(old), tree(new)
@@ -87,8 +97,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def leaf_values(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text's number, value) of every leaf of some texts."""
+def leaf_values(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, value, bytes) of every leaf of some texts."""
     joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     n = len(joined)
     up, down = powers(n)
@@ -96,8 +106,13 @@ def leaf_values(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[:n])])
         before = np.zeros(n, np.uint64)
+        begin = np.concatenate([[0], ends[:-1]])
         for i in (1, 2, 3):
-            before[i:] = before[i:] * np.uint64(257) + joined[:-i]
+            # What stands before a text says nothing of its leaves.
+            byte = np.concatenate([np.full(min(i, n), 10, np.uint8), joined[:-i]])[:n]
+            for k in range(i):
+                byte[np.minimum(begin + k, n - 1)] = 10
+            before = before * np.uint64(257) + byte
         cut = SPACE[joined] & (mix64(before) & np.uint64(1) == 0)
         cut[ends - 1] = True
         stop = np.flatnonzero(cut)
@@ -106,7 +121,7 @@ def leaf_values(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         some = stop > start
         start, stop = start[some], stop[some]
         value = mix64((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64) * np.uint64(R))
-    return np.searchsorted(ends, start, "right"), value >> np.uint64(16)
+    return np.searchsorted(ends, start, "right"), value >> np.uint64(16), stop - start
 
 
 def sketches(texts: list[str]) -> list[np.ndarray]:
@@ -119,7 +134,7 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
         while last < len(raw) and (last == first or size + len(raw[last]) < BLOCK):
             size += len(raw[last]) + 1
             last += 1
-        doc, value = leaf_values(raw[first:last])
+        doc, value, _ = leaf_values(raw[first:last])
         order = np.lexsort((value, doc))
         doc, value = doc[order], value[order]
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])]) if len(doc) else np.zeros(0, bool)
@@ -130,9 +145,9 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(text: str, sketch: np.ndarray) -> bytes:
+def fingerprint(text: str, sketch: np.ndarray, root: bytes | None = None) -> bytes:
     """The root's 32 bytes and six for each value of the sketch."""
-    return tree(text)[0] + sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+    return (root or tree(text)[0]) + sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
 def alike(a: bytes, b: bytes) -> float:
@@ -150,16 +165,68 @@ def alike(a: bytes, b: bytes) -> float:
     return min(NEARLY, 2 * j / (1 + j))
 
 
+def differing(a: list, b: list) -> tuple[list, list, list]:
+    """Of two lists of (digest, what it stands for): what both have, and the rest of either."""
+    both = Counter(x for x, _ in a) & Counter(x for x, _ in b)
+    common, rest = [], ([], [])
+    for side, out in zip((a, b), rest, strict=True):
+        left = both.copy()
+        for x, what in side:
+            if left[x] > 0:
+                left[x] -= 1
+                if side is a:
+                    common.append(what)
+            else:
+                out.append((x, what))
+    return common, *rest
+
+
+def likenesses(pairs: list[tuple[tuple, tuple]]) -> list[float]:
+    """Likeness of each two trees (``branches``), found from their tops down."""
+    out, whole, lines = [1.0] * len(pairs), {}, []
+    for k, (a, b) in enumerate(pairs):
+        if a[0] != b[0]:
+            sections, left, right = differing(a[1], b[1])
+            paragraphs, left, right = differing([p for _, ps in left for p in ps], [p for _, ps in right for p in ps])
+            whole[k] = sum(len(t) for ps in sections for _, t in ps) + sum(map(len, paragraphs))
+            lines += [(k, 0, t) for _, t in left] + [(k, 1, t) for _, t in right]
+    same, total = (np.zeros(len(pairs), np.int64) for _ in range(2))
+    first = 0
+    while first < len(lines):
+        last, size = first, 0
+        # A pair's lines stay together.
+        while last < len(lines) and (size < BLOCK or lines[last][0] == lines[last - 1][0]):
+            size += len(lines[last][2]) + 1
+            last += 1
+        text, value, length = leaf_values([t for _, _, t in lines[first:last]])
+        pair, side = np.array([x[:2] for x in lines[first:last]], np.int64)[text].T
+        total += np.bincount(pair, length, len(pairs)).astype(np.int64)
+        order = np.lexsort((value, pair))
+        pair, side, value, length = pair[order], side[order], value[order], length[order]
+        begin = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (value[1:] != value[:-1])])) if len(pair) else np.zeros(0, np.int64)
+        if len(begin):
+            right = np.add.reduceat(side, begin)
+            left = np.diff(np.append(begin, len(pair))) - right
+            same += np.bincount(pair[begin], np.minimum(left, right) * length[begin], len(pairs)).astype(np.int64)
+        first = last
+    for k, n in whole.items():
+        both = 2 * n + int(total[k])
+        # Unequal texts are never wholly alike, also where only the order of their parts differs.
+        out[k] = min(2 * (n + int(same[k])), both - 1) / both if both else 0.0
+    return out
+
+
 def compared(ids: list[int | None], texts: list[str]) -> dict[str, list]:
     """Rows of ``OUT`` for all texts but the last, each with the text after it."""
     edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:])]
-    prints = [fingerprint(t, s) for t, s in zip(texts, sketches(texts), strict=True)]
-    edits = [fingerprint(t, s) for t, s in zip(edited, sketches(edited), strict=True)]
+    trees, new = [branches(t) for t in texts], [branches(t) for t in edited]
+    prints = [fingerprint(t, s, x[0]) for t, s, x in zip(texts, sketches(texts), trees, strict=True)]
+    edits = [fingerprint(t, s, x[0]) for t, s, x in zip(edited, sketches(edited), new, strict=True)]
     return {
         "doc_id": ids[: len(edited)], "n_chars": [len(t) for t in texts[:-1]],
         "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in edited],
         "fingerprint": prints[:-1], "edited_fingerprint": edits,
-        "near_edited": [alike(a, b) for a, b in zip(prints, edits)], "near_next": [alike(a, b) for a, b in zip(prints, prints[1:])],
+        "near_edited": likenesses(list(zip(trees, new))), "near_next": likenesses(list(zip(trees, trees[1:]))),
     }
 
 
