@@ -1,6 +1,9 @@
 import base64
 import gzip
 import hashlib
+import random
+
+import pytest
 
 from weblode.llm import warc
 
@@ -91,6 +94,39 @@ def test_damaged_members_are_quarantined():
     assert ids[:2] == [0, 1] and ids[-1] == 1 and gaps
 
 
+def test_records_before_a_damaged_byte_are_kept():
+    luck = random.Random(3)
+    whole = gzip.compress(b"".join(record(i, "".join(luck.choice("abcdefgh ") for _ in range(800))) for i in range(100)))
+    # A byte of the checksum, and bytes inside: what comes before is whole.
+    for at, n, least in ((len(whole) - 6, 1, 100), (len(whole) * 3 // 4, 40, 70)):
+        broken = bytearray(whole)
+        broken[at : at + n] = bytes(x ^ 255 for x in broken[at : at + n])
+        ids, gaps = split(warc.salvage("f", bytes(broken)))
+        assert ids[:least] == list(range(least)) and gaps
+
+
+def test_written_archives_lose_only_the_damaged_record(spark, tmp_path):
+    path = tmp_path / "w"
+    luck = random.Random(4)
+    rows = [(i, f"http://{i}/", "".join(luck.choice("abcdefgh ") for _ in range(3000))) for i in range(40)] + [(99, "é", "long " * 4_000_000)]
+    warc.write(pages(spark, rows).coalesce(1), str(path))
+    files = list(path.glob("part-*"))
+    assert sorted(i for f in files for i in split(warc.salvage("f", f.read_bytes()))[0]) == [*range(40), 99]
+    assert sum(gzip.decompress(f.read_bytes()).count(b"WARC/1.1\r\n") for f in files) == 41
+    lost = []
+    for f in files:
+        data = bytearray(f.read_bytes())
+        data[len(data) // 3] ^= 255
+        ids = split(warc.salvage("f", bytes(data)))[0]
+        lost += set(split(warc.salvage("f", f.read_bytes()))[0]) - set(ids)
+    assert 1 <= len(lost) <= len(files)
+    rows = list(warc.salvage("f", files[0].read_bytes()[:-50]))
+    kind = "file string, page_id long, gap_start long, gap_end long, gap_reason string"
+    read = spark.createDataFrame([(r[0], r[1], *r[8:]) for r in rows], kind)
+    with pytest.raises(Exception, match="gap in f"):
+        warc.whole(read).collect()
+
+
 def test_files_without_records():
     for data in (b"", b"nothing at all", b"\x1f\x8b\x08", b"WARC/1.1\r\n", b"\x00" * 100):
         ids, gaps = split(warc.salvage("f", data))

@@ -1,7 +1,7 @@
 """WARC archives: written by Spark, read back by a salvage reader.
 
-Records are built as text and written with Spark's own text writer, one record after the other, each closed by two line breaks, so they
-land on whatever store the path names and failed tasks leave nothing behind.  Equal payloads are found by their SHA-1; the one
+Records are built as text, each closed by two line breaks and compressed as a gzip member of its own, so that damage costs no other record.  Spark's own
+text writer writes the members one after the other, so they land on whatever store the path names and failed tasks leave nothing behind.  Equal payloads are found by their SHA-1; the one
 with the smallest page_id is a response, the others revisits that refer to it and hold no payload.
 
 The reader takes an archive as bytes, plain or in gzip members.  Where a check fails (magic or version line, header, length, record end,
@@ -23,6 +23,10 @@ CRLF = "\r\n"
 END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 RECORDS_A_FILE = 2000
+#: Plain bytes of a member, below 2**24: the last byte of a member is then 0.
+MEMBER = 8 << 20
+#: Compressed bytes fed at a time, and where a step failed.
+STEP, SMALL = 65536, 1
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
@@ -88,43 +92,106 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return p.select(lines.alias("value"))
 
 
+def members(record: bytes) -> bytes:
+    """A record as a gzip member; a large one as several, each of MEMBER plain bytes at most."""
+    out = []
+    for at in range(0, len(record), MEMBER):
+        c = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append(c.compress(record[at : at + MEMBER]) + c.flush())
+    return b"".join(out)
+
+
+def zipped(batches):
+    for batch in batches:
+        values = [members(x.as_py().encode() + END) for x in batch.column("value")]
+        yield pa.RecordBatch.from_arrays([pa.array([v[:-1] for v in values], pa.binary())], ["value"])
+
+
 def write(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "gzip") -> None:
-    """Write archives of at most ``RECORDS_A_FILE`` records into a folder."""
-    out = records(pages, least_bytes).write.option("lineSep", CRLF * 2).option("compression", compression).option("maxRecordsPerFile", RECORDS_A_FILE)
-    out.text(path)
+    """Write archives of at most ``RECORDS_A_FILE`` records into a folder, by gzip members or plain ("none")."""
+    out, end = records(pages, least_bytes), CRLF * 2
+    if compression == "gzip":
+        # A member's last byte is 0; the writer sets it as the end of the line, and has nothing else to put between members.
+        out, end = out.mapInArrow(zipped, "value binary").select(F.col("value").cast("string")), "\0"
+        compression = "none"
+    out.write.option("lineSep", end).option("compression", compression).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+
+
+def follows(data: bytes, at: int) -> bool:
+    """Whether a member that can be read begins here."""
+    if data[at : at + 3] != MAGIC:
+        return False
+    try:
+        return bool(zlib.decompressobj(31).decompress(data[at : at + 4096], 16))
+    except zlib.error:
+        return False
+
+
+def next_member(data: bytes, at: int) -> int:
+    """Where the next member begins, the end of the data if none does."""
+    at = data.find(MAGIC, at)
+    while at >= 0 and not follows(data, at):
+        at = data.find(MAGIC, at + 1)
+    return len(data) if at < 0 else at
+
+
+def fed(member, part: bytes, out: list[bytes]) -> str:
+    """Decompress a step; where it fails, again in small pieces, so that all that comes before the damage is kept.  What was wrong, or nothing."""
+    before = member.copy()
+    try:
+        out.append(member.decompress(part))
+        return ""
+    except zlib.error:
+        try:
+            for i in range(0, len(part), SMALL):
+                out.append(before.decompress(part[i : i + SMALL]))
+        except zlib.error as e:
+            return f"member is damaged: {e}"
+    return "member is damaged"
 
 
 def inflate(data: bytes) -> Iterator[tuple[int, bytes, tuple[int, int, str] | None]]:
-    """Stretches of plain bytes with their offset, and the gap of the compressed bytes after each."""
+    """Stretches of plain bytes with their offset, and the gap of the compressed bytes after each.
+
+    Members that follow each other whole and hold parts of one record are one stretch.
+    """
     at = 0
+    first, held = 0, []  # members whose record goes on in the next
     while at < len(data):
         if data[at : at + 3] != MAGIC:
+            if held:
+                yield first, b"".join(held), None
+                held = []
             stop = data.find(MAGIC, at)
-            first = VERSION.search(data, at)
-            if first and (stop < 0 or first.start() < stop):
+            version = VERSION.search(data, at)
+            if version and (stop < 0 or version.start() < stop):
                 yield at, data[at:], None
                 return
             yield at, b"", (at, len(data) if stop < 0 else stop, "no member and no version line")
             at = len(data) if stop < 0 else stop
             continue
-        member, out, pos = zlib.decompressobj(31), [], at
-        try:
-            while pos < len(data) and not member.eof:
-                part = data[pos : pos + 65536]
-                out.append(member.decompress(part))
-                pos += len(part)
-            if member.eof:
-                pos -= len(member.unused_data)
-                yield at, b"".join(out), None
-                at = pos
+        member, out, pos, why = zlib.decompressobj(31), [], at, ""
+        while pos < len(data) and not member.eof and not why:
+            part = data[pos : pos + STEP]
+            why = fed(member, part, out)
+            pos += len(part)
+        plain = b"".join(out)
+        if not held:
+            first = at
+        held.append(plain)
+        if member.eof and not why:
+            at = pos - len(member.unused_data)
+            # Only a member as long as write() makes them can go on in the next.
+            if len(plain) == MEMBER:
                 continue
-            why = "member is cut off"
-        except zlib.error as e:
-            why = f"member is damaged: {e}"
-        stop = data.find(MAGIC, at + 1)
-        stop = len(data) if stop < 0 else stop
-        yield at, b"".join(out), (at, stop, why)
-        at = stop
+            yield first, b"".join(held), None
+        else:
+            stop = next_member(data, at + 1)
+            yield first, b"".join(held), (at, stop, why or "member is cut off")
+            at = stop
+        held = []
+    if held:
+        yield first, b"".join(held), None
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes] | tuple[int, int, str]]:
@@ -213,11 +280,17 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
     return files.mapInArrow(run, READ)
 
 
+def whole(rows: DataFrame) -> DataFrame:
+    """The records that were read; fails at a gap."""
+    said = F.concat(F.lit("gap in "), "file", F.lit(" at "), F.col("gap_start").cast("string"), F.lit(": "), "gap_reason")
+    return rows.filter(F.when(F.col("gap_reason").isNull(), True).otherwise(F.raise_error(said).cast("boolean")))
+
+
 def archived(pages: DataFrame, path: str) -> DataFrame:
     """Write the pages to archives in ``path`` and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
     Null html is an empty payload.  Null ids and urls stay null.  Repeated rows are written and read repeated.  An empty table gives no rows.
-    Other columns are ignored.  Gaps are left to ``read``.
+    Other columns are ignored.  What was just written must come back whole: a gap fails the query; ``read`` returns gaps as rows.
     """
     write(pages, path)
-    return read(pages.sparkSession, path).filter("gap_reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return whole(read(pages.sparkSession, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
