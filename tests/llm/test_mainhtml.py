@@ -31,6 +31,29 @@ def test_layout_classes_say_nothing():
     assert mainhtml.main_blocks(page) == ["The ferry leaves at noon and comes back late in the evening."]
 
 
+TEXT = ["The ferry leaves at noon and comes back late in the evening, on every day of the week but one.", "Those who miss it sleep at the inn, which has nine rooms and a good kitchen, or walk back over the dam."]
+ARTICLE = "".join(f"<p>{t}</p>" for t in TEXT)
+AROUND = '<div class="nav"><a href=/>Home</a></div>{}<div class="comments"><p>We went there last summer, it was lovely.</p></div>'
+
+
+@pytest.mark.parametrize("open_, shut", [
+    ('<form id=aspnetForm method=post><input type=hidden name=__VIEWSTATE value=x><input name=q>', "</form>"), ('<form><div id="content">', "</div></form>"),
+    ('<div class="main-sidebar-right"><article>', "</article></div>"), ('<div class="site-notices"><main>', "</main></div>"), ('<main><div class="page-widget"><article>', "</article></div></main>"),
+    ('<div class="promo"><div itemprop="articleBody">', "</div></div>"), ('<form><input name=q><div class="site-search"><div role="main">', "</div></div></form>"),
+])
+def test_wrappers_of_the_page_do_not_outweigh_its_article(open_, shut):
+    for page in (open_ + ARTICLE + shut, open_ + AROUND.format(ARTICLE) + shut, AROUND.format(open_ + ARTICLE + shut)):
+        assert mainhtml.main_blocks(f"<body>{page}</body>") == TEXT
+
+
+def test_teasers_and_forms_stay_boilerplate():
+    form = "<form><label>Your name</label><input name=n><label>Your address</label><input name=a><p>Required fields are marked, all of them please.</p><button>Send</button></form>"
+    teasers = '<div class="related"><article><p>The inn has a new cook this year.</p></article><article><p>The dam is closed until the spring.</p></article></div>'
+    comment = '<section id=comments><article class="comment"><p>We went there last summer, it was lovely.</p></article><article><p>So did we, in the rain.</p></article></section>'
+    assert mainhtml.main_blocks(f"<body><article>{ARTICLE}{comment}</article>{teasers}{form}</body>") == TEXT
+    assert mainhtml.main_blocks(f"<body><div>{ARTICLE}</div>{teasers}{comment}{form}</body>") == TEXT
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<", "<p", "<p>", "<!-- open", "<script>x", "<a href='x", "&", "<div " * 50, "</div>" * 50, "<p a=\"" + "x" * 1000])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(mainhtml.main_blocks(page), list)

@@ -43,20 +43,27 @@ BAD = set(
 LAYOUT = {"has", "with", "no", "without", "is", "js"}
 WEAK = {"header": -3, "tags": -3, "meta": -2, "byline": -1, "caption": -1}
 GOOD = {"article": 3, "articlebody": 4, "content": 2, "post": 1.5, "entry": 2, "story": 2, "main": 2, "body": 1, "text": 1, "prose": 2}
+#: Form fields, and characters of text a field up to which a form is no more than a form.
+FIELDS, FIELD_TEXT = {"input", "select", "textarea", "button"}, 100
+#: Shares of text that make an article the page's own, and one inside it the one that is meant.
+OF_PAGE, OF_ARTICLE = 0.25, 0.5
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+UNSEEN = re.compile(r"type\s*+=\s*+[\"']?hidden", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 STOP = (".", "!", "?", ":", "…", '"', "”", "»", "。")
 
 
 class Node:
-    __slots__ = ("tag", "up", "lean", "depth", "hidden", "number")
+    __slots__ = ("tag", "up", "own", "lean", "depth", "hidden", "number", "body", "outer", "chars", "fields")
 
     def __init__(self, tag: str, up: Node | None, attrs: str, number: int):
         self.tag, self.up, self.number = tag, up, number
         self.depth = up.depth + 1 if up else 0
         self.hidden = bool(up and up.hidden)
-        # The strongest leanings either way, of an element and all around it; the document's own elements say nothing.
-        bad, good = up.lean if up else (0.0, 0.0)
+        self.lean, self.chars, self.fields = (0.0, 0.0), 0, 0
+        self.body = tag in ("article", "main")
+        self.outer = (up if up.body else up.outer) if up else None
+        # The document's own elements say nothing.
         own = [TAGS.get(tag, 0)]
         if attrs and tag not in ("html", "body"):
             for m in ATTR.finditer(attrs):
@@ -67,13 +74,43 @@ class Node:
                             own += [-8 if w in BAD else WEAK.get(w, GOOD.get(w, 0)) for w in words]
                     if "articlebody" in value.lower():
                         own.append(4)
+                        self.body = True
+                    elif name == "role" and value.strip().lower() == "main":
+                        self.body = True
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
                     self.hidden = True
+        self.own = own
+        # An article that is called a comment, an advertisement and so on is none.
+        self.body = self.body and min(own) > -8
+
+
+def weigh(nodes: list[Node]) -> None:
+    """Set the leanings: the strongest either way, of an element and all around it.  The page's own article leaves those around it behind."""
+    for x in reversed(nodes):
+        if x.up:
+            x.up.chars += x.chars
+            x.up.fields += x.fields
+    inner: dict[int | None, Node] = {}
+    for x in nodes:
+        outer = x.outer.number if x.outer else None
+        if x.body and not x.hidden and (outer not in inner or x.chars > inner[outer].chars):
+            inner[outer] = x
+    articles, x, least = set(), inner.get(None), OF_PAGE * nodes[0].chars
+    while x and x.chars >= least:
+        articles.add(x.number)
+        x, least = inner.get(x.number), OF_ARTICLE * x.chars
+    for x in nodes:
+        bad, good = x.up.lean if x.up else (0.0, 0.0)
+        if x.number in articles:
+            bad = 0.0
+        own = x.own
+        if x.tag == "form" and x.chars >= FIELD_TEXT * x.fields:
+            own = [0, *own[1:]]
         inside = good > 0 or bad < 0
         low, high = min(own), max(own)
-        if tag == "header" and inside:
+        if x.tag == "header" and inside:
             low = -1
-        self.lean = (min(bad, low), max(good, high) if high > good else good)
+        x.lean = (min(bad, low), max(good, high) if high > good else good)
 
 
 class Block:
@@ -86,13 +123,14 @@ class Block:
 def page_blocks(page: str) -> list[Block]:
     """The blocks of text of a page, in order, white space collapsed and references decoded."""
     root = Node("", None, "", 0)
-    at, out, pieces, linked, count = root, [], [], [], 0
+    at, out, pieces, linked, nodes = root, [], [], [], [root]
 
     def close() -> None:
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
             links = sum(len(x.strip()) for x in linked)
             out.append(Block(text, owner, links))
+            owner.chars += len(text)
         pieces.clear()
         linked.clear()
 
@@ -126,6 +164,9 @@ def page_blocks(page: str) -> list[Block]:
             elif tag == "p":
                 close()
             continue
+        attrs = (m["attrs"] if m["tag"] else m["rest"]) or ""
+        if tag in FIELDS and not UNSEEN.search(attrs):
+            at.fields += 1
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, pos)
             pos = stop.start() if stop else len(page)
@@ -146,13 +187,14 @@ def page_blocks(page: str) -> list[Block]:
                 at = x.up
                 break
             x = x.up
-        count += 1
-        at = owner = Node(tag, at, (m["attrs"] if m["tag"] else m["rest"]) or "", count)
+        at = owner = Node(tag, at, attrs, len(nodes))
+        nodes.append(at)
     if pos < len(page):
         # An unfinished tag at the very end is markup, not text.
         rest = page[pos:]
         pieces.append(rest)
     close()
+    weigh(nodes)
     return out
 
 
