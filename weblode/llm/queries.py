@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from weblode.llm import bpe, ctw, decontam, langid, licenses, linecrf, mainhtml, merkle, neardup, warc
+from weblode.llm import bpe, cosine, ctw, decontam, langid, licenses, linecrf, mainhtml, manifest, merkle, neardup, warc, whitening
 from weblode.llm.common import new_path, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -57,10 +57,22 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_cosine_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine.groups(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.rows(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.proofs(manifest.manifest(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_sentences": licenses.sql()}
+    return {"op1_license_sentences": licenses.sql(), "op13_merkle_manifest": manifest.sql()}
