@@ -45,6 +45,44 @@ def test_pagination(spark):
     assert graph.paginate(starts, pages, 2).filter("start = '1'").count() == 2
 
 
+def test_paginate_takes_one_row_of_a_url(spark):
+    """A URL stored twice neither branches a chain nor repeats its pages."""
+    pages = spark.createDataFrame(
+        [(5, "a", "wrong", True), (1, "a", "b", True), (2, "b", "c", True), (2, "b", "c", True), (3, "c", "d", True), (9, "c", "a", True), (4, "d", "e", False), (8, "d", "e", True), (6, "wrong", None, True)],
+        "page_id long, url string, next_url string, usable boolean")
+    starts = spark.createDataFrame([("a",), ("a",), ("wrong",)], "url string")
+    got = sorted((r.start, r.page_no, r.url) for r in graph.paginate(starts, pages, 9).collect())
+    assert got == [("a", 1, "a"), ("a", 2, "b"), ("a", 3, "c"), ("wrong", 1, "wrong")]
+
+
+def test_paginate_doubles(spark):
+    """Random chains with loops and tails against a walk; a chain of 1,500 pages takes 11 rounds, not 1,500."""
+    import random
+
+    rng = random.Random(4)
+    to = {str(i): (str(rng.randrange(300)) if rng.random() < 0.97 else None) for i in range(300)} | {f"l{i}": f"l{i + 1}" for i in range(1600)}
+    pages = spark.createDataFrame([(u, n, u != "7") for u, n in to.items()], "url string, next_url string, usable boolean")
+    firsts = [str(i) for i in range(0, 300, 3)] + ["l0", "l1599", "l1600"]
+    for cap in (1, 2, 3, 7, 64, 1500):
+        want = []
+        for s in firsts:
+            at, trail = s, []
+            while at in to and at != "7" and at not in trail and len(trail) < cap:
+                trail.append(at)
+                at = to[at]
+            want += [(s, i + 1, u) for i, u in enumerate(trail)]
+        starts = spark.createDataFrame([(s,) for s in firsts], "url string")
+        assert sorted((r.start, r.page_no, r.url) for r in graph.paginate(starts, pages, cap).collect()) == sorted(want)
+
+
+def test_accumulated_has_one_order(spark):
+    chain = spark.createDataFrame([("s", 1, "a"), ("s", 2, "b"), ("t", 1, "b"), ("u", 1, "none")], "start string, page_no int, url string")
+    rows = spark.createDataFrame([("a", 1, "y"), ("a", 1, "x"), ("b", 2, "n"), ("b", 1, "m"), ("b", 3, "o")], "url string, _row int, v string")
+    got = sorted((r.start, r.page_no, r._row, r.v) for r in graph.accumulated(chain, rows, limit=3).collect())
+    assert got == [("s", 1, 1, "x"), ("s", 1, 1, "y"), ("s", 2, 1, "m"), ("t", 1, 1, "m"), ("t", 1, 2, "n"), ("t", 1, 3, "o")]
+    assert graph.accumulated(chain, rows).count() == 8
+
+
 def test_robots(spark):
     body = "User-agent: bad\nDisallow: /\n\nUser-Agent: *\nDisallow: /a\nAllow: /a/b # note\nDisallow:\nDisallow: /*.pdf\nAllow: /same\nDisallow: /same\n"
     rules = graph.robots_rules(spark.createDataFrame([("e.example", body)], "host string, body string"))

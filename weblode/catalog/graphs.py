@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from weblode.catalog import query
 from weblode.catalog import twins as t
 from weblode.functions import urls
-from weblode.operators import graph
+from weblode.operators import dom, graph, verdict
+from weblode.operators.select import Pick, Step
 from weblode.sources import fixtures
 from weblode.sources.responses import table
 
@@ -43,16 +44,20 @@ nx as (select *, coalesce(lead(url) over w, first_value(url) over w) as next_url
 """
 
 
+#: One row a URL: that of the smallest id.
+_ONE = "one as (select url, min(page_id) as page_id, arg_min(next_url, page_id) as next_url, arg_min(usable, page_id) as usable from nx group by url)"
+
+
 @query(
     "paginate_rows",
-    f"""with recursive {_GRAPH},
-    st as (select arg_min(url, page_id) as url from pg group by host),
+    f"""with recursive {_GRAPH}, {_ONE},
+    st as (select distinct arg_min(url, page_id) as url from pg group by host),
     ch(start, page_no, url, next_url, trail) as (
-      select st.url, 1, nx.url, nx.next_url, [nx.url] from st join nx on nx.url = st.url and nx.usable
-      union all select ch.start, page_no + 1, nx.url, nx.next_url, list_append(trail, nx.url) from ch join nx on nx.url = ch.next_url and nx.usable
+      select st.url, 1, one.url, one.next_url, [one.url] from st join one on one.url = st.url and one.usable
+      union all select ch.start, page_no + 1, one.url, one.next_url, list_append(trail, one.url) from ch join one on one.url = ch.next_url and one.usable
       where page_no < 5 and not list_contains(trail, ch.next_url)),
     r as (select start, page_no, ch.url, k as _row, row_number() over (partition by start order by page_no, k) as n
-          from ch join pg on pg.url = ch.url, unnest(range(1, page_id % 3 + 2)) as u(k))
+          from ch join one on one.url = ch.url, unnest(range(1, page_id % 3 + 2)) as u(k))
     select start, page_no, url, _row from r where n <= 4""",
 )
 def paginate_rows(spark, root):
@@ -60,10 +65,31 @@ def paginate_rows(spark, root):
     pages, _ = fixtures.page_graph(spark, root)
     starts = pages.groupBy("host").agg(F.min_by("url", "page_id").alias("url"))
     chain = graph.paginate(starts, pages)
-    rows = pages.select("url", F.explode(F.sequence(F.lit(1).cast("long"), F.col("page_id") % 3 + 1)).alias("_row"))
+    rows = graph.one_per_url(pages).select("url", F.explode(F.sequence(F.lit(1).cast("long"), F.col("page_id") % 3 + 1)).alias("_row"))
     return graph.accumulated(chain, rows, limit=4).select("start", "page_no", "url", "_row")
 
 
+@query(
+    "paginate_linked",
+    f"""with recursive pg as (select page_id, split_part(url, '#', 1) as url, {_DOMAIN} as domain, page_id % 97 <> 13 as usable from pages),
+    nx as (select *, lead(url) over (partition by domain order by page_id) as next_url from pg), {_ONE},
+    st as (select distinct arg_min(url, page_id) as url from pg group by domain),
+    ch(start, page_no, url, next_url, trail) as (
+      select st.url, 1, one.url, one.next_url, [one.url] from st join one on one.url = st.url and one.usable
+      union all select ch.start, page_no + 1, one.url, one.next_url, list_append(trail, one.url) from ch join one on one.url = ch.next_url and one.usable
+      where page_no < 1500 and not list_contains(trail, ch.next_url))
+    select start, page_no, url from ch""",
+)
+def paginate_linked(spark, root):
+    """Chains of up to 1,500 pages, each next page read from its page by a selector."""
+    answers = fixtures.linked_pages(spark, root)
+    links = graph.next_links(dom.with_nodes(answers), Pick(((Step(tag="a", attrs=(("rel", "=", "next"),)),),), "attr:href"), keep=("page_id", "status"))
+    pages = links.withColumn("usable", verdict.status_rule(F.col("status")).isNull())
+    domain = F.regexp_extract(urls.host("url"), r"([^.]+\.[^.]+)$", 1)
+    starts = table(spark, root, "pages").groupBy(domain).agg(urls.drop_fragment(F.min_by("url", "page_id")).alias("url"))
+    return graph.paginate(starts, pages, max_pages=1500)
+
+
 _ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /fr/\nAllow: /fr/8\nDisallow: /*?utm\n"
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weblode.functions import urls
 from weblode.functions.text import strip, unescape
-from weblode.operators.waves import Growing, durable
+from weblode.operators.select import Pick, values
+from weblode.operators.waves import Growing, counted, durable
 
 # Fixed value: where sitemaps are looked for when robots.txt names none.
 DEFAULT_SITEMAPS = ("/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml")
@@ -80,31 +81,67 @@ def expand_sitemaps(
     return first
 
 
-def paginate(starts: DataFrame, pages: DataFrame, max_pages: int = 5) -> DataFrame:
+def one_per_url(pages: DataFrame, order: Sequence[str] = ("page_id",)) -> DataFrame:
+    """One row a URL: the first by ``order`` (of the columns there are); what is left equal is settled by the other columns."""
+    rest = [c for c in pages.columns if c != "url"]
+    first = [c for c in order if c in rest]
+    by = F.struct(*first, *[c for c in rest if c not in first])
+    return pages.groupBy("url").agg(F.min_by(F.struct(*rest), by).alias("_p")).select("url", "_p.*")
+
+
+def next_links(doms: DataFrame, link: Pick, keep: Sequence[str] = ("page_id",), base: str = "url") -> DataFrame:
+    """(keep..., url, next_url): the first link a selector finds in each page, absolute and without its fragment."""
+    found = F.get(values("nodes", link, base), F.lit(0))
+    return doms.select(*keep, urls.drop_fragment(F.col(base)).alias("url"), urls.drop_fragment(found).alias("next_url"))
+
+
+def paginate(starts: DataFrame, pages: DataFrame, max_pages: int = 5, order: Sequence[str] = ("page_id",)) -> DataFrame:
     """(start, page_no, url): pages reached by following ``next_url`` from each start.
 
-    ``pages`` is (url, next_url, usable).  A chain ends at the cap, at a
-    repeat, without a next link, or before a page that is missing or unusable.
+    ``pages`` is (url, next_url, usable, ...); of a URL stored several times the
+    first row by ``order`` counts, for the page and for its link.  A chain ends
+    at the cap, at a repeat, without a next link, or before a page that is
+    missing or unusable.
+
+    Pointers double: after k rounds every page knows the one 2**k links ahead,
+    and a chain has 2**k pages, so 1,500 pages take 11 rounds.  A page met again keeps its first
+    number, and once no chain grows the rounds end.
     """
-    good = durable(pages.filter("usable").select("url", "next_url"), "pages")
-    hop = starts.select(F.col("url").alias("start"), F.col("url").alias("at")).distinct()
-    step = hop.join(good, hop["at"] == good["url"]).select("start", "next_url", F.array("url").alias("trail"))
-    # One join a page: a chain carries its trail along, and what ended stays as it is.
-    for _ in range(2, max_pages + 1):
-        on = F.col("next_url").isNotNull() & ~F.array_contains("trail", F.col("next_url"))
-        ahead = step.select("start", "trail", F.when(on, F.col("next_url")).alias("at"))
-        step = ahead.join(good, ahead["at"] == good["url"], "left").select(
-            "start", "next_url", F.when(F.col("url").isNull(), F.col("trail")).otherwise(F.array_append("trail", F.col("url"))).alias("trail"))
-    return step.select("start", F.posexplode("trail").alias("_at", "url")).select("start", (F.col("_at") + 1).alias("page_no"), "url")
+    one = one_per_url(pages.select("url", "next_url", "usable", *[c for c in order if c in pages.columns]), order)
+    good = durable(one.filter("usable").select("url", "next_url"), "pages")
+    jump = good.select("url", F.col("next_url").alias("to")).filter("to <> url").join(good.select(F.col("url").alias("to")), "to", "left_semi")
+    begin = starts.select("url").distinct().join(good.select("url"), "url", "left_semi")
+    chain, size = counted(begin.select(F.col("url").alias("start"), F.lit(1).alias("page_no"), "url"), "chains")
+    ahead = 1
+    while ahead < max_pages:
+        jump, more = counted(jump.select("url", "to"), "jumps")
+        if not more:
+            break
+        far = chain.join(jump, "url").select("start", (F.col("page_no") + ahead).alias("page_no"), F.col("to").alias("url"))
+        both = chain.unionByName(far.filter(F.col("page_no") <= max_pages))
+        chain, now = counted(both.groupBy("start", "url").agg(F.min("page_no").alias("page_no")), "chains")
+        if now == size:
+            break
+        size, ahead = now, ahead * 2
+        jump = jump.join(jump.select(F.col("url").alias("to"), F.col("to").alias("_far")), "to").select("url", F.col("_far").alias("to"))
+    return chain.select("start", "page_no", "url")
 
 
 def accumulated(chain: DataFrame, rows: DataFrame, limit: int = 0, key: str = "url") -> DataFrame:
-    """Rows of the pages of a chain, in page order, cut at ``limit`` per chain."""
-    joined = chain.join(rows, key)
+    """Rows of the pages of a chain, in page order, cut at ``limit`` per chain.
+
+    ``_row`` numbers the rows of a page; rows of one number follow each other by
+    their other columns.  Rows are ranked inside their page, and the pages of a
+    chain add up their counts, so no chain is sorted as a whole.
+    """
     if not limit:
-        return joined
-    order = Window.partitionBy("start").orderBy("page_no", "_row")
-    return joined.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
+        return chain.join(rows, key)
+    rest = sorted(c for c in rows.columns if c not in (key, "_row"))
+    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy("_row", *rest)))
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy("start").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1))
+    kept = chain.join(sizes, key).withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < limit).drop("_size")
+    return kept.join(placed.filter(F.col("_at") <= limit), key).filter(F.col("_before") + F.col("_at") <= limit).drop("_before", "_at")
 
 
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:

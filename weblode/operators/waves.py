@@ -25,6 +25,13 @@ def durable(df: DataFrame, what: str = "wave") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, what: str = "wave") -> tuple[DataFrame, int]:
+    """The same, with the number of rows, counted while they are written."""
+    seen = Observation()
+    table = durable(df.observe(seen, F.count(F.lit(1)).alias("rows")), what)
+    return table, seen.get["rows"]
+
+
 class Growing:
     """A table that grows by one written part per wave and is read as one scan."""
 

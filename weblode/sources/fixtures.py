@@ -406,6 +406,21 @@ def page_graph(spark, root) -> tuple[DataFrame, DataFrame]:
     return pages, links
 
 
+def linked_pages(spark, root) -> DataFrame:
+    """Stored pages that end in a link to the next page of their domain; every 97th answered 503."""
+    from weblode.functions import urls
+    from weblode.operators.ordered import previous
+    from weblode.sources.responses import pages
+
+    p = table(spark, root, "pages").select(
+        "page_id", "url", F.regexp_extract(urls.host("url"), r"([^.]+\.[^.]+)$", 1).alias("domain"), (-F.col("page_id")).alias("back"))
+    ahead = previous(p, ["domain"], ["back"], F.floor(F.col("back") / 1000), F.col("url"), "ahead").select("page_id", F.col("ahead.value").alias("to"))
+    href = F.replace(F.replace("to", F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+    link = F.when(F.col("to").isNull(), "").otherwise(F.concat(F.lit('<p class="pager"><a rel="next" href="'), href, F.lit('">More</a></p>')))
+    status = F.when(F.col("page_id") % 97 == 13, 503).otherwise(F.col("status"))
+    return pages(spark, root).join(ahead, "page_id").withColumns({"status": status, "html": F.concat("html", link)}).drop("to")
+
+
 def corpus_lines(spark, root) -> DataFrame:
     """JSON lines out of documents: some repeated later, some malformed or without url."""
     d = table(spark, root, "documents")
