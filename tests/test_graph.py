@@ -234,3 +234,65 @@ def test_watch_sets_late_rows_aside(spark, tmp_path):
     got = sorted((r.k, r.t, r.old, r.new) for r in runs.read_rows(spark, out).collect())
     assert got == [("a", 10, None, "x"), ("a", 12, "x", "w"), ("b", 1, None, "y"), ("c", 0, None, None)]
     assert sorted((r.k, r.t) for r in spark.read.parquet(f"{out}/late").collect()) == [("a", 5), ("b", 0)]
+
+
+def test_last_value_answers_a_replayed_step_alike():
+    """Steps in order, a late one, one that comes again, one settled long ago."""
+    from weblode.streaming.state import LastValue
+
+    class Kept:
+        now = None
+
+        def getValueState(self, *_):
+            return self
+
+        def exists(self):
+            return self.now is not None
+
+        def get(self):
+            return self.now
+
+        def update(self, x):
+            self.now = x
+
+    keeper = LastValue(["k"], None)
+    keeper.init(Kept())
+    step = lambda batch, at, value: {"batch": batch, "place": [at], "value": value}
+    met = lambda *steps: [(r["batch"], r["place"], r["value"]) for r in keeper.handleInputRows(("a",), iter(steps), None)]
+    assert met(step(0, 10, "x")) == [(0, None, None)]
+    assert met(step(2, 5, "late"), step(1, 20, "y")) == [(1, [10], "x"), (2, [20], "y")]
+    assert met(step(2, 5, "late")) == [(2, [20], "y")]
+    assert met(step(0, 10, "x")) == []
+    assert met(step(3, 21, None)) == [(3, [20], "y")]
+    assert met(step(4, 22, "z")) == [(4, [21], None)]
+
+
+def test_watch_order_must_be_comparable(spark):
+    from weblode.streaming.state import places
+
+    with pytest.raises(ValueError):
+        places(spark.createDataFrame([("a",)], "t string"), ["t"])
+
+
+def test_a_batch_touches_the_state_of_its_own_keys(spark, tmp_path):
+    """A thousand keys are known; a batch of three keys updates three."""
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    for rows in ([(f"k{i}", 1, "x") for i in range(1000)], [("k1", 2, "y"), ("k2", 2, "x"), ("new", 2, "x")]):
+        spark.createDataFrame(rows, "k string, t int, v string").coalesce(1).write.mode("append").parquet(str(src))
+        jobs.watch(spark.readStream.schema("k string, t int, v string").parquet(str(src)), out, ["k"], ["t"], F.floor(F.col("t") / 7), "v")
+    assert spark.read.parquet(f"{out}/kept/run=1").count() == 3 and spark.read.parquet(f"{out}/steps/batch=1").count() == 3
+    got = sorted((r.k, r.old, r.new) for r in runs.read_rows(spark, out).filter("batch = 1").collect())
+    assert got == [("k1", "x", "y"), ("new", None, "x")]
+
+
+def test_closed_sessions_come_once_and_late_rows_are_counted(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    stamp = lambda h: f"2024-01-01 {h:02d}:00:00"
+    for hours in ([0, 1, 6], [7, 12], [2, 20], [23]):
+        spark.createDataFrame([("h", stamp(h)) for h in hours], "host string, ts string").coalesce(1).write.mode("append").parquet(str(src))
+        s = spark.readStream.schema("host string, ts string").parquet(str(src)).withColumn("ts", F.col("ts").cast("timestamp"))
+        closed = jobs.bursts(s, "ts", "2 hours", "1 hour", ["host"])
+        runs.run_available(closed.select("host", F.hour("w.start").alias("from"), "refused"), out, lambda df, n: runs.write_batch(df, out, n))
+    got = sorted((r["from"], r.refused) for r in runs.read_rows(spark, out).collect())
+    assert got == [(0, 2), (6, 2), (12, 1), (20, 1)][: len(got)] and len(got) >= 3
+    assert sum(r.rows for r in runs.late_rows(spark, out).collect()) == 1

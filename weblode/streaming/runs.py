@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -15,11 +16,42 @@ def table_stream(spark: SparkSession, root: str, name: str, files_per_batch: int
 
 
 def run_available(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Process everything that is available, then stop; the checkpoint is kept in the folder."""
-    (
-        stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True).start().awaitTermination()
-    )
+    """Process everything that is available, then stop; the checkpoint is kept in the folder.
+
+    Rows that came too late for the watermark are counted per batch, from the
+    run's own metrics, under ``dropped``.
+    """
+    spark = stream.sparkSession
+    progress = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(progress)
+    spark.conf.set(progress, "1000000")
+    try:
+        q = (
+            stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(progress, before)
+    q.awaitTermination()
+    counts = {p["batchId"]: sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"]) for p in q.recentProgress if p["stateOperators"]}
+    for n in counts:
+        spark.createDataFrame([(counts[n],)], "rows long").write.mode("overwrite").parquet(f"{folder}/dropped/batch={n}")
+
+
+def late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(batch, rows): how many rows of each batch came too late for the watermark."""
+    if not exists(spark, f"{folder}/dropped"):
+        return spark.createDataFrame([], "batch long, rows long")
+    return spark.read.schema("rows long, batch long").parquet(f"{folder}/dropped").select("batch", "rows")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there anything to read at the path, in whatever store it lies?"""
+    try:
+        spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(path).select("path").limit(1).collect()
+    except AnalysisException:
+        return False
+    return True
 
 
 def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
