@@ -9,6 +9,7 @@ from weblode.catalog import twins as t
 from weblode.functions import urls
 from weblode.operators import dom, graph, verdict
 from weblode.operators.select import Pick, Step
+from weblode.operators.waves import durable
 from weblode.sources import fixtures
 from weblode.sources.responses import table
 
@@ -131,6 +132,15 @@ def crawl_capped(spark, root):
     return graph.reach(starts, links, max_pages=10, deny=["/de/9"], rules=rules)
 
 
+@query("crawl_resumed", f"with recursive {_REACH} select domain, url from best")
+def crawl_resumed(spark, root):
+    """A crawl stopped after ten pages a domain and continued from its frontier reaches what one in a single run does."""
+    starts, links, rules = _crawl(spark, root)
+    first = durable(graph.reach(starts, links, max_pages=10, deny=["/de/9"], rules=rules).select("domain", "url"), "first_run")
+    rest = graph.reach(graph.frontier(first, links, deny=["/de/9"]), links, deny=["/de/9"], rules=rules, visited=first)
+    return first.unionByName(rest.select("domain", "url"))
+
+
 @query(
     "crawl_records",
     f"""with recursive {_REACH} select domain, kind, count(*) as pages from (

@@ -211,6 +211,15 @@ def allow_deny(url: Column, allow: Sequence[str] = (), deny: Sequence[str] = ())
     return ok
 
 
+#: Written tables of so many rows at most (some 10 MB of URLs) are sent to the tasks; larger ones meet the rows in a shuffle.
+SMALL = 50_000
+
+
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """The table, marked for sending where its counted rows are few."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
 def reach(
     starts: DataFrame, links: DataFrame, max_pages: int | None = None, allow: Sequence[str] = (), deny: Sequence[str] = (),
     rules: DataFrame | None = None, visited: DataFrame | None = None,
@@ -219,7 +228,7 @@ def reach(
 
     ``starts`` is (domain, url), ``links`` (source, pos, url) of stored pages;
     only stored pages (sources) are reached.  Waves join the frontier with the
-    links and drop what was seen; each wave is written to the shared folder.  ``max_pages`` cuts per domain in discovery order (wave, then
+    links and drop what was seen; each is written to the shared folder and counted there.  ``max_pages`` cuts per domain in discovery order (wave, then
     URL).  ``visited`` holds (domain, url) of an earlier run to continue from.
     """
     spark = links.sparkSession
@@ -230,23 +239,27 @@ def reach(
     edges = links.select("source", "url").filter(wanted).distinct().join(pages, "url", "left_semi")
     edges = durable(edges.withColumn("host", urls.host("url")), "edges")
     start = starts.select("domain", "url").distinct().join(pages, "url", "left_semi")
+    key = ["domain", "url"]
     if visited is not None:
-        visited = durable(visited.select("domain", "url").distinct(), "visited")
+        visited, before = counted(visited.select(*key).distinct(), "visited")
+        start = start.join(sent(visited, before), key, "left_anti")
     reached = Growing(spark, "reached")
-    wave, new = reached.add(start.select("domain", "url", F.lit(0).alias("depth")))
+    wave, new = reached.add(start.select(*key, F.lit(0).alias("depth")))
+    total = new
     for depth in count(1):
         if not new:
             break
-        step = wave.select("domain", F.col("url").alias("source")).join(edges, "source")
-        inside = step.filter(urls.host_is("host", F.col("domain"))).select("domain", "url").distinct()
-        fresh = inside.join(reached.all(), ["domain", "url"], "left_anti")
+        step = edges.join(sent(wave.select("domain", F.col("url").alias("source")), new), "source")
+        fresh = step.filter(urls.host_is("host", F.col("domain"))).select(*key).distinct()
+        fresh = fresh.join(sent(reached.all().select(*key), total), key, "left_anti")
         if visited is not None:
-            fresh = fresh.join(visited, ["domain", "url"], "left_anti")
+            fresh = fresh.join(sent(visited, before), key, "left_anti")
         if max_pages is not None:
             # A domain that is full does not go on.
             full = reached.all().groupBy("domain").agg(F.count("*").alias("_n")).filter(F.col("_n") >= max_pages)
             fresh = fresh.join(full, "domain", "left_anti")
-        wave, new = reached.add(fresh.select("domain", "url", F.lit(depth).alias("depth")))
+        wave, new = reached.add(fresh.select(*key, F.lit(depth).alias("depth")))
+        total += new
     out = reached.all()
     if max_pages is not None:
         order = Window.partitionBy("domain").orderBy("depth", "url")
@@ -254,9 +267,9 @@ def reach(
     return out
 
 
-def frontier(reached: DataFrame, links: DataFrame) -> DataFrame:
-    """(domain, url) linked from reached pages, not reached themselves: where a later run continues."""
-    step = reached.select("domain", F.col("url").alias("source")).join(links.select("source", "url"), "source")
+def frontier(reached: DataFrame, links: DataFrame, allow: Sequence[str] = (), deny: Sequence[str] = ()) -> DataFrame:
+    """(domain, url) linked from reached pages, wanted and not reached themselves: where a later run continues."""
+    step = reached.select("domain", F.col("url").alias("source")).join(links.select("source", "url").filter(allow_deny(F.col("url"), allow, deny)), "source")
     inside = step.filter(urls.host_is(urls.host("url"), F.col("domain"))).select("domain", "url").distinct()
     return inside.join(reached.select("domain", "url"), ["domain", "url"], "left_anti")
 
