@@ -86,3 +86,35 @@ def test_cross_joins_add_one_row(spark):
     """Joins without a key stand only beside global aggregates."""
     for name in ("corpus_search", "batch_summary", "captured_calls"):
         assert plan_of(catalog.load()[name].plan(spark, ROOT)).count("NestedLoopJoin") <= 1
+
+
+def test_five_rule_sets_take_one_pass(spark):
+    """One scan, one lexing step and no shuffle, however many rule sets there are."""
+    from pyspark.sql import functions as F
+
+    from weblode.catalog.jobs import KINDS
+    from weblode.plans import jobs
+    from weblode.sources.responses import table
+
+    answers = table(spark, ROOT, "pages").withColumns({
+        "final_url": F.col("url"), "problem": F.lit(None).cast("struct<kind:string,reason:string>"),
+        "kind": F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("page_id") % 5 + 1).cast("int"))})
+    df = jobs.extract_table(answers, F.col("kind"), KINDS)
+    text = plan_of(df)
+    assert text.count("FileScan") == 1 and text.count("ArrowEvalPython") == 1 and "Exchange" not in text
+    assert df.columns[:3] == ["_url", "_row", "position"] and dict(df.dtypes)["bullets"] == "array<string>"
+    assert df.filter("heading is not null").count() > 0
+
+
+def test_a_field_has_one_shape(spark):
+    from pyspark.sql import functions as F
+
+    from weblode.operators.select import Field, Pick, Step
+    from weblode.plans import jobs
+    from weblode.sources import responses
+
+    h1 = Pick(((Step(tag="h1"),),))
+    rules = {"a": jobs.RuleSet(fields=(Field("x", h1),)), "b": jobs.RuleSet(fields=(Field("x", h1, many=True),))}
+    answers = responses.pages(spark, ROOT).withColumn("final_url", F.col("url")).withColumn("problem", F.lit(None).cast("struct<kind:string,reason:string>"))
+    with pytest.raises(ValueError):
+        jobs.extract_table(answers, F.lit("a"), rules)

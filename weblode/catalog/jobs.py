@@ -10,7 +10,8 @@ from weblode.catalog.graphs import _REACH, _crawl
 from weblode.catalog.pages import _FOCUS, _MARKDOWN
 from weblode.operators.select import Field, Pick, Step
 from weblode.plans import jobs
-from weblode.sources import fixtures, responses, rulesets
+from weblode.operators.waves import fresh_path
+from weblode.sources import fixtures, responses, rulesets, sinks
 from weblode.sources.responses import table
 
 
@@ -41,6 +42,49 @@ def listing_cards(spark, root):
     return rows
 
 
+#: Rule sets of five kinds of pages.
+KINDS = {
+    "jobs": rulesets.JOB_CARDS, "shop": rulesets.MARKET_SEARCH, "product": rulesets.MARKET_PRODUCT,
+    "nav": jobs.RuleSet(fields=(Field("name", Pick(((Step(tag="a"),),))),), each=((Step(tag="nav"), Step(tag="li")),)),
+    "article": jobs.RuleSet(fields=(Field("heading", Pick(((Step(tag="h1"),),))), Field("asin", Pick(((Step(id="ASIN"),),), "attr:value")))),
+}
+_NONE = "null::varchar"
+
+
+def _wide(**given: str) -> str:
+    names = "position company location date url asin title price rating reviews brand bullets image name heading".split()
+    return ", ".join(f"{given.get(n, _NONE)} as {n}" for n in names)
+
+
+@query(
+    "rule_tables",
+    t.page_sql(
+        f"""select 'https://jobs.example.com/list/' || (s_suppkey // 50) as _url, row_number() over (partition by s_suppkey // 50 order by s_suppkey)::varchar as _row, {_wide(
+            position="s_name", company="'Nation ' || s_nationkey", location="'L' || s_suppkey", date="'2024-01-02'",
+            url="case when s_suppkey % 3 <> 0 then 'https://jobs.example.com/jobs/' || s_suppkey || '?a=1&b=2' end")} from supplier
+        union all select 'https://shop.example.com/list/' || (p_partkey // 50), row_number() over (partition by p_partkey // 50 order by p_partkey)::varchar, {_wide(
+            asin="'A' || p_partkey", title="p_name", price="p_size || ' €'")} from part
+        union all select 'https://shop.example.com/dp/' || p_partkey, '1', {_wide(
+            title="p_name", price="p_size || ' €'", rating="'4.' || (p_size % 10) || ' of 5'", brand="p_brand", bullets="p_brand || '; ' || p_type",
+            image="case when p_partkey % 4 <> 0 then 'https://shop.example.com/i/' || p_partkey || '.jpg' end", asin="'A' || p_partkey")} from part
+        union all select p.url, row_number() over (partition by n.page_id order by n.pos)::varchar, {_wide(name=t.clean("s.text"))}
+          from nodes n join pages p using (page_id) join nodes a on a.page_id = n.page_id and a.parent = n.pos and a.tag = 'a' join subtext s on s.page_id = a.page_id and s.pos = a.pos
+          where n.tag = 'li' and p.page_id % 2 = 0
+        union all select p.url, '1', {_wide(heading="(select arg_min(" + t.clean("s.text") + ", s.pos) from nodes h join subtext s on s.page_id = h.page_id and s.pos = h.pos where h.page_id = p.page_id and h.tag = 'h1')")}
+          from pages p where page_id % 2 = 1""",
+    ),
+)
+def rule_tables(spark, root):
+    """Five kinds of pages read by five rule sets in one pass, written as a CSV feed and read back."""
+    stored = responses.pages(spark, root).select(F.when(F.col("page_id") % 2 == 0, "nav").otherwise("article").alias("kind"), "url", "requested_url", "status", "html")
+    pages = fixtures.card_pages(spark, root).unionByName(fixtures.product_pages(spark, root)).unionByName(stored)
+    answers = pages.withColumn("final_url", F.col("url")).withColumn("problem", F.lit(None).cast("struct<kind:string,reason:string>"))
+    rows = jobs.extract_table(answers, F.col("kind"), KINDS)
+    path = fresh_path(spark, "csv")
+    sinks.write_csv(rows, path)
+    return responses.csv_feed(spark, path, rows.columns)
+
+
 NAV = jobs.RuleSet(fields=(Field("name", Pick(((Step(tag="a"),),))),), each=((Step(tag="nav"), Step(tag="li")),))
 
 

@@ -147,20 +147,8 @@ def pages_with(pages: DataFrame, paths: Sequence[Sequence[Step]]) -> Column:
     return F.size(select_any("nodes", paths)) > 0
 
 
-def extract_rows(
-    doms: DataFrame,
-    fields: Sequence[Field],
-    each: Sequence[Sequence[Step]] | None = None,
-    keep: Sequence[str] = ("url",),
-    base: str = "url",
-    limit: int = 0,
-) -> DataFrame:
-    """Rule-driven rows: one per ``each`` match, or one per page without it.
-
-    A plain field is the first value or null, a ``many`` field the whole
-    list.  With ``each``, a match none of whose fields has a value is no row.
-    ``_row`` numbers the rows of a page from 1; ``limit`` keeps the first n.
-    """
+def row_array(fields: Sequence[Field], each: Sequence[Sequence[Step]] | None = None, base: str = "url", limit: int = 0) -> Column:
+    """The rows of a page as an array of structs with the given fields."""
 
     def row(root: Column | None) -> Column:
         cells = []
@@ -179,7 +167,27 @@ def extract_rows(
         rows = F.array(row(None))
     else:
         rows = F.filter(F.transform(select_any("nodes", each), row), filled)
-    if limit:
-        rows = F.slice(rows, 1, limit)
+    return F.slice(rows, 1, limit) if limit else rows
+
+
+def extract_rows(
+    doms: DataFrame,
+    fields: Sequence[Field],
+    each: Sequence[Sequence[Step]] | None = None,
+    keep: Sequence[str] = ("url",),
+    base: str = "url",
+    limit: int = 0,
+) -> DataFrame:
+    """Rule-driven rows: one per ``each`` match, or one per page without it.
+
+    A plain field is the first value or null, a ``many`` field the whole
+    list.  With ``each``, a match none of whose fields has a value is no row.
+    ``_row`` numbers the rows of a page from 1; ``limit`` keeps the first n.
+    """
+    return numbered(doms, row_array(fields, each, base, limit), [f.name for f in fields], keep)
+
+
+def numbered(doms: DataFrame, rows: Column, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """One line per struct of an array column, numbered from 1."""
     out = doms.select(*keep, F.posexplode(rows).alias("_row", "_cells"))
-    return out.select(*keep, (F.col("_row") + 1).alias("_row"), *[F.col("_cells")[f.name].alias(f.name) for f in fields])
+    return out.select(*keep, (F.col("_row") + 1).alias("_row"), *[F.col("_cells")[name].alias(name) for name in names])

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weblode.operators import corpus, dom, extract, graph, verdict
-from weblode.operators.select import Field, Step, extract_rows
+from weblode.operators import dom, extract, graph, verdict
+from weblode.operators.select import Field, Step, numbered, row_array
 
 
 @dataclass(frozen=True)
@@ -40,17 +40,30 @@ def fetched(urls: DataFrame, responses: DataFrame) -> DataFrame:
     return j.withColumn("problem", problem)
 
 
+def _united(rows: Column, own: set[str], names: Sequence[str]) -> Column:
+    return F.transform(rows, lambda r: F.struct(*[(r[c] if c in own else F.lit(None)).alias(c) for c in names]))
+
+
 def extract_table(answers: DataFrame, rule_of: Column, rules: Mapping[str, RuleSet]) -> DataFrame:
     """Rows of all usable answers, ``_url`` first, columns united over the rule sets.
 
-    A page is read once, by the rule set its row names.
+    All rule sets run in one pass: pages are scanned and lexed once, and each
+    is matched by the rule set its row names.  Columns come in first-seen
+    order; fields that a rule set lacks are null.
     """
-    usable = answers.filter(F.col("problem").isNull()).withColumn("_rules", rule_of)
-    parts = []
+    many: dict[str, bool] = {}
+    for rule in rules.values():
+        for f in rule.fields:
+            if many.setdefault(f.name, f.many) != f.many:
+                raise ValueError(f"field {f.name} is a list in one rule set and a value in another")
+    shape = "array<struct<" + ",".join(f"`{name}`:{'array<string>' if m else 'string'}" for name, m in many.items()) + ">>"
+    usable = answers.filter(F.col("problem").isNull())
+    pages = dom.with_nodes(usable.select(rule_of.alias("_rules"), F.col("url").alias("_url"), F.coalesce("final_url", "url").alias("_base"), "html"))
+    rows = F.lit(None).cast(shape)
     for name, rule in rules.items():
-        mine = usable.filter(F.col("_rules") == name).select(F.col("url").alias("_url"), F.coalesce("final_url", "url").alias("_base"), "html")
-        parts.append(extract_rows(dom.with_nodes(mine), rule.fields, rule.each, keep=("_url",), base="_base"))
-    return corpus.merge_rows(parts)
+        mine = _united(row_array(rule.fields, rule.each, "_base"), {f.name for f in rule.fields}, list(many)).cast(shape)
+        rows = F.when(F.col("_rules") == name, mine).otherwise(rows)
+    return numbered(pages, rows, list(many), ["_url"])
 
 
 def batch_index(answers: DataFrame, rows: DataFrame) -> DataFrame:

@@ -470,3 +470,16 @@ def card_pages(spark, root) -> DataFrame:
 
     both = pages(jobs, "jobs").unionByName(pages(hits, "shop"))
     return both.select("kind", "url", F.col("url").alias("requested_url"), F.lit(200).alias("status"), "html")
+
+
+def product_pages(spark, root) -> DataFrame:
+    """A product page for each part: kind, url, html and what an answer has besides."""
+    p = table(spark, root, "part")
+    k = F.col("p_partkey").cast("string")
+    html = F.concat(
+        F.lit('<html><body><span id="productTitle"> '), "p_name", F.lit(' </span><a id="bylineInfo" href="/b">'), "p_brand", F.lit('</a><input type="hidden" id="ASIN" value="A'), k,
+        F.lit('"><div class="a-price"><span class="a-offscreen">'), F.col("p_size").cast("string"), F.lit(' €</span></div><i id="acrPopover" title="4.'), (F.col("p_size") % 10).cast("string"),
+        F.lit(' of 5"></i><div id="feature-bullets"><ul><li><span>'), "p_brand", F.lit("</span></li><li><span>"), "p_type", F.lit("</span></li></ul></div>"),
+        F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit('<img id="landingImage" src="/i/'), k, F.lit('.jpg">'))).otherwise(F.lit("")), F.lit("</body></html>"))
+    url = F.concat(F.lit("https://shop.example.com/dp/"), k)
+    return p.select(F.lit("product").alias("kind"), url.alias("url"), url.alias("requested_url"), F.lit(200).alias("status"), html.alias("html"))

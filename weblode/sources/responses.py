@@ -63,3 +63,9 @@ def json_lines(lines: DataFrame, schema: str, required: str, column: str = "line
     parsed = lines.withColumn("_r", F.from_json(column, schema, {"mode": "PERMISSIVE"}))
     kept = parsed.filter(F.try_parse_json(column).isNotNull() & F.col("_r").isNotNull() & F.col(f"_r.{required}").isNotNull())
     return kept.select(*[c for c in lines.columns if c != column], "_r.*")
+
+
+def csv_feed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A CSV feed with a header, all cells as texts; the columns asked for by name, whatever order a file has them in, missing ones null."""
+    found = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True).csv(path)
+    return found.select(*[F.col(f"`{c}`") if c in found.columns else F.lit(None).cast("string").alias(c) for c in columns])
