@@ -156,3 +156,14 @@ def test_lists_and_fallbacks(spark):
     assert column(spark, ['["a","b"]', "a, b", "[]"], records.list_or_text) == ["a, b", "a, b", ""]
     row = spark.range(1).select(records.first_present(F.lit(""), F.lit(None).cast("string"), F.lit("x"))).first()
     assert row[0] == "x"
+
+
+def test_assembled_leaves_out_empty_parts(spark):
+    from weblode.functions import records
+
+    df = spark.createDataFrame([([("a\"b", "1"), ("c", "{}")], ["1", '{"x":[]}'], "[]", None)], "o array<struct<key:string,body:string>>, l array<string>, e string, n string")
+    doc = records.assembled(o=records.json_object(F.col("o")), l=records.json_list(F.col("l")), e=F.col("e"), n=F.col("n"), s=F.lit('""'), m=F.lit("{}"), z=F.lit("0"))
+    import json
+
+    assert json.loads(df.select(doc).first()[0]) == {"o": {'a"b': 1, "c": {}}, "l": [1, {"x": []}], "z": 0}
+    assert df.select(records.assembled(n=F.col("n"))).first()[0] == "{}"

@@ -26,6 +26,32 @@ def page_report(spark, root):
     return jobs.page_report(responses.pages(spark, root)).select("page_id", F.coalesce("title", F.lit("")).alias("title"), "anchors", "scripts")
 
 
+@query(
+    "page_documents",
+    t.page_sql(
+        f"""select p.page_id, 'url,status' || case when title <> '' then ',title' else '' end || case when l.links > 0 then ',meta,links' else ',meta' end
+          || case when exists (select 1 from nodes b where b.page_id = p.page_id and b.tag = 'body') then ',outline' else '' end as parts,
+          coalesce(l.links, 0)::int as links, l.first_link, null::varchar as data_parts, null::varchar as script, null::varchar as state
+        from pages p left join titles using (page_id) left join (select page_id, count(*) as links, arg_min(url, pos) as first_link from links group by all) l using (page_id)
+        union all select -1 - p_partkey, case when p_partkey % 8 <> 0 then 'url,status,meta,data,outline' else 'url,status,data,outline' end, 0, null, case when p_partkey % 8 <> 0 then 'jsonld,json_scripts,state' else 'json_scripts,state' end,
+          p_partkey::varchar, p_size::varchar from part""",
+        t.LINKS,
+    ),
+)
+def page_documents(spark, root):
+    """Whole documents of stored pages and of pages with embedded data (negative ids): which parts they have, and values out of them."""
+    made = fixtures.embedded_pages(spark, root).withColumn("page_id", -1 - F.col("page_id")).withColumn("requested_url", F.col("url"))
+    made = made.select("page_id", "url", "requested_url", F.lit(200).alias("status"), "html")
+    stored = responses.pages(spark, root).select("page_id", "url", "requested_url", "status", "html")
+    docs = jobs.page_document(stored.unionByName(made))
+    links = F.from_json(F.get_json_object("doc", "$.links"), "array<struct<url:string>>")
+    return docs.select(
+        "page_id", F.array_join(F.json_object_keys("doc"), ",").alias("parts"), F.coalesce(F.size(links), F.lit(0)).alias("links"), F.get(links, F.lit(0))["url"].alias("first_link"),
+        F.array_join(F.json_object_keys(F.get_json_object("doc", "$.data")), ",").alias("data_parts"),
+        F.get_json_object("doc", "$.data.json_scripts.__NEXT_DATA__.k").alias("script"), F.get_json_object("doc", "$.data.state.__STATE_A__.size").alias("state"),
+    )
+
+
 @query(
     "listing_cards",
     """select 'https://jobs.example.com/list/' || (s_suppkey // 50) as _url, row_number() over (partition by s_suppkey // 50 order by s_suppkey) as _row, s_name as position,

@@ -210,7 +210,26 @@ def caption_chapters(spark, root):
     return out.select("conv_id", "block", "t", "text", F.col("chapter.title").alias("chapter"))
 
 
-@query("transcript_paragraphs")
+#: The fold line by line: a paragraph is left when it has 500 characters and a sentence mark, or 900.
+_FULL = "(size >= 900 or size >= 500 and regexp_matches(buf, '[.!?…]$'))"
+_CLOCK = "floor({0} / 60)::int || ':' || lpad((floor({0})::int % 60)::varchar, 2, '0')"
+
+
+@query(
+    "transcript_paragraphs",
+    f"""with recursive w as (select conv_id, turn // 200 as block, turn % 200 // 3 as k, turn, (turn % 200) * 7.5::double as t, {_WORDS} as text from conversations),
+    c as (select *, row_number() over (partition by conv_id, block, k order by turn) as i from w where text <> ''),
+    fold as (
+      select conv_id, block, k, i, 1 as n, length(text) + 1 as size, t as t0, text as buf from c where i = 1
+      union all
+      select f.conv_id, f.block, f.k, c.i, case when {_FULL} then n + 1 else n end, case when {_FULL} then 0 else size end + length(c.text) + 1,
+        case when {_FULL} then c.t else t0 end, case when {_FULL} then c.text else buf || ' ' || c.text end
+      from fold f join c on c.conv_id = f.conv_id and c.block = f.block and c.k = f.k and c.i = f.i + 1)
+    select conv_id, block, k * 22.5::double as at, 1 as rank, n, '[' || {_CLOCK.format("min(t0)")} || '] ' || arg_max(buf, i) as line from fold group by conv_id, block, k, n
+    union all
+    select conv_id, block, k * 22.5::double, 0, k, '### Part ' || k || ' (' || {_CLOCK.format("(k * 22.5)")} || ')'
+    from (select distinct conv_id, block, k from w) join (select conv_id, block, max(t) as fin from c group by all) using (conv_id, block) where k * 22.5 <= fin""",
+)
 def transcript_paragraphs(spark, root):
     caps = platforms.captions_json3(fixtures.video_files(spark, root), ["conv_id", "block"])
     return platforms.transcript(caps, _chapters(spark, root), ["conv_id", "block"])

@@ -55,3 +55,24 @@ def list_or_text(raw: Column) -> Column:
 def pretty(value: Column) -> Column:
     """A record as indented JSON text."""
     return F.to_json(value, {"pretty": "true"})
+
+
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_replace(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", "$1")
+
+
+def json_list(bodies: Column) -> Column:
+    """A list of JSON texts as one JSON text."""
+    return F.concat(F.lit("["), F.array_join(bodies, ","), F.lit("]"))
+
+
+def json_object(pairs: Column) -> Column:
+    """A list of (key, body) with JSON bodies as one JSON text."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda x: F.concat(_quoted(x["key"]), F.lit(":"), x["body"])), ","), F.lit("}"))
+
+
+def assembled(**parts: Column) -> Column:
+    """One JSON object of JSON texts; parts that are null or empty (``""``, ``[]``, ``{}``) are left out, an object without parts is ``{}``."""
+    full = [F.when(~part.isin('""', "[]", "{}", "null"), F.concat(F.lit(f'"{name}":'), part)) for name, part in parts.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *full), F.lit("}"))

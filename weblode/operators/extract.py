@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weblode.functions.text import clean, drop_zero_width, let, squeeze_markdown, strip
 from weblode.functions.urls import check_pattern, drop_fragment, host, host_is, resolve, site
+from weblode.functions.records import assembled, json_list, json_object
 from weblode.operators import dom
 from weblode.operators.rows import settle
 from weblode.operators.select import Step, select, select_any
@@ -149,8 +150,8 @@ def json_scripts(doms: DataFrame, keep=("page_id",)) -> DataFrame:
 STATE_NAME = r"(?:window\.)?(__[A-Z0-9_]{4,}__)\s*=\s*"
 
 
-def state_assignments(doms: DataFrame, keep=("page_id",)) -> DataFrame:
-    """``window.__NAME__ = {...}`` values as (key, body) rows; the last assignment stays.
+def state_array() -> Column:
+    """``window.__NAME__ = {...}`` values as (key, body); the last assignment stays.
 
     The value is the shortest prefix that closes on a bracket and parses;
     what follows it is ignored.
@@ -175,8 +176,17 @@ def state_assignments(doms: DataFrame, keep=("page_id",)) -> DataFrame:
         return F.transform(spots, lambda s: F.struct(s["key"].alias("key"), first_json(F.substr(body, s["at"])).alias("body")))
 
     bodies = F.filter(F.transform(scripts, dom.script_body), lambda b: b.rlike(STATE_NAME + r"[{\[]"))
-    found = F.filter(F.flatten(F.transform(bodies, values_of)), lambda x: x["body"].isNotNull())
-    return doms.select(*keep, F.inline(_last_of_key(found)))
+    return _last_of_key(F.filter(F.flatten(F.transform(bodies, values_of)), lambda x: x["body"].isNotNull()))
+
+
+def state_assignments(doms: DataFrame, keep=("page_id",)) -> DataFrame:
+    """The values of ``state_array`` as rows, without a shuffle."""
+    return doms.select(*keep, F.inline(state_array()))
+
+
+def data() -> Column:
+    """All JSON a page embeds as one JSON text, its empty parts left out: ``jsonld``, ``json_scripts`` and ``state``."""
+    return assembled(jsonld=json_list(jsonld_texts()), json_scripts=json_object(json_script_array()), state=json_object(state_array()))
 
 
 _HEAD = 1 << 16

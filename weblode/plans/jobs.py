@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weblode.functions.records import assembled
 from weblode.operators import dom, extract, graph, verdict
 from weblode.operators.select import Field, Step, numbered, row_array
 
@@ -28,6 +29,27 @@ def page_report(pages: DataFrame, keep: Sequence[str] = ("page_id", "url", "stat
     return meta.withColumn("anchors", F.size(links)).withColumn("scripts", F.size(scripts)).drop("nodes")
 
 
+def page_document(pages: DataFrame, outline: bool = True) -> DataFrame:
+    """(page_id, url, doc): each page as one JSON object of metadata, links, embedded data and outline, empty parts left out.
+
+    All but the outline is worked out in the page's row; its lines (at most 400
+    a page) come back by ``page_id``.
+    """
+    d = dom.with_nodes(pages)
+    meta = extract.metadata(d, keep=("page_id", "url", "status", "nodes"))
+    named = [c for c in meta.columns if c not in ("page_id", "url", "status", "nodes", "title")]
+    as_json = lambda c: F.coalesce(F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", "$1"), F.lit("null"))
+    parts = {
+        "url": as_json(F.col("url")), "status": F.col("status").cast("string"), "title": as_json(F.coalesce("title", F.lit(""))),
+        "meta": assembled(**{c: as_json(F.col(c)) for c in named}), "links": F.to_json(extract.link_array("url")), "data": extract.data(),
+    }
+    if outline:
+        lines = extract.outline(d).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_lines"))
+        meta = meta.join(lines, "page_id", "left")
+        parts["outline"] = F.coalesce(F.to_json(F.transform("_lines", lambda x: x["text"])), F.lit("[]"))
+    return meta.select("page_id", "url", assembled(**parts).alias("doc"))
+
+
 def fetched(urls: DataFrame, responses: DataFrame) -> DataFrame:
     """URL list beside the stored answers; ``problem`` says why a URL gives nothing.
 
