@@ -19,6 +19,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -58,15 +59,17 @@ def context_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[real], np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
 
 
-def text_blocks(texts: list[bytes]):
+def text_blocks(chunk: pa.Table):
+    """(first, last + 1, lower-cased texts) of runs of about ``BLOCK`` bytes; only one run is taken out of the table at a time."""
+    column = chunk.column("text")
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and (size + len(t) > BLOCK or i - start >= BLOCK_TEXTS):
-            yield start, i
+    for i, n in enumerate([*sizes, None]):
+        if n is None or size and (size + n > BLOCK or i - start >= BLOCK_TEXTS):
+            if i > start:
+                yield start, i, [lower_bytes(t) for t in column.slice(start, i - start).to_pylist()]
             start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
+        size += (n or 0) + 1
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,18 +86,17 @@ def word_key(word: bytes) -> int:
 
 def count_chunk(key: tuple, chunk: pa.Table) -> pa.Table:
     """Distinct contexts and words of a chunk with their training counts."""
-    texts = [lower_bytes(t) for t in chunk.column("text").to_pylist()]
     train = ~np.array(chunk.column("held_out").to_pylist(), bool)
     parts, words = [], {}
-    for a, b in text_blocks(texts):
-        k, doc = context_keys(texts[a:b])
+    for a, b, texts in text_blocks(chunk):
+        k, doc = context_keys(texts)
         use = train[a:b][doc.astype(np.int64)]
         k = np.sort(k << np.uint64(1) | use.astype(np.uint64))
         u, n = np.unique(k, return_counts=True)
         parts.append((u >> np.uint64(1), np.where(u & np.uint64(1), n, 0)))
         if sum(len(k) for k, _ in parts) > 3 * BLOCK:
             parts = [summed(parts)]
-        for t, known in zip(texts[a:b], train[a:b], strict=True):
+        for t, known in zip(texts, train[a:b], strict=True):
             if known:
                 for w in t.split():
                     words[w] = words.get(w, 0) + 1
@@ -216,8 +218,7 @@ def code_lengths(top: Top):
         keys, n = pdf["key"].to_numpy().astype(np.uint64), pdf["n"].to_numpy().astype(float)
         bit, node, p, _, _ = subtree(keys, n)
         p = top.blend((keys >> np.uint64(8 * DEPTH)).astype(np.int64), node, bit, p)
-        # Single precision: seven digits of a code length, half the bytes to move.
-        return pd.DataFrame({"key": pdf["key"], "value": np.log10(p).sum(1).astype(np.float32).astype(float)})
+        return pd.DataFrame({"key": pdf["key"], "value": np.log10(p).sum(1)})
 
     return run
 
@@ -238,7 +239,6 @@ class Lookup(dict):
 
 def score_chunk(train_tokens: int, floor: float, end_value: float):
     def run(key: tuple, chunk: pa.Table, found: pa.Table) -> pa.Table:
-        texts = [lower_bytes(t) for t in chunk.column("text").to_pylist()]
         is_word = found.column("word").to_numpy().astype(bool)
         keys, values = found.column("key").to_numpy(), found.column("value").to_numpy()
         words, w_values = keys[is_word], np.log10(values[is_word] + 1) + floor
@@ -247,29 +247,28 @@ def score_chunk(train_tokens: int, floor: float, end_value: float):
         keys, values = keys[~is_word].astype(np.uint64), values[~is_word]
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
-        score = np.zeros(len(texts))
-        for a, b in text_blocks(texts):
-            k, doc = context_keys(texts[a:b])
+        rows = chunk.num_rows
+        score, base, size = np.zeros(rows), np.zeros(rows), np.zeros(rows, np.int64)
+        tokens, known = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        for a, b, texts in text_blocks(chunk):
+            k, doc = context_keys(texts)
             k = np.sort(k << np.uint64(TEXT_BITS) | doc)  # equal keys come together, so each is looked up once
             doc = (k & np.uint64(BLOCK_TEXTS - 1)).astype(np.int64)
             k = k >> np.uint64(TEXT_BITS)
             first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             v = values[np.searchsorted(keys, k[first])]
             score[a:b] = np.bincount(doc, np.repeat(v, np.diff(np.append(first, len(k)))), b - a)
-        tokens, known, base = [], [], []
-        for t in texts:
-            w = t.split()
-            v = np.fromiter(map(lookup.__getitem__, w), float, len(w))
-            tokens.append(len(w) + 1)
-            known.append(int((v > floor).sum()) + (end_value > floor))
-            base.append(float(v.sum()) + end_value)
-        size = np.array([len(t) for t in texts], np.int64)
+            for i, t in enumerate(texts, a):
+                w = t.split()
+                v = np.fromiter(map(lookup.__getitem__, w), float, len(w))
+                tokens[i], known[i] = len(w) + 1, int((v > floor).sum()) + (end_value > floor)
+                base[i], size[i] = float(v.sum()) + end_value, len(t)
         return pa.table(
             {
                 "doc_id": chunk.column("doc_id"), "held_out": chunk.column("held_out"),
-                "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
-                "train_tokens": pa.array(np.full(len(texts), train_tokens, np.int64)),
-                "base_score": pa.array(base, pa.float64()), "score": pa.array(score),
+                "n_tokens": pa.array(tokens), "n_known": pa.array(known),
+                "train_tokens": pa.array(np.full(rows, train_tokens, np.int64)),
+                "base_score": pa.array(base), "score": pa.array(score),
                 "n_bytes": pa.array(size), "bits_per_byte": pa.array(-score / math.log10(2) / (size + 1)),
             }
         )
