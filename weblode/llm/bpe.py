@@ -11,8 +11,10 @@ neutral, and decoding concatenates up the same tree.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,7 +23,7 @@ from weblode.llm.common import blocks
 LEAF = 1024
 #: Tokens that a window starts with on either side.
 WINDOW = 8
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 256 << 10
 
 VISIBLE = frozenset(range(0x21, 0x7F))
 BREAKS = frozenset(b" \n")
@@ -109,8 +111,35 @@ def coded(docs: DataFrame, path: str, split: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, split: str) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of the ids (decimal, joined by commas) and of the decoded bytes."""
-    c = coded(docs, path, split)
-    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return c.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, path: str, split: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and the SHA-256 of the ids (decimal, joined by commas) and of the decoded bytes; on request the ids too.
+
+    Worked out beside the tokens, so neither ids nor bytes are moved only to be hashed.
+    """
+    shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def run(batches):
+        # What earlier stages in this worker have freed goes back before the vocabulary is loaded.
+        pa.default_memory_pool().release_unused()
+        c = codec(path, split)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in blocks(texts, BLOCK_CHARS):
+                sizes, of_ids, of_bytes, all_ids = [], [], [], []
+                for t in texts[a:b]:
+                    ids = c.encode(t)
+                    sizes.append(len(ids))
+                    of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                    of_bytes.append(hashlib.sha256(c.decode(ids)).hexdigest())
+                    if with_ids:
+                        all_ids.append(pa.array(ids, pa.int32()))
+                out = [batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(of_ids), pa.array(of_bytes)]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    ends = np.cumsum([0, *sizes]).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(all_ids)))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, shape + (", ids array<int>" if with_ids else ""))

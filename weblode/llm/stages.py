@@ -34,4 +34,4 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, with the digests of ids and of the decoded bytes."""
-    return bpe.digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return bpe.digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True)
