@@ -110,3 +110,15 @@ def test_posterior_bounds():
         below = sum(math.comb(n, k) * 0.75**k * 0.25 ** (n - k) for k in range(least))
         assert below < 1e-4
         assert least > 0.3 * n or n < 64
+
+
+def test_one_id_with_two_texts_links_neither(spark, documents):
+    a, b = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine")
+    rows = [(5, a), (9, a), (5, b), (11, b), (20, "something else that stands alone here")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.groups(documents(*rows)).collect())
+    assert got == [(5, 4, 5), (5, 5, 5), (9, 4, 5), (11, 5, 5), (20, 2, 20)]
+    # Both texts stay, once each: the groups are two.
+    assert sorted(r.text for r in neardup.one_of_each(documents(*rows)).collect()) == sorted([a, b, rows[-1][1]])
+    swapped = [(5, a), (9, a), (5, b), (3, b)]
+    got = sorted((r.doc_id, r.component_id) for r in neardup.groups(documents(*swapped)).collect())
+    assert got == [(3, 3), (5, 3), (5, 5), (9, 5)]

@@ -281,7 +281,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = written(named(docs).mapInArrow(sign, "doc_id long, name binary, n_shingles long, sig array<int>"), "signatures")
     classes = rows.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    classes = written(classes.withColumn("node", F.coalesce("rep", F.xxhash64("name"))), "classes")
+    # A node per word sequence: an id that stands for several texts links none of them.
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     comps = connected(docs, classes)
     # Per class the smallest id of its component; classes without links are their own.
     of = classes.select("name", "rep", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -296,7 +297,8 @@ def groups(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
 
     Null texts and texts without words have an empty set and stand alone.  A document without an id takes part, but never names a
-    group that has an id; it is kept when its whole group has none.  Repeated rows come out repeated.  An empty table gives no rows.
+    group that has an id; it is kept when its whole group has none.  Repeated rows come out repeated; several texts under one id are linked each for
+    itself and come out with one row each.  An empty table gives no rows.
     Other columns are ignored.
     """
     return grouped(docs).select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
