@@ -6,9 +6,9 @@ as one when it has fewer words).  Two documents are linked when 100 * |A and B|
 1. Documents with the same words form one class, so copies are never paired.
 2. ``BANDS`` bands of ``ROWS`` minima each deal the classes into buckets.  A pair at similarity 0.75 misses all of them with a probability of
    ``(1 - 0.75**4)**32``, about 5e-6.
-3. In a bucket every member meets the smallest one first. What that leaves unconnected meets all other members of its bucket that it is not
-   connected with, in blocks of ``BLOCK_MEMBERS`` compared inside a task, so a group of thousands of copies makes no row for each of its pairs; only pairs
-   that pass step 4 come out.
+3. In ``HUB_ROUNDS`` rounds every class meets one other: of the first members of its buckets that with which it shares most of them. What that leaves
+   unconnected meets all other members of its bucket that it is not connected with, in blocks of ``BLOCK_MEMBERS`` compared inside a task; the largest
+   connected part of a bucket is not compared with itself.  A group of thousands of copies makes no row for each of its pairs; only pairs that pass step 4 come out.
 4. A pair's signatures are compared batch by batch.  After n values with m equal the similarity has the posterior Beta(1 + m, 1 + n - m); the pair
    is dropped as soon as P(similarity >= 0.75) is below ``MISS``.
 5. Survivors are verified on their full sets.  The likeliest partner of each member goes first; pairs that its links have connected need no test.
@@ -36,6 +36,8 @@ BATCH = 32
 MISS = 1e-6
 BLOCK_CHARS = 1 << 21
 BLOCK_MEMBERS = 1024
+#: Rounds in which a class meets one first member; the blocks do what they leave.
+HUB_ROUNDS = 2
 
 
 def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -204,37 +206,66 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
     return written(deals.join(shared, "bucket"), "buckets")
 
 
+def nearest_first(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """Per class b the first member a it shares most buckets of (bucket, node, first) with, pairs already tried aside: one row a class."""
+    shared = rows.filter("node > first").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    if tried is not None:
+        shared = shared.join(tried, ["a", "b"], "left_anti")
+    return shared.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def open_buckets(deals: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of buckets that hold two components at least, with comp; per bucket its component of most members (major), that of its first
+    member (lead), its size and the number of members beside the major one (minors)."""
+    of = deals.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = of.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"))
+    mixed = parts.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("n", "comp")).alias("major"), F.min_by("comp", "low").alias("lead"), (F.sum("n") - F.max("n")).alias("minors")
+    )
+    return of.join(mixed.filter("parts > 1").drop("parts"), "bucket")
+
+
 def blocked(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b, equal) of not yet connected members of a bucket, from (bucket, node, comp, sig, size).
+    """Pairs (a, b, equal) of not yet connected members of a bucket, from (bucket, node, comp, major, minors, size, sig).
 
-    A bucket of more than ``BLOCK_MEMBERS`` is cut into blocks, and every two blocks meet in a task of their own, which compares signatures batch
-    by batch and gives out only the pairs that no batch rules out.
+    One of two unconnected members lies beside the bucket's major component, so those (left) meet all (right).  Both sides are cut into blocks of about
+    ``BLOCK_MEMBERS``, and every two blocks meet in a task of their own, which compares signatures batch by batch and gives out only the pairs that no batch rules out.
     """
-    n = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "comp", "sig")
+    lefts, rights = (F.ceil(F.col(c) / BLOCK_MEMBERS).cast("int") for c in ("minors", "size"))
+    h = F.xxhash64("node")
+    minor = F.col("comp") != F.col("major")
+    cell = lambda x, y, left: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(left).alias("left"))
+    as_left = F.transform(F.sequence(F.lit(0), rights - 1), lambda y: cell(F.pmod(h, lefts), y, True))
+    as_right = F.transform(F.sequence(F.lit(0), lefts - 1), lambda x: cell(x, F.pmod(h, rights), False))
+    rows = rows.select("bucket", F.explode(F.when(minor, F.concat(as_left, as_right)).otherwise(as_right)).alias("cell"), minor.alias("minor"), "node", "comp", "sig")
+    rows = rows.select("bucket", "cell.*", "minor", "node", "comp", "sig")
     return rows.groupBy("bucket", "x", "y").applyInArrow(compare_blocks, "a long, b long, equal int").groupBy("a", "b").agg(F.max("equal").alias("equal"))
 
 
 def compare_blocks(key: tuple, rows: pa.Table) -> pa.Table:
-    x, y = key[1].as_py(), key[2].as_py()
-    node, comp = (rows.column(c).to_numpy() for c in ("node", "comp"))
+    node, comp, minor, is_left = (rows.column(c).to_numpy() for c in ("node", "comp", "minor", "left"))
     sig = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
-    block = rows.column("block").to_numpy()
-    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
     limits = least_equal()
+    # The first batch by the lowest bytes of its values: equal values have equal bytes, so no pair is lost that the values would keep.
+    low = np.ascontiguousarray(sig[:, :BATCH].astype(np.uint8).T)
     out = []
-    for i in left.tolist():
-        # Of two members of one block each pair once; over two blocks all of them.
-        j = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (x != y))]
-        equal = np.zeros(len(j), np.int64)
+    for at in range(0, len(left), 128):
+        some = left[at : at + 128]
+        close = np.zeros((len(some), len(right)), np.uint8)
+        for column in low:
+            close += column[some][:, None] == column[right][None]
+        keep = (close >= limits[0][1]) & (comp[some][:, None] != comp[right][None])
+        # Two members beside the major component meet twice, once on each side.
+        keep &= ~minor[right][None] | (node[some][:, None] < node[right][None])
+        i, j = np.nonzero(keep)
+        i, j = some[i], right[j]
+        equal = np.zeros(len(i), np.int64)
         for n, least in limits:
-            equal += (sig[j, n - BATCH : n] == sig[i, n - BATCH : n]).sum(1)
-            keep = equal >= least
-            j, equal = j[keep], equal[keep]
-            if not len(j):
-                break
-        if len(j):
+            equal += (sig[i, n - BATCH : n] == sig[j, n - BATCH : n]).sum(1)
+            likely = equal >= least
+            i, j, equal = i[likely], j[likely], equal[likely]
+        if len(i):
             out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), equal]))
     a, b, e = np.concatenate(out, 1) if out else np.zeros((3, 0), np.int64)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "equal": pa.array(e, pa.int32())})
@@ -247,32 +278,35 @@ def connected(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sigs = written(classes.select("node", "sig").join(some, "node", "left_semi"), "sigs")
     sets = full_sets(docs, classes.select("node", "rep", "name").join(some, "node", "left_semi"))
     comps = classes.sparkSession.createDataFrame([], "node long, comp long")
-    links = None
+    links = tried = None
 
     def labelled(pairs: DataFrame) -> DataFrame:
         for x in ("a", "b"):
             pairs = pairs.join(comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")), x, "left").withColumn(f"comp_{x}", F.coalesce(f"comp_{x}", x))
         return pairs.filter("comp_a <> comp_b").select("a", "b")
 
-    for part in ("hubs", "blocks"):
-        if part == "hubs":
-            pairs = deals.filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-            left = written(pruned(pairs, sigs), part)
-        else:
-            # Only buckets that hold two components at least.
-            of = deals.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            mixed = of.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
-            left = written(blocked(of.join(mixed, "bucket").join(sigs, "node")), part)
-        best = left.groupBy("b").agg(F.max_by("a", "equal").alias("a")).select("a", "b")
-        # The likeliest partners first; what they connect needs no test.
-        for some in (best, None):
-            some = written(some if some is not None else labelled(left.join(best, ["a", "b"], "left_anti").select("a", "b")), "tested")
-            if some.isEmpty():
-                break
-            more = written(verified(some, sets), "verified")
-            if not more.isEmpty():
-                links = more if links is None else links.unionByName(more)
-                comps = components(links)
+    def connect(pairs: DataFrame) -> bool:
+        nonlocal links, comps
+        pairs = written(pairs, "tested")
+        if pairs.isEmpty():
+            return False
+        more = written(verified(pairs, sets), "verified")
+        if not more.isEmpty():
+            links = more if links is None else links.unionByName(more)
+            comps = components(links)
+        return True
+
+    for _ in range(HUB_ROUNDS):
+        # After the first round only buckets that hold two components, and of them what is not connected with the first member.
+        rows = deals if tried is None else open_buckets(deals, comps).filter("comp <> lead")
+        pairs = written(nearest_first(rows, tried), "hubs")
+        connect(pruned(pairs, sigs).select("a", "b"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+    left = written(blocked(open_buckets(deals, comps).join(sigs, "node")), "blocks")
+    best = left.groupBy("b").agg(F.max_by("a", "equal").alias("a")).select("a", "b")
+    # The likeliest partners first; what they connect needs no test.
+    if connect(best):
+        connect(labelled(left.join(best, ["a", "b"], "left_anti").select("a", "b")))
     return comps
 
 
