@@ -19,6 +19,7 @@ Shingles stand as 64-bit values (polynomials over 64-bit word hashes), compared
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -130,6 +131,7 @@ def tail(m: int, n: int, s: float) -> float:
     return sum(math.exp(math.lgamma(n + 2) - math.lgamma(j + 1) - math.lgamma(n + 2 - j) + j * math.log(s) + (n + 1 - j) * math.log(1 - s)) for j in range(m + 1))
 
 
+@functools.cache
 def least_equal(miss: float = MISS) -> list[tuple[int, int]]:
     """(values compared so far, how many of them must be equal) after each batch."""
     return [(n, next(m for m in range(n + 1) if tail(m, n, LEAST / 100) >= miss)) for n in range(BATCH, HASHES + 1, BATCH)]
@@ -239,6 +241,8 @@ def blocked(rows: DataFrame) -> DataFrame:
     as_right = F.transform(F.sequence(F.lit(0), lefts - 1), lambda x: cell(x, F.pmod(h, rights), False))
     rows = rows.select("bucket", F.explode(F.when(minor, F.concat(as_left, as_right)).otherwise(as_right)).alias("cell"), minor.alias("minor"), "node", "comp", "sig")
     rows = rows.select("bucket", "cell.*", "minor", "node", "comp", "sig")
+    # Few bytes and much work: a stated number of partitions, which are not merged by their size.
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "x", "y")
     return rows.groupBy("bucket", "x", "y").applyInArrow(compare_blocks, "a long, b long, equal int").groupBy("a", "b").agg(F.max("equal").alias("equal"))
 
 
