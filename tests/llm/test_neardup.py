@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from oddities import ROWS
 
@@ -99,7 +101,7 @@ def test_one_of_each(documents):
 @settings(max_examples=50, deadline=None)
 def test_shingle_sizes(numbers):
     text = " ".join(f"t{n}" for n in numbers)
-    assert len(neardup.shingles(neardup.word_hashes(neardup.word_list(text), {}))) == len(shingle_set(text))
+    assert len(neardup.shingle_sets(["a b", text, None, text], neardup.Hashes())[3]) == len(shingle_set(text))
 
 
 def test_posterior_bounds():
@@ -122,3 +124,25 @@ def test_one_id_with_two_texts_links_neither(spark, documents):
     swapped = [(5, a), (9, a), (5, b), (3, b)]
     got = sorted((r.doc_id, r.component_id) for r in neardup.groups(documents(*swapped)).collect())
     assert got == [(3, 3), (5, 3), (5, 5), (9, 5)]
+
+
+def test_sets_too_large_to_be_sent_meet_in_a_join(documents, monkeypatch):
+    rows = planted(seed=8)
+    monkeypatch.setattr(neardup, "SENT_SET", 60)  # some of each
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.groups(documents(*rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_a_block_gives_links_that_connect_and_pairs_without_sets():
+    luck = random.Random(4)
+    base = [luck.randrange(1 << 40) for _ in range(100)]
+    sets = [sorted(base[i:] + [luck.randrange(1 << 40) for _ in range(i)]) for i in (0, 1, 2, 3, 40)]
+    sets.append(None)
+    sigs = [neardup.signature(np.array(s if s else base, np.uint64) << np.uint64(20)).view(np.int32) for s in sets]
+    rows = [(n, n, True, left, sigs[n], sets[n]) for left in (True, False) for n in range(6)]
+    schema = pa.schema([("node", pa.int64()), ("comp", pa.int64()), ("minor", pa.bool_()), ("left", pa.bool_()), ("sig", pa.list_(pa.int32())), ("members", pa.list_(pa.int64()))])
+    table = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    got = neardup.compare_blocks((), table).to_pylist()
+    sure = {(r["a"], r["b"]) for r in got if r["sure"]}
+    assert sure == {(0, 1), (0, 2), (0, 3)}  # what these connect is not linked again
+    assert {(r["a"], r["b"]) for r in got if not r["sure"]} >= {(0, 5)} and all(r["b"] == 5 for r in got if not r["sure"])

@@ -8,10 +8,12 @@ as one when it has fewer words).  Two documents are linked when 100 * |A and B|
    ``(1 - 0.75**4)**32``, about 5e-6.
 3. In ``HUB_ROUNDS`` rounds every class meets one other: of the first members of its buckets that with which it shares most of them. What that leaves
    unconnected meets all other members of its bucket that it is not connected with, in blocks of ``BLOCK_MEMBERS`` compared inside a task; the largest
-   connected part of a bucket is not compared with itself.  A group of thousands of copies makes no row for each of its pairs; only pairs that pass step 4 come out.
+   connected part of a bucket is not compared with itself.  A group of thousands of copies makes no row for each of its pairs.
 4. A pair's signatures are compared batch by batch.  After n values with m equal the similarity has the posterior Beta(1 + m, 1 + n - m); the pair
    is dropped as soon as P(similarity >= 0.75) is below ``MISS``.
-5. Survivors are verified on their full sets.  The likeliest partner of each member goes first; pairs that its links have connected need no test.
+5. Survivors are verified on their full sets.  Sets of up to ``SENT_SET`` shingles travel with the blocks and are verified where the pair is found: only
+   links that connect something leave a block.  Pairs with a larger set meet their sets in a join, the likeliest partner of each member first; pairs that
+   links have connected by then need no test.
 6. Components come from alternating large-star and small-star steps, written down after each round.
 
 Shingles stand as 64-bit values (polynomials over 64-bit word hashes), compared within one pair only.
@@ -20,10 +22,12 @@ Shingles stand as 64-bit values (polynomials over 64-bit word hashes), compared
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -39,31 +43,44 @@ BLOCK_CHARS = 1 << 21
 BLOCK_MEMBERS = 1024
 #: Rounds in which a class meets one first member; the blocks do what they leave.
 HUB_ROUNDS = 2
+#: Shingles up to which a set goes into its blocks, 8 KB; pairs with a larger one are verified by a join.
+SENT_SET = 1024
 
 
-def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    if len(known) > 200_000:  # only a memory of hashes, not of decisions
-        known.clear()
-    return np.array(out, np.uint64)
+class Hashes(dict):
+    """A memory of word hashes."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Distinct five-word shingles of a sequence of word hashes, sorted."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    k = min(WORDS, len(words))
+def windows(words: np.ndarray, k: int) -> np.ndarray:
+    """The hashes of all runs of k words."""
     n = len(words) - k + 1
     with np.errstate(over="ignore"):
         h = np.full(n, k, np.uint64)
         for i, m in enumerate(odd_numbers(k, 7)):
-            h = h + mix64(words[i : i + n] + np.uint64(i)) * m
-    return np.unique(mix64(h))
+            h += mix64(words[i : i + n] + np.uint64(i)) * m
+    return mix64(h)
+
+
+def shingle_sets(texts: list[str | None], known: Hashes) -> list[np.ndarray]:
+    """Per text its distinct five-word shingles, sorted; the runs of all texts are hashed at once and those across texts left out."""
+    if len(known) > 200_000:  # only a memory of hashes, not of decisions
+        known.clear()
+    lists = [word_list(t) for t in texts]
+    ends = list(itertools.accumulate(map(len, lists), initial=0))
+    words = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(lists)), np.uint64, ends[-1])
+    full = windows(words, WORDS) if len(words) >= WORDS else words[:0]
+    out = []
+    for a, b in itertools.pairwise(ends):
+        if b - a >= WORDS:
+            h = np.sort(full[a : b - WORDS + 1])
+            out.append(h[np.append(True, h[1:] != h[:-1])])
+        else:
+            out.append(windows(words[a:b], b - a) if b > a else words[:0])
+    return out
 
 
 A, B = ((odd_numbers(HASHES, seed) >> np.uint64(32)).astype(np.uint32) for seed in (11, 13))
@@ -74,8 +91,10 @@ def signature(s: np.ndarray) -> np.ndarray:
     """HASHES minima, as 32-bit values."""
     out = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
     x = (s >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(x), 2048):
-        out = np.minimum(out, (x[i : i + 2048, None] * A[None] + B[None]).min(0))
+    for i in range(0, len(x), 512):
+        h = x[i : i + 512, None] * A
+        h += B
+        out = np.minimum(out, h.min(0))
     return out
 
 
@@ -98,30 +117,32 @@ def word_list(text: str | None) -> list[bytes]:
 
 def sign(batches):
     """Per document the size and the signature of its set; copies in a task are worked out once."""
-    known, seen = {}, {}
+    known, seen = Hashes(), {}
     for batch in batches:
-        sizes, sigs = [], []
-        for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            got = seen.get(name)
-            if got is None:
-                s = shingles(word_hashes(word_list(text), known))
-                got = seen[name] = len(s), signature(s).view(np.int32)
-                if len(seen) > 2000:  # only a memory of results
-                    seen.clear()
-            sizes.append(got[0])
-            sigs.append(got[1])
-        flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int32)
+        names = batch.column("name").to_pylist()
+        new = {}
+        for i, name in enumerate(names):
+            if name not in seen:
+                new.setdefault(name, i)
+        texts = batch.column("text").take(pa.array(new.values(), pa.int64())).to_pylist()
+        for a, b in blocks(texts, BLOCK_CHARS):
+            for name, s in zip(list(new)[a:b], shingle_sets(texts[a:b], known), strict=True):
+                seen[name] = len(s), signature(s).view(np.int32)
+        flat = np.concatenate([seen[n][1] for n in names]) if names else np.zeros(0, np.int32)
         lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, HASHES, dtype=np.int32), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), pa.array(sizes, pa.int64()), lists], ["doc_id", "name", "n_shingles", "sig"])
+        sizes = pa.array([seen[n][0] for n in names], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), sizes, lists], ["doc_id", "name", "n_shingles", "sig"])
+        if len(seen) > 2000:  # only a memory of results
+            seen.clear()
 
 
 def members(batches):
     """Per class its full set."""
-    known: dict[bytes, int] = {}
+    known = Hashes()
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for a, b in blocks(texts, BLOCK_CHARS):
-            sets = [shingles(word_hashes(word_list(t), known)).view(np.int64) for t in texts[a:b]]
+            sets = [s.view(np.int64) for s in shingle_sets(texts[a:b], known)]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], ["node", "members"])
 
@@ -228,10 +249,11 @@ def open_buckets(deals: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def blocked(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b, equal) of not yet connected members of a bucket, from (bucket, node, comp, major, minors, size, sig).
+    """Pairs (a, b, equal, sure) of not yet connected members of a bucket, from (bucket, node, comp, major, minors, size, sig, members).
 
     One of two unconnected members lies beside the bucket's major component, so those (left) meet all (right).  Both sides are cut into blocks of about
-    ``BLOCK_MEMBERS``, and every two blocks meet in a task of their own, which compares signatures batch by batch and gives out only the pairs that no batch rules out.
+    ``BLOCK_MEMBERS``, and every two blocks meet in a task of their own, which compares signatures batch by batch and verifies what no batch rules out
+    on the sets that were sent.  It gives out links that connect something (sure) and the pairs that lack a set.
     """
     lefts, rights = (F.ceil(F.col(c) / BLOCK_MEMBERS).cast("int") for c in ("minors", "size"))
     h = F.xxhash64("node")
@@ -239,27 +261,60 @@ def blocked(rows: DataFrame) -> DataFrame:
     cell = lambda x, y, left: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(left).alias("left"))
     as_left = F.transform(F.sequence(F.lit(0), rights - 1), lambda y: cell(F.pmod(h, lefts), y, True))
     as_right = F.transform(F.sequence(F.lit(0), lefts - 1), lambda x: cell(x, F.pmod(h, rights), False))
-    rows = rows.select("bucket", F.explode(F.when(minor, F.concat(as_left, as_right)).otherwise(as_right)).alias("cell"), minor.alias("minor"), "node", "comp", "sig")
-    rows = rows.select("bucket", "cell.*", "minor", "node", "comp", "sig")
+    rows = rows.select("bucket", F.explode(F.when(minor, F.concat(as_left, as_right)).otherwise(as_right)).alias("cell"), minor.alias("minor"), "node", "comp", "sig", "members")
+    rows = rows.select("bucket", "cell.*", "minor", "node", "comp", "sig", "members")
     # Few bytes and much work: a stated number of partitions, which are not merged by their size.
     rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "x", "y")
-    return rows.groupBy("bucket", "x", "y").applyInArrow(compare_blocks, "a long, b long, equal int").groupBy("a", "b").agg(F.max("equal").alias("equal"))
+    pairs = rows.groupBy("bucket", "x", "y").applyInArrow(compare_blocks, "a long, b long, equal int, sure boolean")
+    return pairs.groupBy("a", "b").agg(F.max("equal").alias("equal"), F.max("sure").alias("sure"))
+
+
+class Sets:
+    """The sets of a block's rows, null where they were not sent, as runs of small whole numbers."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.sent = lists.is_valid().to_numpy(zero_copy_only=False)
+        self.size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        values, self.codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        self.ends = np.cumsum(self.size)
+        self.mark = np.zeros(len(values), np.int32)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.codes[self.ends[i] - self.size[i] : self.ends[i]]
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others whose sets are similar enough to that of i."""
+        mine, sizes = self.size[i], self.size[others]
+        near = 100 * np.minimum(mine, sizes) >= LEAST * np.maximum(mine, sizes)
+        others, sizes = others[near], sizes[near]
+        if not len(others):
+            return others
+        self.mark[self.of(i)] = 1
+        shared = np.add.reduceat(self.mark[np.concatenate([self.of(j) for j in others])], np.cumsum(sizes) - sizes)
+        self.mark[self.of(i)] = 0
+        return others[100 * shared >= LEAST * (mine + sizes - shared)]
 
 
 def compare_blocks(key: tuple, rows: pa.Table) -> pa.Table:
-    node, comp, minor, is_left = (rows.column(c).to_numpy() for c in ("node", "comp", "minor", "left"))
+    node, part, minor, is_left = (rows.column(c).to_numpy() for c in ("node", "comp", "minor", "left"))
+    part = part.copy()  # grows together with the links found here
     sig = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
+    sets = Sets(rows.column("members").combine_chunks())
     left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
     limits = least_equal()
     # The first batch by the lowest bytes of its values: equal values have equal bytes, so no pair is lost that the values would keep.
     low = np.ascontiguousarray(sig[:, :BATCH].astype(np.uint8).T)
     out = []
+
+    def put(i: int, j: int, equal: int, sure: bool) -> None:
+        out.append((min(node[i], node[j]), max(node[i], node[j]), equal, sure))
+
     for at in range(0, len(left), 128):
         some = left[at : at + 128]
         close = np.zeros((len(some), len(right)), np.uint8)
         for column in low:
             close += column[some][:, None] == column[right][None]
-        keep = (close >= limits[0][1]) & (comp[some][:, None] != comp[right][None])
+        keep = (close >= limits[0][1]) & (part[some][:, None] != part[right][None])
         # Two members beside the major component meet twice, once on each side.
         keep &= ~minor[right][None] | (node[some][:, None] < node[right][None])
         i, j = np.nonzero(keep)
@@ -269,10 +324,18 @@ def compare_blocks(key: tuple, rows: pa.Table) -> pa.Table:
             equal += (sig[i, n - BATCH : n] == sig[j, n - BATCH : n]).sum(1)
             likely = equal >= least
             i, j, equal = i[likely], j[likely], equal[likely]
-        if len(i):
-            out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), equal]))
-    a, b, e = np.concatenate(out, 1) if out else np.zeros((3, 0), np.int64)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "equal": pa.array(e, pa.int32())})
+        starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else []
+        for a, b in itertools.pairwise([*starts, len(i)]):
+            x, others = i[a], j[a:b]
+            whole = sets.sent[others] & sets.sent[x]
+            for y in sets.similar(x, others[whole & (part[others] != part[x])]):
+                if part[y] != part[x]:
+                    put(x, y, HASHES, True)
+                    part[part == part[y]] = part[x]
+            for y, e in zip(others[~whole], equal[a:b][~whole], strict=True):
+                if part[y] != part[x]:
+                    put(x, y, e, False)
+    return pa.table(list(zip(*out, strict=True)) or [[]] * 4, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("equal", pa.int32()), ("sure", pa.bool_())]))
 
 
 def connected(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -287,17 +350,19 @@ def connected(docs: DataFrame, classes: DataFrame) -> DataFrame:
     def labelled(pairs: DataFrame) -> DataFrame:
         for x in ("a", "b"):
             pairs = pairs.join(comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")), x, "left").withColumn(f"comp_{x}", F.coalesce(f"comp_{x}", x))
-        return pairs.filter("comp_a <> comp_b").select("a", "b")
+        return pairs.filter("comp_a <> comp_b").drop("comp_a", "comp_b")
 
-    def connect(pairs: DataFrame) -> bool:
+    def linked(more: DataFrame) -> None:
         nonlocal links, comps
-        pairs = written(pairs, "tested")
-        if pairs.isEmpty():
-            return False
-        more = written(verified(pairs, sets), "verified")
         if not more.isEmpty():
             links = more if links is None else links.unionByName(more)
             comps = components(links)
+
+    def connect(pairs: DataFrame) -> bool:
+        pairs = written(pairs, "tested")
+        if pairs.isEmpty():
+            return False
+        linked(written(verified(pairs, sets), "verified"))
         return True
 
     for _ in range(HUB_ROUNDS):
@@ -306,7 +371,10 @@ def connected(docs: DataFrame, classes: DataFrame) -> DataFrame:
         pairs = written(nearest_first(rows, tried), "hubs")
         connect(pruned(pairs, sigs).select("a", "b"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-    left = written(blocked(open_buckets(deals, comps).join(sigs, "node")), "blocks")
+    small = sets.filter(F.size("members") <= SENT_SET)
+    found = written(blocked(open_buckets(deals, comps).join(sigs, "node").join(small, "node", "left")), "blocks")
+    linked(found.filter("sure").select("a", "b"))
+    left = written(labelled(found.filter("not sure")), "unsure")
     best = left.groupBy("b").agg(F.max_by("a", "equal").alias("a")).select("a", "b")
     # The likeliest partners first; what they connect needs no test.
     if connect(best):
