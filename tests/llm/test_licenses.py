@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from license_texts import TEXTS, forms
 from oddities import ROWS
 
 from weblode.llm import licenses
@@ -29,6 +30,8 @@ def test_cases(documents, text, ids, names, left):
 
 def test_same_as_sql(documents):
     rows = [*ROWS, *[(100 + i, c[0]) for i, c in enumerate(CASES)], (200, MIT)]
+    rows += [(300 + i, t) for i, t in enumerate([f for _, text in TEXTS.values() for f in forms(text)])]
+    rows += [(1000 + i, t) for i, t in enumerate(["\n \n\n", ": : ;\n:\n", "\n\n# MIT License.\n#\n", "a.b. c+ d++.\n...\n. x", "H S h s", "Licensed\n\nunder the MIT License", "MIT License: MIT License; MIT License"])]
     df = licenses.scan(documents(*rows))
     con = duckdb.connect()
     con.execute("create table documents (doc_id bigint, text varchar)")
@@ -50,3 +53,26 @@ def test_identifiers_of_rules_are_known():
 def test_no_python_and_no_shuffle(documents):
     plan = licenses.scan(documents((1, "x")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("name", TEXTS)
+def test_texts_as_they_stand_in_files(documents, name):
+    licence, text = TEXTS[name]
+    got = licenses.scan(documents(*enumerate(forms(text)))).collect()
+    assert [(r.doc_id, r.licenses, r.n_unmatched) for r in sorted(got)] == [(i, licence, 0) for i in range(len(got))]
+
+
+def test_a_blank_line_ends_a_sentence(documents):
+    r = licenses.scan(documents((1, "Licensed\n\nunder the MIT License"))).first()
+    assert (r.n_sentences, r.sentence_ids, r.n_hints) == (2, "", 2)
+
+
+def test_size_of_the_tables():
+    assert len(licenses.known()) >= 60 and len(licenses.RULES) >= 40
+
+
+def test_long_runs_of_marks(documents):
+    """Marks without words, a million of them, are gone over once."""
+    text = "MIT License" + "\n" * 300_000 + ": " * 300_000 + ". " * 200_000 + "\n#" * 200_000 + "\nMIT License"
+    r = licenses.scan(documents((1, text))).first()
+    assert (r.n_sentences, r.sentence_ids) == (2, "mitTitle,mitTitle")
