@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import product
 
 import pytest
@@ -64,6 +65,59 @@ def test_page_cut_off_in_a_tag():
     assert mainhtml.main_blocks("<article><p>First words of a text.<p cla") == ["First words of a text."]
 
 
+@pytest.mark.parametrize("open_, shut", [
+    ('<section id="discussion">', "</section>"), ('<section id="related-work">', "</section>"), ('<div class="search-algorithms">', "</div>"), ('<div class="logo-history">', "</div>"),
+    ('<div style="display:none">', "</div>"), ("<noscript>", "</noscript>"),
+])
+def test_topics_in_the_article_are_no_boilerplate(open_, shut):
+    assert mainhtml.main_blocks(f"<body><article><h1>On ferries</h1>{ARTICLE}{open_}{ARTICLE}{shut}</article></body>") == ["On ferries", *TEXT, *TEXT]
+
+
+@pytest.mark.parametrize("box", [
+    '<div class="related"><a href=/a>The inn has a new cook this year, and he cooks well</a> <a href=/b>The dam is closed until the spring comes</a></div>',
+    '<div class="social-share">Share this</div>', '<div class="search-box"><p>Search for it</p></div>', '<div class="cookie-notice"><p>' + TEXT[0] + "</p></div>", '<div class="ad-slot"><p>' + TEXT[1] + "</p></div>",
+    '<section id="discussion" class="comments"><p>' + TEXT[0] + "</p></section>", '<div class="share-links"><p>' + TEXT[0] + "</p></div>",
+])
+def test_boxes_in_the_article_stay_boilerplate(box):
+    assert mainhtml.main_blocks(f"<body><article>{ARTICLE}{box}</article></body>") == TEXT
+
+
+def test_the_flow_changes_labels():
+    """Short lines between paragraphs look like boilerplate each for itself; the cut keeps them with their neighbours, and the menu stays out."""
+    lines = ["The way there", "By bus", "Line nine"]
+    page = f"<body><ul class=menu><li>Home<li>News</ul><div><p>{TEXT[0]}<h2>{lines[0]}</h2><div>{lines[1]}</div><p>{TEXT[1]}</p><div>{lines[2]}</div><p>{TEXT[0]}</div><div class=footer>Imprint</div></body>"
+    blocks = mainhtml.page_blocks(page)
+    lean, links = [mainhtml.leaning(b) for b in blocks], mainhtml.edges(blocks)
+    alone = [b.text for b, x in zip(blocks, lean, strict=True) if x > 0]
+    assert not set(lines) & set(alone)
+    assert mainhtml.main_blocks(page) == [TEXT[0], *lines[:2], TEXT[1], lines[2], TEXT[0]]
+    open_ = [x for x in mainhtml.settled(lean, links)[0] if x < 0]
+    assert mainhtml.cut(lean, links) == [x in (*TEXT, *lines) for x in (b.text for b in blocks)] and len(open_) <= len(blocks)
+
+
+@pytest.mark.parametrize("piece", ["<center>x", "</foo>x", "<center></x>y", "<div><p>a", "<li>a", "<p><b>c"])
+def test_deep_nesting_in_time(piece):
+    start = time.process_time()
+    mainhtml.main_blocks(piece * 50_000)
+    assert time.process_time() - start < 10
+
+
+def test_flow_over_many_open_blocks():
+    luck = random.Random(5)
+    n = 3000
+    lean = [luck.uniform(-1, 1) for _ in range(n)]
+    links = [(i, i + 1, 1.0) for i in range(n - 1)] + [(i, i + 7, 1.0) for i in range(n - 7)]
+    start = time.process_time()
+    got = mainhtml.cut(lean, links)
+    assert time.process_time() - start < 20
+    # No block, and no run of ten, can change its label for the better.
+    base = energy(got, lean, links)
+    for i in range(0, n, 150):
+        for size in (1, 10):
+            other = got[:i] + [not x for x in got[i : i + size]] + got[i + size :]
+            assert energy(other, lean, links) >= base - 1e-9
+
+
 def energy(labels, lean, links):
     cost = sum(max(0.0, -c) if k else max(0.0, c) for k, c in zip(labels, lean, strict=True))
     return cost + sum(w for i, j, w in links if labels[i] != labels[j])
