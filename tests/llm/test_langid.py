@@ -85,3 +85,18 @@ def test_temperature():
     t = langid.temperature(logits * 10, y)
     best = min((-np.log(langid.softmax(logits * 10 / s)[np.arange(4000), y]).mean(), s) for s in np.exp(np.linspace(-2, 3, 400)))[1]
     assert math.isclose(t, best, rel_tol=0.05)
+
+
+def test_copies_do_not_break_the_bound_of_the_sample(documents, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 60)
+    rows = texts(600)
+    copies = [(1000 + i, "the same text again and again", "en") for i in range(600)]
+    repeated = [(5000, "one row many times", "de")] * 600
+    known = documents(*rows, *copies, *repeated).select("doc_id", "text", "lang")
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    got = langid.sampled(known, sizes).collect()
+    per = Counter(r.lang for r in got)
+    assert 30 < per["en"] < 100 and per["de"] < 100 and per["fr"] < 100
+    assert sum(r.doc_id == 5000 for r in got) <= 1
+    # Copies are spread over the shards.
+    assert len({r.shard for r in got if r.text == copies[0][1]}) > 4

@@ -169,9 +169,20 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return math.exp((a + b) / 2)
 
 
+def sampled(known: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """About ``PER_LANGUAGE`` rows of (doc_id, text, lang) a language, by hash, with their order and shard.
+
+    Copies of a text under other ids are drawn and dealt each for itself; repeated rows of one id and text are one row, null texts none.
+    """
+    every = F.create_map(*[F.lit(x) for lang in sorted(sizes) for x in (lang, max(1, round(sizes[lang] / PER_LANGUAGE)))])
+    rows = known.filter("text is not null").withColumn("order", F.xxhash64("doc_id", "text"))
+    rows = rows.filter(F.pmod(F.col("order"), every[F.col("lang")]) == 0).dropDuplicates(["order", "lang"])
+    return rows.withColumn("shard", F.pmod(F.hash("order"), F.lit(SHARDS + 2)))
+
+
 def trained(docs: DataFrame) -> Model:
     """Learn from the texts with a language whose crc32(doc_id) mod 4 is not 2."""
-    known = docs.filter((id_bucket("doc_id", 4) != 2) & F.col("lang").isNotNull()).select("text", "lang")
+    known = docs.filter((id_bucket("doc_id", 4) != 2) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
     langs = sorted(sizes)
     if not langs:
@@ -181,10 +192,7 @@ def trained(docs: DataFrame) -> Model:
     df = np.zeros(FEATURES)
     df[at.index[at.index < FEATURES]] = at[at.index < FEATURES]
     idf = np.log((1.0 + at[FEATURES]) / (1.0 + df)) + 1.0
-    order = F.xxhash64("text")
-    every = F.create_map(*[F.lit(x) for lang in langs for x in (lang, max(1, round(sizes[lang] / PER_LANGUAGE)))])
-    sample = known.withColumn("order", order).filter(F.pmod(F.col("order"), every[F.col("lang")]) == 0)
-    sample = sample.withColumn("shard", F.pmod(F.hash("order"), F.lit(SHARDS + 2)))
+    sample = sampled(known, sizes)
     learned = sample.filter(F.col("shard") < SHARDS).groupBy("shard").applyInPandas(train_shard(idf, langs), "feature long, lang long, weight double")
     total = learned.groupBy("feature", "lang").agg(F.sum("weight").alias("weight")).toPandas()  # FEATURES x languages
     weights = np.zeros((FEATURES + 1, len(langs)))
