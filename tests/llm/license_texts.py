@@ -1,4 +1,4 @@
-"""Licence texts and headers as they stand in files: name -> (expected licence, text).  Fixed values."""
+"""Licence texts and headers as they stand in files (of ISC and Unlicense their first paragraphs): name -> (expected licence, text).  Fixed values."""
 
 MIT = '''MIT License
 
