@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table_stream(spark: SparkSession, root: str, name: str, files_per_batch: int = 1000) -> DataFrame:
-    """The files of one table as a stream."""
+    """The files of one table as a stream, be the table one file or a folder of them.
+
+    A stream takes a plain path for a folder; a path with a pattern may lead to either.
+    """
     schema = spark.read.parquet(f"{root}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(root)
+    reader = spark.readStream.schema(schema).option("basePath", root).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{root}/{name}.parque[t]")
 
 
 def run_available(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
