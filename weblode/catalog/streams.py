@@ -71,21 +71,17 @@ def sliding_rates(spark, root):
     return r.select("host", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "requests", "refused")
 
 
-#: Sessions whose end lies a day before the last refusal: the watermark has passed them.
-_CLOSED = REGISTRY["block_bursts"].twin.replace(
-    "from i group by host, n", "from i group by host, n having max(ts) + interval '2 hours' <= (select max(ts) - interval '1 day' from att where status = 403)")
-
-
-@query("stream_bursts", _CLOSED)
+@query("stream_bursts", REGISTRY["block_bursts"].twin)
 def stream_bursts(spark, root):
-    """Sessions of refusals as a stream: each once, as soon as no more row can belong to it."""
+    """Sessions of refusals as a stream: each once, as soon as no more row can belong to it, and those still open when all is read."""
     folder = fresh_path(spark, "bursts")
     refused = _attempt_stream(spark, root).filter(F.col("status") == 403)
     s = jobs.bursts(refused, "ts", "2 hours", "1 day", ["host"])
     rows = s.select("host", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "refused")
     runs.run_available(rows, folder, lambda df, n: runs.write_batch(df, folder, n))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    done = runs.read_rows(spark, folder, "host string, start timestamp, end timestamp, refused long")
+    closed = runs.read_rows(spark, folder, "host string, start timestamp, end timestamp, refused long").drop("batch")
+    done = closed.unionByName(jobs.open_bursts(spark, folder, ["host"]).select("host", "w.start", "w.end", "refused"))
     return done.select("host", stamp("start").alias("started"), stamp(F.col("end") - F.expr("interval 2 hours")).alias("ended"), F.col("refused").alias("blocked"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from weblode.operators.ordered import previous
 from weblode.streaming.runs import exists, run_available, write_batch
@@ -87,3 +87,9 @@ def rates(attempts: DataFrame, ts: str, window: str, slide: str | None, late: st
 def bursts(attempts: DataFrame, ts: str, gap: str, late: str, keys: list[str]) -> DataFrame:
     """Sessions of refused requests per key; run in append mode, each comes out once, when the watermark has passed its end, and leaves the state."""
     return attempts.withWatermark(ts, late).groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("refused"))
+
+
+def open_bursts(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """The sessions of ``bursts`` that a run in append mode left open, as they stand in its state after the last batch."""
+    state = spark.read.format("statestore").load(f"{folder}/checkpoint")
+    return state.select(*[f"value.{k}" for k in keys], F.col("value.session_window").alias("w"), F.col("value.count").alias("refused"))
