@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weblode.sources.responses import spread, table
+from weblode.sources.responses import dealt, spread, table
 
 
 def attempts(spark, root) -> DataFrame:
@@ -307,7 +307,7 @@ def table_pages(spark, root) -> DataFrame:
 
 def embedded_pages(spark, root) -> DataFrame:
     """Pages with ld+json, a JSON script and a state assignment; every 8th is malformed."""
-    p = spread(table(spark, root, "part"))
+    p = dealt(table(spark, root, "part"))
     i = F.col("p_partkey").cast("string")
     ok = F.col("p_partkey") % 8 != 0
     ld = F.concat(F.lit('{"@type": "Product", "name": "'), "p_name", F.lit('"'), F.when(ok, F.lit("}")).otherwise(F.lit("")))
@@ -464,7 +464,7 @@ def card_pages(spark, root) -> DataFrame:
     hits = p.select(F.floor(F.col("p_partkey") / 50).alias("block"), F.col("p_partkey").alias("k"), hit.alias("card"))
 
     def pages(rows, kind):
-        g = rows.groupBy("block").agg(_listed("card", "k").alias("cards"))
+        g = dealt(rows, "block").groupBy("block").agg(_listed("card", "k").alias("cards"))
         url = F.concat(F.lit(f"https://{kind}.example.com/list/"), F.col("block").cast("string"))
         return g.select(F.lit(kind).alias("kind"), url.alias("url"), F.concat(F.lit("<html><body><main>"), "cards", F.lit("</main></body></html>")).alias("html"))
 
@@ -474,7 +474,7 @@ def card_pages(spark, root) -> DataFrame:
 
 def product_pages(spark, root) -> DataFrame:
     """A product page for each part: kind, url, html and what an answer has besides."""
-    p = table(spark, root, "part")
+    p = dealt(table(spark, root, "part"))
     k = F.col("p_partkey").cast("string")
     html = F.concat(
         F.lit('<html><body><span id="productTitle"> '), "p_name", F.lit(' </span><a id="bylineInfo" href="/b">'), "p_brand", F.lit('</a><input type="hidden" id="ASIN" value="A'), k,

@@ -29,6 +29,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal small rows that make much work (a page built out of a few columns) over all cores, whatever the size and row groups of their files."""
+    spark = df.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def lift(df: DataFrame) -> DataFrame:
     """Add what a stored HTML answer implies: status 200, HTML type, same final URL."""
     return df.select(
