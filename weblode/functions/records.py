@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from weblode.functions.text import unescape, strip
+from weblode.functions.text import let, strip, unescape
 
 
 def first_present(*cols) -> Column:
@@ -74,5 +74,7 @@ def json_object(pairs: Column) -> Column:
 
 def assembled(**parts: Column) -> Column:
     """One JSON object of JSON texts; parts that are null or empty (``""``, ``[]``, ``{}``) are left out, an object without parts is ``{}``."""
-    full = [F.when(~part.isin('""', "[]", "{}", "null"), F.concat(F.lit(f'"{name}":'), part)) for name, part in parts.items()]
+    # A part is named first: it may cost much, and is looked at twice.
+    kept = lambda name, part: let(part, lambda p: F.when(~p.isin('""', "[]", "{}", "null"), F.concat(F.lit(f'"{name}":'), p)))
+    full = [kept(name, part) for name, part in parts.items()]
     return F.concat(F.lit("{"), F.concat_ws(",", *full), F.lit("}"))
