@@ -31,6 +31,8 @@ CHUNK_BYTES = 24 << 20
 BLOCK, TEXT_BITS = 1 << 20, min(14, 64 - 8 * (DEPTH + 1))
 BLOCK_TEXTS = 1 << TEXT_BITS
 END = 0xFF
+#: Rows of an answer that leave a task at a time.
+SENT = 1 << 16
 #: The pairs of last context bytes are dealt into so many buckets.
 BUCKETS = 512
 WORD = -1
@@ -73,11 +75,22 @@ def text_blocks(chunk: pa.Table):
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], np.add.reduceat(n, first)
+    """Parts in order of their keys as one, counts of equal keys added.  A range of keys is merged at a time: besides the parts and the result, a task
+    holds the working copies of about an eighth of a block."""
+    rows = sum(len(key) for key, _ in parts)
+    longest = max((key for key, _ in parts), key=len)
+    cuts = longest[:: max(1, len(longest) * (BLOCK >> 3) // max(1, rows))][1:]
+    edges = [np.concatenate([[0], np.searchsorted(key, cuts), [len(key)]]) for key, _ in parts]
+    keys, counts = [], []
+    for i in range(len(cuts) + 1):
+        key = np.concatenate([k[e[i] : e[i + 1]] for (k, _), e in zip(parts, edges, strict=True)])
+        n = np.concatenate([n[e[i] : e[i + 1]] for (_, n), e in zip(parts, edges, strict=True)])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        keys.append(key[first])
+        counts.append(np.add.reduceat(n, first) if len(first) else n)
+    return np.concatenate(keys), np.concatenate(counts)
 
 
 def word_key(word: bytes) -> int:
@@ -105,14 +118,17 @@ def count_chunk(key: tuple, chunk: pa.Table) -> pa.Table:
                     if w not in words:
                         words[w] = 0
     keys, n = summed(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    del parts
     m = len(words)
-    return pa.table(
-        {
-            "chunk": pa.array(np.full(len(keys) + m + 1, key[0].as_py(), np.int64)),
-            "word": pa.array(np.concatenate([np.zeros(len(keys), bool), np.ones(m + 1, bool)])),
-            "key": pa.array(np.concatenate([keys.astype(np.int64), np.fromiter(map(word_key, words), np.int64, m), [WORD]])),
-            "n": pa.array(np.concatenate([n.astype(np.int64), np.fromiter(words.values(), np.int64, m), [int(train.sum())]])),
-        }
+    own_keys, own_n = np.fromiter(map(word_key, words), np.int64, m), np.fromiter(words.values(), np.int64, m)
+    del words
+    rows = [(False, keys[i : i + SENT].view(np.int64), n[i : i + SENT]) for i in range(0, len(keys), SENT)]
+    rows += [(True, own_keys[i : i + SENT], own_n[i : i + SENT]) for i in range(0, m, SENT)]
+    rows.append((True, np.array([WORD]), np.array([int(train.sum())])))
+    # In pieces, so that neither side holds the whole answer as one batch besides.
+    return pa.concat_tables(
+        pa.table({"chunk": pa.array(np.full(len(k), key[0].as_py(), np.int64)), "word": pa.array(np.full(len(k), word)), "key": pa.array(k), "n": pa.array(c)})
+        for word, k, c in rows
     )
 
 
