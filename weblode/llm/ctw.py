@@ -15,6 +15,7 @@ next to its own look-up table.  No task holds more than a chunk or one bucket of
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -50,17 +51,22 @@ def context_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For every byte and end of the texts its key, nearest context byte first and the byte itself last, and its text's number."""
     pad = bytes([END]) * DEPTH
     joined = b"".join(x for t in texts for x in (pad, t, pad[:1]))
-    a = np.frombuffer(joined, np.uint8).astype(np.uint64)
-    key = a[DEPTH:].copy()
-    for d in range(1, DEPTH + 1):
-        key |= a[DEPTH - d : len(a) - d] << np.uint64(8 * (DEPTH - d + 1))
+    # Eight bytes read from DEPTH places before a byte hold its context, the nearest byte highest.
+    key = np.ndarray(len(joined) - DEPTH, "<u8", joined + bytes(8), 0, (1,)) << np.uint64(8)
+    key &= np.uint64((1 << 8 * (DEPTH + 1)) - 256)
+    key |= np.frombuffer(joined, np.uint8)[DEPTH:]
     sizes = np.array([len(t) + 1 for t in texts])
     # The positions that are pads predict nothing.
-    starts = np.cumsum(sizes + DEPTH) - sizes - DEPTH
-    real = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+    real = np.ones(len(key), bool)
+    real[(np.cumsum(sizes + DEPTH)[:-1, None] - np.arange(1, DEPTH + 1)).ravel()] = False
     return key[real], np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
 
 
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+
+
 def text_blocks(chunk: pa.Table):
     """(first, last + 1, lower-cased texts) of runs of about ``BLOCK`` bytes; only one run is taken out of the table at a time."""
     column = chunk.column("text")
@@ -85,9 +91,9 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     for i in range(len(cuts) + 1):
         key = np.concatenate([k[e[i] : e[i + 1]] for (k, _), e in zip(parts, edges, strict=True)])
         n = np.concatenate([n[e[i] : e[i + 1]] for (_, n), e in zip(parts, edges, strict=True)])
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, n = key[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        first = runs(key)
         keys.append(key[first])
         counts.append(np.add.reduceat(n, first) if len(first) else n)
     return np.concatenate(keys), np.concatenate(counts)
@@ -97,33 +103,39 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all words of the texts, one after another and before the shift of ``word_key``, and the number of words of each text."""
+    lists = [t.split() for t in texts]
+    sizes = np.array([len(w) for w in lists])
+    return np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(lists)), np.uint64, sizes.sum()), sizes
+
+
+def counted(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = runs(ordered)
+    return ordered[first], np.diff(np.append(first, len(ordered)))
+
+
 def count_chunk(key: tuple, chunk: pa.Table) -> pa.Table:
     """Distinct contexts and words of a chunk with their training counts."""
     train = ~np.array(chunk.column("held_out").to_pylist(), bool)
-    parts, words = [], {}
+    parts, words = [], []
     for a, b, texts in text_blocks(chunk):
         k, doc = context_keys(texts)
         use = train[a:b][doc.astype(np.int64)]
         k = np.sort(k << np.uint64(1) | use.astype(np.uint64))
-        u, n = np.unique(k, return_counts=True)
+        u, n = counted(k)
         parts.append((u >> np.uint64(1), np.where(u & np.uint64(1), n, 0)))
-        if sum(len(k) for k, _ in parts) > 3 * BLOCK:
-            parts = [summed(parts)]
-        for t, known in zip(texts, train[a:b], strict=True):
-            if known:
-                for w in t.split():
-                    words[w] = words.get(w, 0) + 1
-            else:
-                for w in t.split():
-                    if w not in words:
-                        words[w] = 0
-    keys, n = summed(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    del parts
-    m = len(words)
-    own_keys, own_n = np.fromiter(map(word_key, words), np.int64, m), np.fromiter(words.values(), np.int64, m)
-    del words
-    rows = [(False, keys[i : i + SENT].view(np.int64), n[i : i + SENT]) for i in range(0, len(keys), SENT)]
-    rows += [(True, own_keys[i : i + SENT], own_n[i : i + SENT]) for i in range(0, m, SENT)]
+        w, sizes = word_keys(texts)
+        use = np.repeat(train[a:b], sizes)
+        u, n = counted(np.sort(w[~use]))
+        words += [counted(np.sort(w[use])), (u, np.zeros_like(n))]
+        parts, words = [[summed(x)] if sum(len(k) for k, _ in x) > 3 * BLOCK else x for x in (parts, words)]
+    rows = []
+    for word, x, shift in ((False, parts, 0), (True, words, 1 << 63)):
+        keys, n = summed(x) if x else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        x.clear()
+        keys = (keys ^ np.uint64(shift)).view(np.int64)
+        rows += [(word, keys[i : i + SENT], n[i : i + SENT]) for i in range(0, len(keys), SENT)]
     rows.append((True, np.array([WORD]), np.array([int(train.sum())])))
     # In pieces, so that neither side holds the whole answer as one batch besides.
     return pa.concat_tables(
@@ -239,18 +251,15 @@ def code_lengths(top: Top):
     return run
 
 
-class Lookup(dict):
-    """Value of a word, found by its key at first sight."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray, floor: float):
-        super().__init__()
-        self.keys_, self.values_, self.floor = keys, values, floor
-
-    def __missing__(self, word: bytes) -> float:
-        k = word_key(word)
-        i = int(np.searchsorted(self.keys_, k))
-        v = self[word] = float(self.values_[i]) if i < len(self.keys_) and self.keys_[i] == k else self.floor
-        return v
+def values_of(asked: np.ndarray, keys: np.ndarray, values: np.ndarray, floor: float) -> np.ndarray:
+    """Values of the keys asked for, in any order, out of keys in order; the floor for those that are not among them."""
+    names, back = np.unique(asked, return_inverse=True)
+    at = np.searchsorted(keys, names)
+    hit = at < len(keys)
+    hit[hit] = keys[at[hit]] == names[hit]
+    found = np.full(len(names), floor)
+    found[hit] = values[at[hit]]
+    return found[back]
 
 
 def score_chunk(train_tokens: int, floor: float, end_value: float):
@@ -259,7 +268,7 @@ def score_chunk(train_tokens: int, floor: float, end_value: float):
         keys, values = found.column("key").to_numpy(), found.column("value").to_numpy()
         words, w_values = keys[is_word], np.log10(values[is_word] + 1) + floor
         order = np.argsort(words)
-        lookup = Lookup(words[order], w_values[order], floor)
+        words, w_values = words[order], w_values[order]
         keys, values = keys[~is_word].astype(np.uint64), values[~is_word]
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
@@ -271,13 +280,13 @@ def score_chunk(train_tokens: int, floor: float, end_value: float):
             k = np.sort(k << np.uint64(TEXT_BITS) | doc)  # equal keys come together, so each is looked up once
             doc = (k & np.uint64(BLOCK_TEXTS - 1)).astype(np.int64)
             k = k >> np.uint64(TEXT_BITS)
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            first = runs(k)
             v = values[np.searchsorted(keys, k[first])]
             score[a:b] = np.bincount(doc, np.repeat(v, np.diff(np.append(first, len(k)))), b - a)
-            for i, t in enumerate(texts, a):
-                w = t.split()
-                v = np.fromiter(map(lookup.__getitem__, w), float, len(w))
-                tokens[i], known[i] = len(w) + 1, int((v > floor).sum()) + (end_value > floor)
+            w, n = word_keys(texts)
+            w = values_of((w ^ np.uint64(1 << 63)).view(np.int64), words, w_values, floor)
+            for i, t, v in zip(range(a, b), texts, np.split(w, np.cumsum(n)[:-1]), strict=True):
+                tokens[i], known[i] = len(v) + 1, np.count_nonzero(v > floor) + (end_value > floor)
                 base[i], size[i] = float(v.sum()) + end_value, len(t)
         return pa.table(
             {
